@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, near_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, near_dedup, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_codec, op2_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_exact_dedup)
+    for f in (op1_bpe_codec, op2_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_exact_dedup, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE}
