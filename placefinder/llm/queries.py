@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, near_dedup, quality, toxicity
+from . import bpe, decontaminate, exact_dedup, fixity, near_dedup, oracles, quality, secrets, token_counts, toxicity, url_trust
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages against a copy with known damage: by a hash of page_id, about one page in 100 is altered
+    there and one in 200 is lost."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    mark = F.conv(F.substring(F.sha2(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 256), 1, 7), 16, 10).cast("long")
+    altered = F.when(mark % 101 == 7, F.concat(F.coalesce("html", F.lit("")), F.lit("\u0000"))).otherwise(F.col("html"))
+    return fixity.audit(pages, pages.filter(mark % 211 != 5).withColumn("html", altered))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -33,13 +43,38 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    base: Column = F.filter("spans", lambda s: s["kind"] != "guess")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe_codec, op2_toxicity, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_exact_dedup, op10_quality_rules)
+    for f in (
+        op1_bpe_codec, op2_toxicity, op3_warc_fixity, op4_minhash_near_dedup, op5_benchmark_decontamination,
+        op6_exact_dedup, op7_url_trust, op8_secret_scan, op9_section_tokens, op10_quality_rules,
+    )
 }
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_warc_fixity": oracles.FIXITY,
+    "op4_minhash_near_dedup": oracles.NEAR,
+    "op5_benchmark_decontamination": oracles.LEAKS,
+    "op6_exact_dedup": oracles.EXACT,
+    "op7_url_trust": oracles.TRUST,
+}
