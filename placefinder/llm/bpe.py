@@ -156,18 +156,20 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     rows["ids"].append(hashlib.sha256(packed).hexdigest())
                     rows["dec"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                     if with_ids:
-                        rows["list"].append(ids)
+                        rows["list"].append(packed)
                     if with_text:
                         rows["text"].append(decoded)
                 arrays = [ids_of.slice(a, z - a), pa.array(rows["n"], pa.int64()), pa.array(rows["ids"], pa.string()), pa.array(rows["dec"], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    arrays.append(pa.array(rows["list"], pa.list_(pa.int64())))
+                    ends = np.cumsum([0, *rows["n"]])
+                    flat = np.frombuffer(b"".join(rows["list"]), dtype="<u4").astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
                     names.append("ids")
                 if with_text:
                     arrays.append(pa.array(rows["text"], pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids + ", decoded string" * with_text
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return id_text(docs, id_col, text_col).mapInArrow(run, schema)

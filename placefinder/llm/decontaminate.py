@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM_BREAKS, id_text, save, slices, text_bytes, word_hashes
+from .shared import ALNUM_BREAKS, filter_texts, id_text, save, slices, text_bytes, word_hashes
 
 WINDOW = 10
 #: Test words per block: the bound on what is broadcast (8 bytes a word and a little).
@@ -271,6 +271,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return rows.select("l.doc_id", "l.n_words", edges, items).mapInArrow(_merge, schema)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs``, all columns, without those that share a window with an item: a pass for each block, no shuffle."""
+    for block in item_blocks(benchmark, item_id, item_text, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(TestSuffixes(block, window))
+
+        def keep(sent=sent):
+            def clean(texts) -> np.ndarray:
+                shard = Shard(sent.value, *text_bytes(texts))
+                hit = np.searchsorted(shard.begin, shard.matches()[1], side="right") - 1
+                out = np.ones(len(texts), dtype=bool)
+                out[hit] = False
+                return out
+
+            return clean
+
+        docs = filter_texts(docs, keep, text_col)
+    return docs
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and item that share a window: the longest verbatim match and its places."""
     base = id_text(docs, id_col, text_col)

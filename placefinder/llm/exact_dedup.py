@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import save, without_ids
 
 #: White space that does not count, fixed by the definition of equal texts.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -78,6 +78,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each group; of rows that repeat an id that stays, one stays."""
+    found = save(exact_duplicates(docs, id_col, text_col))
+    out = without_ids(docs, found.filter(~F.col("kept")).select("doc_id"), id_col)
+    again = save(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return out
+    repeated = out.join(again, out[id_col] == again["doc_id"], "left_semi").dropDuplicates([id_col])
+    return without_ids(out, again, id_col).unionByName(repeated)
+
+
 ORACLE = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

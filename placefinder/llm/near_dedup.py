@@ -32,12 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import discard, id_text, mix, save, shingle_sets, slices, text_bytes
+from .shared import FEW_IDS, discard, id_text, mix, save, shingle_sets, slices, text_bytes, without_ids
 
 COORDINATES, ROWS = 128, 4
 LEAST_ESTIMATE = 0.55
-#: Up to so many ids (8 MB) are broadcast to pick their texts; more are joined by shuffle.
-FEW_IDS = 500_000
 #: Members of a bucket that are compared with as many others in one task.
 BLOCK = 1024
 _BITS = np.uint64(64 - COORDINATES.bit_length() + 1)
@@ -253,3 +251,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.select("doc_id", "n", "digest").join(of_set, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``docs``, all columns, with one document of each group."""
+    found = near_duplicates(docs, id_col, text_col, **settings)
+    return without_ids(docs, found.filter(~F.col("kept")).select("doc_id"), id_col)

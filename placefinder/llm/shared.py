@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +72,41 @@ def slices(column, most_bytes: int = 1 << 20, most_rows: int = 512):
         yield start, len(sizes)
 
 
+#: Up to so many ids (8 MB) are broadcast; more are joined by shuffle.
+FEW_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids`` (one column); rows with a null id stay.
+
+    The ids are saved and counted first: few are broadcast, so the texts don't move.
+    """
+    gone = save(ids.select(ids[0].alias("_gone")).filter("_gone IS NOT NULL").distinct())
+    few = gone.count() <= FEW_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
+def filter_texts(docs: DataFrame, keep: Callable[[], Callable], text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns as they are, for which a test of whole texts holds; one pass, no shuffle.
+
+    ``keep()`` is called once in each task and returns a function from an Arrow text column without
+    nulls to booleans.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        test = keep()
+        for batch in batches:
+            for a, z in slices(batch.column(at)):
+                part = batch.slice(a, z - a)
+                yield part.filter(pa.array(test(pc.fill_null(part.column(at), "")), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 # -- hashing words straight from UTF-8 bytes ------------------------------------------------
 
 _rng = np.random.default_rng(0x5EED)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, sigmoid
-from .shared import discard, id_remainder, id_text, mix, save, shingle_sets, slices, text_bytes
+from .shared import discard, filter_texts, id_remainder, id_text, mix, save, shingle_sets, slices, text_bytes
 
 FOLDS, HELD_OUT = 3, 1
 MOST_TOXIC, MOST_CLEAN = 4000, 12000
@@ -55,6 +55,11 @@ class ToxicityModel:
     correlations: np.ndarray
     """of the voters, given the class"""
 
+    def scores(self, texts, count: Counting) -> np.ndarray:
+        """Scores of an Arrow text column."""
+        x = np.array([_row(*count(t.as_py()), self.weights) for t in texts], dtype=float).reshape(len(texts), -1)
+        return sigmoid(x @ self.coefficients + self.intercept) if len(texts) else np.zeros(0)
+
 
 def _words(text: str) -> list[str]:
     import regex
@@ -282,11 +287,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
         count = Counting(model.lexicon) if model else None
         for batch in batches:
             for a, z in slices(batch.column(1)):
-                if model:
-                    x = np.array([_row(*count(t.as_py()), model.weights) for t in batch.column(1).slice(a, z - a)], dtype=float)
-                    got = sigmoid(x @ model.coefficients + model.intercept)
-                else:
-                    got = np.zeros(z - a)
+                got = model.scores(batch.column(1).slice(a, z - a), count) if model else np.zeros(z - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(got)], ["doc_id", "score"])
 
     scored = id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -294,6 +295,19 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
     return scored.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, without those that a model learnt from their labelled rows calls toxic."""
+    model = fit(docs, labels, text_col=text_col)
+    if model is None:
+        return docs
+
+    def keep():
+        count = Counting(model.lexicon)
+        return lambda texts: model.scores(texts, count) < threshold
+
+    return filter_texts(docs, keep, text_col)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labelled rows of ``docs`` and score all of them."""
     return score(docs, fit(docs, labels))
