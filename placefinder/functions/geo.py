@@ -78,11 +78,19 @@ def cells_near(lon: Column, lat: Column, radius_m: Column | float, size: float)
     """Every cell a point within ``radius_m`` can lie in."""
     r = radius_m if isinstance(radius_m, Column) else F.lit(float(radius_m))
     dlat = r / (math.pi * EARTH_M / 180)
-    dlon = dlat / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + dlat, F.lit(90.0)))), F.lit(0.05))
+    edge = F.abs(lat) + dlat
+    # Beyond 87 degrees a circle may hold every longitude.
+    dlon = F.when(edge >= 87, F.lit(180.0)).otherwise(dlat / F.cos(F.radians(F.least(edge, F.lit(87.0)))))
 
     def columns(band: Column) -> Column:
         width = lon_width(band, size)
-        span = F.sequence(F.floor((lon - dlon) / width).cast("long"), F.floor((lon + dlon) / width).cast("long"))
-        return F.transform(span, lambda c: F.struct(band.alias("band"), c.alias("col")))
+
+        def span(shift: float) -> Column:
+            low, high = F.greatest(lon - dlon + shift, F.lit(-180.0)), F.least(lon + dlon + shift, F.lit(180.0))
+            return F.when(low <= high, F.sequence(F.floor(low / width).cast("long"), F.floor(F.greatest(low, high) / width).cast("long"))).otherwise(F.array().cast("array<long>"))
+
+        # The circle may cross the date line.
+        spans = F.array_distinct(F.concat(span(0.0), span(-360.0), span(360.0)))
+        return F.transform(spans, lambda c: F.struct(band.alias("band"), c.alias("col")))
 
     return F.flatten(F.transform(F.sequence(band_of(lat - dlat, size), band_of(lat + dlat, size)), columns))

@@ -51,12 +51,13 @@ def norm_tokens(text: Column) -> Column:
     expansions = F.create_map(*(F.lit(x) for pair in EXPANSIONS.items() for x in pair))
     words = raw_tokens(text)
 
-    def expand(word: Column, at: Column) -> Column:
-        following = F.get(words, at + 1)
+    def expand(word: Column, following: Column) -> Column:
         saint = (word == "st") & following.rlike("^[a-z]") & ~following.isin(*NOT_SAINT)
         return F.when(F.coalesce(saint, F.lit(False)), F.lit("saint")).otherwise(F.coalesce(expansions[word], word))
 
-    return F.transform(words, expand)
+    # Zipped with itself one word on (the last word's follower is null): a lambda that indexed ``words`` would
+    # compute them again for every word.
+    return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), expand)
 
 
 def norm(text: Column) -> Column:
@@ -108,13 +109,17 @@ def similarity(a: Column, b: Column) -> Column:
     return jaccard(trigrams(a), trigrams(b))
 
 
-def word_similarity(query: Column, text: Column) -> Column:
-    """Greatest similarity of the query's trigrams to a run of the text's ordered trigrams. Runs that begin and
-    end with a trigram of the query are enough: any other run has a better one inside it."""
-    q, ordered = trigrams(query), ordered_trigrams(text)
-    places = F.filter(F.transform(ordered, lambda g, i: F.when(F.array_contains(q, g), i + 1)), lambda i: i.isNotNull())
-    runs = F.flatten(F.transform(places, lambda a: F.transform(F.filter(places, lambda z: z >= a), lambda z: jaccard(q, F.array_distinct(F.slice(ordered, a, z - a + 1))))))
-    return F.coalesce(F.array_max(runs), F.lit(0.0))
+def word_similarity(query_grams: Column, text_grams: Column) -> Column:
+    """Greatest similarity of a query's trigrams to a run of a text's ordered trigrams. Runs that begin and end
+    with a trigram of the query are enough: any other run has a better one inside it.
+
+    Takes columns of trigrams (``trigrams``, ``ordered_trigrams``), as a lambda computes an expression again
+    every time it is read.
+    """
+    places = F.filter(F.transform(text_grams, lambda g, i: F.when(F.array_contains(query_grams, g), i + 1)), lambda i: i.isNotNull())
+    best_from = lambda a, ends: F.array_max(F.transform(F.filter(ends, lambda z: z >= a), lambda z: jaccard(query_grams, F.array_distinct(F.slice(text_grams, a, z - a + 1)))))
+    best = F.transform(F.array(places), lambda ps: F.array_max(F.transform(ps, lambda a: best_from(a, ps))))[0]
+    return F.coalesce(best, F.lit(0.0))
 
 
 # -- postal forms --------------------------------------------------------------------------

@@ -94,8 +94,12 @@ def search_core(queries: DataFrame, feature: DataFrame, street_name: DataFrame)
     pairs = similarity_join(asked.select("target").distinct(), distinct_names, SIMILAR, "target", "target", "name_norm", "name_norm")
     near = asked.join(pairs, "target").join(names, "name_norm").filter(_scan())
     near = top(near, ["query_id", "target"], [F.desc("sim"), F.col("coarse"), from_anchor, F.col("id")], NAMES)
-    nsim = F.greatest(F.col("sim"), F.lit(0.9) * T.word_similarity(F.col("target"), F.col("name_norm"))) + F.lit(0.1) * F.col("sim")
-    similar = near.select("query_id", "id", nsim.alias("nsim")).groupBy("query_id", "id").agg(F.max("nsim").alias("nsim"))
+    near = save(near.select("query_id", "target", "name_norm", "id", "sim"))
+    # once for each distinct pair of texts, on columns of trigrams
+    texts = near.select("target", "name_norm", "sim").distinct().withColumn("tg", T.trigrams(F.col("target"))).withColumn("ng", T.ordered_trigrams(F.col("name_norm")))
+    nsim = F.greatest(F.col("sim"), F.lit(0.9) * T.word_similarity(F.col("tg"), F.col("ng"))) + F.lit(0.1) * F.col("sim")
+    texts = texts.select("target", "name_norm", nsim.alias("nsim"))
+    similar = near.join(texts, ["target", "name_norm"]).groupBy("query_id", "id").agg(F.max("nsim").alias("nsim"))
     equal = asked.withColumnRenamed("target", "name_norm").join(names, "name_norm").filter(_scan()).dropDuplicates(["query_id", "id"])
     equal = top(equal, ["query_id"], [_foreign(), F.col("coarse"), from_anchor, F.col("id")], EXACT_NAMES).select("query_id", "id", F.lit(1.0).alias("nsim"))
     named = similar.unionByName(equal)
@@ -223,8 +227,11 @@ def search(queries: DataFrame, feature: DataFrame, street_name: DataFrame, held:
     asked = save(prepared(queries, held))
     own = F.col("stt").isin([a for a, _ in held]) if held else F.lit(False)
     asked = asked.filter(F.col("use_coarse") | F.col("stt").isNull() | own).filter("country_ok")
+    anywhere = asked.withColumn("only_state", F.lit(None).cast("string"))
+    if asked.filter("stt IS NOT NULL").isEmpty():
+        return search_core(anywhere, feature, street_name)
     first = save(search_core(asked.filter("stt IS NOT NULL").withColumn("only_state", F.col("stt")), feature, street_name))
     good = (F.col("confidence") >= F.lit(0.6).cast("float")) | ((F.col("confidence") >= F.lit(0.4).cast("float")) & F.col("layer").isin(*ADMIN_ANSWERS))
     answered = first.filter((F.col("rank") == 1) & good).select("query_id")
-    second = search_core(asked.join(answered, "query_id", "left_anti").withColumn("only_state", F.lit(None).cast("string")), feature, street_name)
+    second = search_core(anywhere.join(answered, "query_id", "left_anti"), feature, street_name)
     return first.join(answered, "query_id", "left_semi").unionByName(second)
