@@ -13,9 +13,10 @@ coordinates under ``LEAST_ESTIMATE``) loses such a pair with a probability under
 
 Large buckets: identical sets are one class before anything else. Then each bucket's smallest member
 is compared with all others, and linked classes are merged. Only buckets that still hold several
-unlinked classes go on: their members are compared in blocks, inside tasks, and only pairs of
-different classes whose estimate is high leave a task - first the best partner of each member in each
-other class, then all that are left. No bucket is cut short and no pair of one class is listed.
+unlinked classes go on: their members are compared in blocks, inside tasks, by their sketches. Twice
+each class names its likeliest partner, which is confirmed and merged; then all likely pairs that are
+left are confirmed on full texts inside tasks, which return links alone. No bucket is cut short, no
+pair of one class is compared and no pairs of a group are listed.
 
 Edge cases: null or blank texts have an empty set, are linked with nothing and stay; fewer words than
 k make one shingle; a null doc_id is linked with nothing, has a null component and stays; repeated
@@ -25,7 +26,7 @@ rows share a set and so a class; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -123,6 +124,15 @@ def _likely(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of ``ids`` (one column), one row each, saved."""
+    needed = save(ids.select(ids[0].alias("doc_id")).distinct())
+    few = needed.count() <= FEW_IDS
+    held = save(texts.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    discard(needed)
+    return held
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) of those pairs whose full shingle sets are similar enough."""
 
@@ -142,10 +152,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     good.append(similar(last[1], other, percent))
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    needed = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = needed.count() <= FEW_IDS
-    held = save(texts.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    discard(needed)
+    held = _texts_of(pairs.select(F.explode(F.array("a", "b"))), texts)
     one = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     # Joined by a last, so that equal a follow each other and a's set is made once.
@@ -154,40 +161,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return out
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components inside each bucket, found block against block in tasks.
-
-    ``members``: bucket, size (of the bucket), rep, n, component, marks.
-    """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component", "marks")
-    dealt = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def compare(rows) -> list:
-        import pyarrow as pa
-
-        own = rows.column("own").to_numpy()
-        ids, n, comp = (rows.column(c).to_numpy() for c in ("rep", "n", "component"))
-        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        out = []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            if i == j:
-                y = y[ids[y] > ids[x]]
-            if len(y):
-                share = (marks[y] == marks[x]).sum(axis=1)
-                good = share >= LEAST_ESTIMATE * COORDINATES
-                y, share = y[good], share[good]
-                if len(y):
-                    out.append((np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x]), share.astype(np.int32)))
-        if not out:
-            return []
-        return [pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "share"])]
+def _by_group(rows: DataFrame, keys: list[str], work: Callable, schema: str) -> DataFrame:
+    """``work`` (Arrow table of one group -> record batches) for every group of rows, a group at a time."""
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,21 +171,123 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         held: list = []
         last = None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j"))))
+            found = list(zip(*(batch.column(c).to_pylist() for c in keys)))
             start = 0
-            for at in range(len(keys) + 1):
-                if at == len(keys) or (at > start and keys[at] != keys[start]):
-                    if start < at:
-                        if held and last != keys[start]:
-                            yield from compare(pa.Table.from_batches(held).combine_chunks())
-                            held = []
-                        held.append(batch.slice(start, at - start))
-                        last = keys[start]
-                    start = at
+            for at in range(1, len(found) + 1):
+                if at == len(found) or found[at] != found[start]:
+                    if held and last != found[start]:
+                        yield from work(pa.Table.from_batches(held).combine_chunks())
+                        held = []
+                    held.append(batch.slice(start, at - start))
+                    last, start = found[start], at
         if held:
-            yield from compare(pa.Table.from_batches(held).combine_chunks())
+            yield from work(pa.Table.from_batches(held).combine_chunks())
+
+    return dealt.mapInArrow(run, schema)
+
+
+class _Block:
+    """Members of a bucket in two blocks, to be compared block against block."""
+
+    def __init__(self, rows, percent: int):
+        self.ids, self.n, self.component, own = (rows.column(c).to_numpy() for c in ("rep", "n", "component", "own"))
+        self.marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+        self.i, self.j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        self.left, self.right, self.percent = np.flatnonzero(own == self.i), np.flatnonzero(own == self.j), percent
+
+    def likely(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(x, partners, agreeing coordinates): partners of other components that x may be linked with."""
+        for x in self.left:
+            y = self.right[self.component[self.right] != self.component[x]]
+            if self.i == self.j:
+                y = y[self.ids[y] > self.ids[x]]
+            y = y[100 * np.minimum(self.n[y], self.n[x]) >= self.percent * np.maximum(self.n[y], self.n[x])]
+            if len(y):
+                share = (self.marks[y] == self.marks[x]).sum(axis=1)
+                good = share >= LEAST_ESTIMATE * COORDINATES
+                if good.any():
+                    yield x, y[good], share[good]
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (bucket, size, rep, n, component, marks) once for each pair of blocks that theirs is in."""
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    spread = members.withColumn("own", F.pmod(F.xxhash64("rep"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    return spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component", "marks")
+
+
+def _best_partners(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each component its likeliest pair with another one. A task returns one row a component at most."""
+
+    def work(rows) -> Iterator:
+        import pyarrow as pa
+
+        block = _Block(rows, percent)
+        best: dict[int, tuple[int, int, int]] = {}
+        for x, partners, share in block.likely():
+            for y, s in zip(partners, share):
+                pair = (int(s), int(min(block.ids[x], block.ids[y])), int(max(block.ids[x], block.ids[y])))
+                for side in (int(block.component[x]), int(block.component[y])):
+                    if side not in best or pair > best[side]:
+                        best[side] = pair
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), *(pa.array([v[k] for v in best.values()], pa.int64()) for k in range(3))], ["component", "share", "a", "b"])
+
+    found = _by_group(_blocks(members), ["bucket", "i", "j"], work, "component long, share long, a long, b long")
+    return found.groupBy("component").agg(F.max(F.struct("share", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+
+
+def _remaining_links(members: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b): links between components, found by comparing in full all likely pairs that are left.
+
+    A first pass names the members that have a likely partner in their blocks; their texts are brought
+    there, and pairs are confirmed inside the task, which returns only links that join what it has not
+    joined yet.
+    """
+
+    def flag(rows) -> Iterator:
+        block = _Block(rows, percent)
+        wanted = np.zeros(rows.num_rows, dtype=bool)
+        for x, partners, _ in block.likely():
+            wanted[x] = True
+            wanted[partners] = True
+        if wanted.any():
+            import pyarrow as pa
+
+            yield from rows.filter(pa.array(wanted)).to_batches()
+
+    def confirm(rows) -> Iterator:
+        import pyarrow as pa
+
+        block = _Block(rows, percent)
+        sets: dict[int, np.ndarray] = {}
+        texts_of = pa.concat_arrays(rows.column("text").chunks)
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        def set_of(at: int) -> np.ndarray:
+            if at not in sets:
+                sets[at] = shingle_sets(*text_bytes(texts_of.slice(at, 1)), k)[0]
+            return sets[at]
+
+        out = []
+        for x, partners, share in block.likely():
+            for y in partners[np.argsort(-share, kind="stable")]:
+                one, two = root(int(block.component[x])), root(int(block.component[y]))
+                if one != two and similar(set_of(int(x)), set_of(int(y)), percent):
+                    parent[one] = two
+                    out.append((int(block.ids[x]), int(block.ids[y])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long, share int").groupBy("a", "b").agg(F.max("share").alias("share"))
+    schema = "bucket long, i int, j int, own int, rep long, n long, component long, marks binary"
+    keys = ["bucket", "i", "j"]
+    flagged = save(_by_group(_blocks(members), keys, flag, schema))
+    return save(_by_group(flagged.join(_texts_of(flagged.select("rep"), texts).withColumnRenamed("doc_id", "rep"), "rep"), keys, confirm, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -220,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = save(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks")))
 
     banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    pivots = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    pivots = save(banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = save(banded.join(pivots, "bucket"))
     ratio = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     left = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"))
@@ -228,23 +306,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     tried = save(_likely(stars.join(right, "b").join(left, "a").filter(ratio).select("a", "b", "marks_a", "marks_b")))
     links = _verify(tried, texts, k, percent)
+    discard(pivots, tried)
     labels = connected_components(links)
 
-    for last in (False, True):
-        placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = placed.filter("size > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        open_members = placed.filter("rep <> pivot").join(mixed, "bucket").join(classes.select("rep", "marks"), "rep")
-        open_pairs = _across(open_members, percent).join(tried, ["a", "b"], "left_anti")
-        named = labels.select(F.col("node").alias("b"), F.col("component").alias("far"))
-        if not last:
-            open_pairs = open_pairs.join(named, "b", "left").groupBy("a", F.coalesce("far", "b").alias("far")).agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-        new = save(open_pairs.select("a", "b"))
-        if new.isEmpty():
+    for last in (False, False, True):
+        placed = members.filter("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = save(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket"))
+        open_members = save(placed.filter("rep <> pivot").join(mixed, "bucket").join(classes.select("rep", "marks"), "rep").select("bucket", "size", "rep", "n", "component", "marks"))
+        if last:
+            found = _remaining_links(open_members, texts, percent, k)
+        else:
+            new = save(_best_partners(open_members, percent))
+            found = _verify(new, texts, k, percent)
             discard(new)
-            break
-        found = _verify(new, texts, k, percent)
-        tried, links = tried.unionByName(new), links.unionByName(found)
+        discard(mixed, open_members)
         if not found.isEmpty():
+            links = links.unionByName(found)
             labels = connected_components(links)
 
     of_set = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
