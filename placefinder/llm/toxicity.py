@@ -201,7 +201,11 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
     """(posterior of class 1, P(vote | class) by voter, correlations of the votes given the class)."""
     n, m = votes.shape
     one_hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    lean = votes.sum(axis=1)
+    # The start: a majority in which voters that vote almost alike share one voice.
+    centred = votes - (weight @ votes) / weight.sum()
+    alike = (centred * weight[:, None]).T @ centred
+    spread = np.sqrt(np.maximum(np.diag(alike), 1e-9))
+    lean = votes @ (1.0 / np.maximum(((alike / np.outer(spread, spread)) ** 4).sum(axis=1), 1.0))
     q = np.where(lean > 0, 0.9, np.where(lean < 0, 0.02, prior))
     discount = np.ones(m) / max(1.0, np.sqrt(m))
     correlation = np.eye(m)
