@@ -40,4 +40,4 @@ def test_stages_against_brute_force(spark, small):
 def test_run_applies_all_stages(spark, small):
     got = corpus_pipeline.run(spark, small)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-    assert 0 < got.count() < connect(small).sql("SELECT count(*) FROM documents").fetchone()[0]
+    assert 0 < got.count() < connect(small).sql("SELECT count(*) FROM documents").fetchall()[0][0]
