@@ -67,12 +67,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The member with the most code points, then the smallest id, stays. Groups are found by partial
     aggregation, so a group of any size is summed on the map side; the join back has one row per
-    group on one side, which adaptive execution splits where a group is hot.
+    group on one side, and adaptive execution splits the other where a group is hot.
     """
     rows = save(recipes(docs, id_col, text_col))
     best = F.max(F.struct("code_points", (-F.col("doc_id")).alias("neg_id")))
     groups = rows.groupBy("names", "contents").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("names", "contents", (-F.col("best.neg_id")).alias("keep_id"), "group_size")
+    # Saved, so that the join deals both sides anew and can split the rows of a hot group.
+    groups = save(groups.select("names", "contents", (-F.col("best.neg_id")).alias("keep_id"), "group_size"))
     return rows.join(groups, ["names", "contents"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
