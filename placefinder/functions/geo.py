@@ -53,6 +53,20 @@ def in_polygon(lon: Column, lat: Column, rings: Column) -> Column:
     return hits % 2 == 1
 
 
+def segment_gap2(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Squared distance, in the plane, of a point from a segment."""
+    px, py = on_segment(x, y, x1, y1, x2, y2)
+    return F.pow(x - px, 2) + F.pow(y - py, 2)
+
+
+def on_segment(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    """The point of a segment that is nearest to a point."""
+    dx, dy = x2 - x1, y2 - y1
+    long2 = dx * dx + dy * dy
+    t = F.when(long2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / F.when(long2 > 0, long2)))).otherwise(0.0)
+    return x1 + t * dx, y1 + t * dy
+
+
 def ring_area(ring: Column) -> Column:
     """Planar area of a closed ring (shoelace)."""
     terms = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.get(ring, i - 1)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, i - 1)["y"])

@@ -66,3 +66,51 @@ def clusters(points: DataFrame, key: str, eps: float, id_col: str = "id", x: str
     near = places.join(moved, ["k", "i", "j"]).filter(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) <= eps * eps)
     labels = connected_components(own.unionByName(near.select(F.col("id").alias("a"), "b")))
     return points.select(F.col(id_col).alias("node")).join(labels, "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("cluster"))
+
+
+def _segments(lines: DataFrame, key: str) -> DataFrame:
+    """id, key, x1, y1, x2, y2 of every segment of ``lines`` (id, key, line)."""
+    made = F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: F.struct(F.get("line", i - 1).alias("a"), F.get("line", i).alias("b")))
+    return lines.select("id", key, F.explode(made).alias("s")).select("id", key, F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+
+
+def line_clusters(lines: DataFrame, key: str, eps: float) -> DataFrame:
+    """(id, cluster): connected components, inside each key, of ``lines`` (id, key, line: array of struct(x, y)) at most
+    ``eps`` apart; a cluster is named by its smallest id.
+
+    Segments are cut into pieces no longer than a cell, and pieces of one key and cell are compared.
+    """
+    size = 4 * eps
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    count = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)) / size)).cast("int")
+    cut = _segments(lines, key).withColumn("n", count).select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    along = lambda a, b, k: a + (b - a) * k / F.col("n")
+    k = F.col("k")
+    pieces = cut.select("id", key, along(x1, x2, k - 1).alias("x1"), along(y1, y2, k - 1).alias("y1"), along(x1, x2, k).alias("x2"), along(y1, y2, k).alias("y2"))
+    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - eps / 2) / size).cast("long"), F.floor((F.greatest(a, b) + eps / 2) / size).cast("long"))
+    placed = pieces.withColumn("cx", F.explode(span(x1, x2))).withColumn("cy", F.explode(span(y1, y2)))
+    one = placed.withColumnRenamed("id", "a")
+    two = placed.select(F.col("id").alias("b"), key, "cx", "cy", *(F.col(c).alias(c.replace("x", "u").replace("y", "v")) for c in ("x1", "y1", "x2", "y2")))
+    u1, v1, u2, v2 = (F.col(c) for c in ("u1", "v1", "u2", "v2"))
+    side = lambda ax, ay, bx, by, px, py: F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
+    cross = (side(x1, y1, x2, y2, u1, v1) * side(x1, y1, x2, y2, u2, v2) < 0) & (side(u1, v1, u2, v2, x1, y1) * side(u1, v1, u2, v2, x2, y2) < 0)
+    gap = F.least(G.segment_gap2(x1, y1, u1, v1, u2, v2), G.segment_gap2(x2, y2, u1, v1, u2, v2), G.segment_gap2(u1, v1, x1, y1, x2, y2), G.segment_gap2(u2, v2, x1, y1, x2, y2))
+    near = one.join(two, [key, "cx", "cy"]).filter((F.col("a") < F.col("b")) & (cross | (gap <= eps * eps))).select("a", "b").distinct()
+    labels = connected_components(near)
+    return lines.select(F.col("id").alias("node")).distinct().join(labels, "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("cluster"))
+
+
+def merged_lines(lines: DataFrame, key: str, eps: float) -> DataFrame:
+    """One row for each cluster of :func:`line_clusters`: its smallest id, key, and lon and lat of the point on its lines
+    nearest to their centroid. A segment that several lines share counts once."""
+    labels = line_clusters(lines, key, eps)
+    swap = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
+    ends = [F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
+    parts = _segments(lines, key).join(labels, "id").select(F.col("cluster").alias("id"), key, *ends).distinct()
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    length = F.sqrt(F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2))
+    mean = lambda a, b: F.coalesce(F.try_divide(F.sum(length * (a + b) / 2), F.sum(length)), F.avg((a + b) / 2))
+    centre = parts.groupBy("id", key).agg(mean(x1, x2).alias("cx"), mean(y1, y2).alias("cy"))
+    px, py = G.on_segment(F.col("cx"), F.col("cy"), x1, y1, x2, y2)
+    near = parts.join(centre, ["id", key]).select("id", key, F.struct((F.pow(px - F.col("cx"), 2) + F.pow(py - F.col("cy"), 2)).alias("gap"), px.alias("lon"), py.alias("lat")).alias("p"))
+    return near.groupBy("id", key).agg(F.min("p").alias("p")).select("id", key, "p.lon", "p.lat")

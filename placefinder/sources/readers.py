@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.conflate import argmax_share, exclusive_prefixes, first_of
+from ..operators.spatial import merged_lines
 
 POINT = ("source", "layer", "source_id", "name", "housenumber", "street", "unit", "postcode", "locality_hint", "category", "addendum", "lon", "lat", "popularity")
 _TYPES = {"category": "array<string>", "lon": "double", "lat": "double", "popularity": "double"}
@@ -153,22 +154,57 @@ def admin_table(spr: DataFrame, geometries: DataFrame, ancestors: DataFrame, reg
     return current.join(below, "id", "left_semi").join(geometries, "id").select(F.col("id").alias("area_id"), F.col("id").cast("string").alias("source_id"), "placetype", "name", "parent_id", "rings", F.coalesce("label_lon", "longitude").alias("lon"), F.coalesce("label_lat", "latitude").alias("lat"))
 
 
-#: Tags that make an OSM point a venue.
-VENUE_TAGS = ("amenity", "shop", "tourism", "leisure", "office", "craft", "historic", "natural", "healthcare", "aeroway", "railway", "man_made", "place")
+#: Tags that make an OSM feature a venue, with the values that count (None: any), in the order of its categories.
+VENUE_TAGS: dict[str, tuple[str, ...] | None] = {
+    "amenity": None, "shop": None, "tourism": None, "leisure": None, "office": None, "craft": None, "historic": None, "healthcare": None,
+    "natural": ("peak", "bay", "beach", "cape", "water", "island", "wood"), "aeroway": ("aerodrome", "terminal"), "railway": ("station", "halt"), "public_transport": ("station",), "sport": None,
+}
+#: Kinds of highway that are streets.
+ROADS = (
+    "motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "service", "living_street", "pedestrian",
+    "road", "motorway_link", "trunk_link", "primary_link", "secondary_link", "tertiary_link", "track",
+)
+#: Degrees within which roads of one name are one street.
+STREET_GAP = 0.003
+
+
+def _osm(df: DataFrame, source_id: Column) -> DataFrame:
+    """Venues and addresses of an extracted OSM table with a point (lon, lat) for each feature."""
+    held = set(df.columns)
+    tag = lambda c: F.nullif(F.col(c), F.lit("")) if c in held else F.lit(None).cast("string")
+    kinds = [F.when(tag(t).isNotNull() if values is None else tag(t).isin(*values), F.concat(F.lit(f"{t}="), tag(t))) for t, values in VENUE_TAGS.items()]
+    rows = df.filter("lon IS NOT NULL AND lat IS NOT NULL").withColumn("_cat", F.array_compact(F.array(*kinds)))
+    much = (tag("aeroway") == "aerodrome") | tag("amenity").isin("hospital", "university", "college") | tag("tourism").isin("attraction", "museum")
+    popularity = F.when(much, 0.2).when(tag("amenity").isNotNull() | tag("tourism").isNotNull(), 0.05).otherwise(0.0)
+    bare = {c: F.lit(None) for c in POINT if c not in ("lon", "lat")} | {"source": F.lit("openstreetmap"), "source_id": source_id}
+    venues = as_points(rows.filter(tag("name").isNotNull() & (F.size("_cat") > 0)), **bare | {"layer": F.lit("venue"), "name": tag("name"), "category": F.col("_cat"), "popularity": popularity})
+    number, street = tag("addr_housenumber"), tag("addr_street")
+    homes = as_points(rows.filter(number.isNotNull() & street.isNotNull()), **bare | {"layer": F.lit("address"), "name": F.concat_ws(" ", number, street), "housenumber": number, "street": street, "postcode": tag("addr_postcode"), "locality_hint": tag("addr_city")})
+    return venues.unionByName(homes)
 
 
 def osm_points(df: DataFrame) -> DataFrame:
-    """Venues and addresses of an extracted OSM point table."""
-    tags = [t for t in VENUE_TAGS if t in df.columns]
-    present = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    category = F.array_compact(F.array(*(F.when(present(t), F.col(t)) for t in tags))) if tags else F.array().cast("array<string>")
-    any_tag = F.size(category) > 0
-    rows = df.withColumn("_cat", category)
-    venues = rows.filter(present("name") & any_tag)
-    homes = rows.filter(present("addr_housenumber") & present("addr_street"))
-    street = {"housenumber": F.col("addr_housenumber"), "street": F.col("addr_street"), "postcode": F.col("addr_postcode"), "locality_hint": F.col("addr_city"), "source": F.lit("openstreetmap"), "source_id": F.concat(F.lit("node/"), F.col("osm_id"))}
-    named = as_points(venues, layer=F.lit("venue"), category=F.col("_cat"), **street)
-    return named.unionByName(as_points(homes, layer=F.lit("address"), name=F.concat_ws(" ", "addr_housenumber", "addr_street"), **street))
+    """Venues and addresses of an extracted OSM point table (osm_id, lon, lat, name, tags, addr_...)."""
+    return _osm(df, F.concat(F.lit("node/"), F.col("osm_id")))
+
+
+def osm_polygons(df: DataFrame) -> DataFrame:
+    """Venues and addresses of an extracted OSM multipolygon table: osm_way_id of ways, osm_id of relations; lon and lat
+    are a point on the surface, from the extraction."""
+    filled = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    return _osm(df, F.coalesce(F.concat(F.lit("way/"), filled("osm_way_id")), F.concat(F.lit("relation/"), filled("osm_id"))))
+
+
+def osm_lines(df: DataFrame) -> DataFrame:
+    """Streets of an extracted OSM line table (osm_id, name, highway, line: array of struct(x, y)).
+
+    Roads of one name that lie within ``STREET_GAP`` of each other, also through others, are one street; its
+    point is the one on its roads that is nearest their centroid, its id the smallest of theirs.
+    """
+    roads = df.filter((F.coalesce("name", F.lit("")) != "") & F.col("highway").isin(*ROADS) & (F.size("line") > 1))
+    made = merged_lines(roads.select(F.col("osm_id").cast("string").alias("id"), "name", "line"), "name", STREET_GAP)
+    bare = {c: F.lit(None) for c in POINT if c not in ("name", "lon", "lat")}
+    return as_points(made, **bare | {"source": F.lit("openstreetmap"), "layer": F.lit("street"), "source_id": F.concat(F.lit("way/"), F.col("id")), "street": F.col("name")})
 
 
 def detect_delimiter(text: str) -> str:

@@ -189,3 +189,31 @@ def test_stream_answers_batches(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_osm_points_and_areas_follow_the_tag_rules(spark):
+    shape = "osm_id string, osm_way_id string, name string, amenity string, tourism string, natural string, sport string, addr_housenumber string, addr_street string, addr_city string, lon double, lat double"
+    rows = [
+        ("1", None, "Bean", "cafe", None, None, None, "4", "Elm St", "Bath", -70.0, 43.0), ("2", None, "Oak", None, None, "tree", None, None, None, None, -70.0, 43.0),
+        ("3", None, "Field", None, None, None, "golf", None, None, None, -70.0, 43.0), ("4", "77", "Art", None, "museum", "water", None, None, None, None, -70.1, 43.1), ("5", None, None, None, None, None, None, "6", "Elm St", None, -70.0, 43.0),
+    ]
+    df = spark.createDataFrame(rows, shape)
+    nodes = {(r.layer, r.source_id): (r.name, r.category, r.popularity) for r in readers.osm_points(df.filter("osm_id <> '4'")).collect()}
+    assert nodes == {
+        ("venue", "node/1"): ("Bean", ["amenity=cafe"], 0.05), ("venue", "node/3"): ("Field", ["sport=golf"], 0.0),
+        ("address", "node/1"): ("4 Elm St", None, None), ("address", "node/5"): ("6 Elm St", None, None),
+    }
+    areas = {(r.layer, r.source_id): (r.name, r.category, r.popularity, r.lon) for r in readers.osm_polygons(df.filter("osm_id >= '4'")).collect()}
+    assert areas == {("venue", "way/77"): ("Art", ["tourism=museum", "natural=water"], 0.2, -70.1), ("address", "relation/5"): ("6 Elm St", None, None, -70.0)}
+
+
+def test_osm_roads_of_one_name_merge_when_near(spark):
+    line = lambda *p: [(float(x), float(y)) for x, y in p]
+    rows = [
+        ("10", "Elm St", "residential", line((0, 0), (0.1, 0))), ("11", "Elm St", "service", line((0.102, 0), (0.2, 0))), ("12", "Elm St", "residential", line((0.05, -0.01), (0.05, 0.01))),
+        ("13", "Elm St", "residential", line((0.3, 0), (0.4, 0))), ("14", "Oak St", "residential", line((0, 0), (0.1, 0))), ("15", "Path", "footway", line((0, 0), (0.1, 0))), ("16", None, "primary", line((0, 0), (0.1, 0))),
+    ]
+    got = {r.source_id: (r.layer, r.name, r.street, round(r.lon, 6), round(r.lat, 6)) for r in readers.osm_lines(spark.createDataFrame(rows, "osm_id string, name string, highway string, line array<struct<x:double,y:double>>")).collect()}
+    assert set(got) == {"way/10", "way/13", "way/14"}
+    assert got["way/13"] == ("street", "Elm St", "Elm St", 0.35, 0.0) and got["way/14"][1:4] == ("Oak St", "Oak St", 0.05)
+    assert got["way/10"][3] == pytest.approx((0.1 * 0.05 + 0.098 * 0.151 + 0.02 * 0.05) / 0.218, abs=1e-6)
