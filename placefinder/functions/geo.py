@@ -67,6 +67,15 @@ def on_segment(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Col
     return x1 + t * dx, y1 + t * dy
 
 
+def near_polygon(lon: Column, lat: Column, rings: Column, buffer: float) -> Column:
+    """Whether a point is at most ``buffer`` degrees from a boundary."""
+
+    def near(ring: Column) -> Column:
+        return F.exists(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: segment_gap2(lon, lat, F.get(ring, i - 1)["x"], F.get(ring, i - 1)["y"], F.get(ring, i)["x"], F.get(ring, i)["y"]) <= buffer * buffer)
+
+    return F.exists(rings, near)
+
+
 def ring_area(ring: Column) -> Column:
     """Planar area of a closed ring (shoelace)."""
     terms = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.get(ring, i - 1)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, i - 1)["y"])

@@ -11,6 +11,9 @@ from ..functions import geo as G
 from .components import connected_components
 from .fuzzy import top
 
+#: Degrees around a region that still belong to it: its boundary generalises the coast.
+REGION_BUFFER = 0.003
+
 
 def within(points: DataFrame, features: DataFrame, radius_m: float, size: float | None = None) -> DataFrame:
     """Pairs of ``points`` (point_id, lon, lat) and ``features`` (id, lon, lat) at most radius_m apart: point_id, id, distance_m."""
@@ -26,23 +29,28 @@ def nearest(points: DataFrame, features: DataFrame, k: int, radius_m: float, siz
     return top(within(points, features, radius_m, size), ["point_id"], [F.col("distance_m"), F.col("id")], k)
 
 
-def containing(points: DataFrame, areas: DataFrame, size: float = 1.0) -> DataFrame:
-    """Pairs of ``points`` (point_id, lon, lat) and ``areas`` (area_id, rings) that contain them, boundaries included.
+def containing(points: DataFrame, areas: DataFrame, size: float = 1.0, buffer: float = 0.0) -> DataFrame:
+    """Pairs of ``points`` (point_id, lon, lat) and ``areas`` (area_id, rings) that contain them, boundaries included, or
+    whose boundary is at most ``buffer`` degrees away.
 
-    An area is listed under every cell of its bounding box; the ray cast decides. ``size`` should be near
+    An area is listed under every cell of its bounding box, widened by the buffer; the ray cast and the distance decide. ``size`` should be near
     the areas' own extent, so that an area has few cells and a cell few areas.
     """
     flat = F.flatten("rings")
     box = lambda axis, pick: pick(F.transform(flat, lambda p: p[axis]))
-    span = lambda axis: F.sequence(F.floor(box(axis, F.array_min) / size).cast("long"), F.floor(box(axis, F.array_max) / size).cast("long"))
+    span = lambda axis: F.sequence(F.floor((box(axis, F.array_min) - buffer) / size).cast("long"), F.floor((box(axis, F.array_max) + buffer) / size).cast("long"))
     listed = areas.select("area_id", "rings", F.explode(span("x")).alias("cx"), span("y").alias("ys")).select("area_id", "rings", "cx", F.explode("ys").alias("cy"))
     placed = points.select("point_id", "lon", "lat", F.floor(F.col("lon") / size).cast("long").alias("cx"), F.floor(F.col("lat") / size).cast("long").alias("cy"))
-    return placed.join(listed, ["cx", "cy"]).filter(G.in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))).select("point_id", "area_id")
+    held = G.in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))
+    if buffer:
+        held |= G.near_polygon(F.col("lon"), F.col("lat"), F.col("rings"), buffer)
+    return placed.join(listed, ["cx", "cy"]).filter(held).select("point_id", "area_id")
 
 
-def clip(points: DataFrame, inside: DataFrame, outside: DataFrame, exempt: Column, size: float = 1.0) -> DataFrame:
-    """Points inside one of ``inside`` and in none of ``outside`` (both areas), and all that are ``exempt``."""
-    kept = containing(points, inside, size).select("point_id").distinct().withColumn("_in", F.lit(True))
+def clip(points: DataFrame, inside: DataFrame, outside: DataFrame, exempt: Column, size: float = 1.0, buffer: float = REGION_BUFFER) -> DataFrame:
+    """Points inside one of ``inside``, or at most ``buffer`` degrees from it, and in none of ``outside`` (both areas, the
+    latter without a buffer), and all that are ``exempt``."""
+    kept = containing(points, inside, size, buffer).select("point_id").distinct().withColumn("_in", F.lit(True))
     lost = containing(points, outside, size).select("point_id").distinct().withColumn("_out", F.lit(True))
     joined = points.join(kept, "point_id", "left").join(lost, "point_id", "left")
     return joined.filter(exempt | (F.col("_in").isNotNull() & F.col("_out").isNull())).drop("_in", "_out")

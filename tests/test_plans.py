@@ -217,3 +217,13 @@ def test_osm_roads_of_one_name_merge_when_near(spark):
     assert set(got) == {"way/10", "way/13", "way/14"}
     assert got["way/13"] == ("street", "Elm St", "Elm St", 0.35, 0.0) and got["way/14"][1:4] == ("Oak St", "Oak St", 0.05)
     assert got["way/10"][3] == pytest.approx((0.1 * 0.05 + 0.098 * 0.151 + 0.02 * 0.05) / 0.218, abs=1e-6)
+
+
+def test_clip_keeps_the_shore_and_drops_the_neighbour(spark):
+    square = lambda x0, x1: [[(float(x), float(y)) for x, y in ((x0, 0), (x1, 0), (x1, 1), (x0, 1), (x0, 0))]]
+    shape = "area_id long, rings array<array<struct<x:double,y:double>>>"
+    inside, outside = spark.createDataFrame([(1, square(0, 1))], shape), spark.createDataFrame([(2, square(-1, 0))], shape)
+    rows = [("in", 0.5, 0.5), ("pier", 1.0029, 0.5), ("far", 1.0031, 0.5), ("corner", 1.002, 1.002), ("off corner", 1.0025, 1.0025), ("abroad", -0.001, 0.5), ("south", 0.5, -0.003)]
+    points = spark.createDataFrame(rows, "point_id string, lon double, lat double")
+    kept = lambda **k: {r.point_id for r in spatial.clip(points, inside, outside, F.lit(False), 1.0, **k).collect()}
+    assert kept() == {"in", "pier", "corner", "south"} and kept(buffer=0.0) == {"in"}
