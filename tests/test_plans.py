@@ -227,3 +227,11 @@ def test_clip_keeps_the_shore_and_drops_the_neighbour(spark):
     points = spark.createDataFrame(rows, "point_id string, lon double, lat double")
     kept = lambda **k: {r.point_id for r in spatial.clip(points, inside, outside, F.lit(False), 1.0, **k).collect()}
     assert kept() == {"in", "pier", "corner", "south"} and kept(buffer=0.0) == {"in"}
+
+
+def test_every_address_is_asked(spark, small):
+    address = lambda df: {tuple(r) for r in df.select("street", "locality", "housenumber").distinct().collect()}
+    asked = address(Q.asked_places(spark, small).filter("housenumber IS NOT NULL"))
+    homes = address(Q.homes(spark, small))
+    assert all((s, t, n) in asked or (s, t, str(int(n) + 2)) in asked for s, t, n in homes)
+    assert {int(n) % 2 for _, _, n in asked} == {0, 1}
