@@ -372,6 +372,13 @@ def test_added_spans_need_context_and_cost(spark):
     assert got[3] == [] and got[4] == [] and [k for k, _ in got[5]] == ["assign"]
 
 
+def test_letters_are_judged_by_the_words_of_the_documents(spark):
+    rows = [(1, "pwd: qmzkrtvwxplhbd"), (2, "the passphrase is xkqzjvwptyhr."), (3, "the passphrase is xkqzjvwptyhr."), (4, "the password is forgotten"), (5, "Das Kennwort ist vergessen"), (6, "clave: Contabilidad")]
+    rows += [(i, "it was forgotten, vergessen und contabilidad") for i in range(7, 10)]
+    found = {r.doc_id: [rows[r.doc_id - 1][1][s.start : s.end] for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: v for i, v in found.items() if v} == {1: ["qmzkrtvwxplhbd"], 2: ["xkqzjvwptyhr"], 3: ["xkqzjvwptyhr"]}
+
+
 # -- 9 -------------------------------------------------------------------------------------
 
 
