@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, sigmoid
@@ -36,7 +36,6 @@ THRESHOLD = 0.7
 #: Lengths of the word beginnings that may name a family, and how many lexicon voters there may be.
 STEMS = range(3, 9)
 MOST_VOTERS = 128
-MOST_CANDIDATES = 20_000
 #: What the log-likelihood ratio of a voter must reach, by how often it must occur in a text to count:
 #: the more often, the fewer chance features there are to be ruled out.
 EVIDENCE = {1: 30.0, 2: 20.0, 3: 12.0}
@@ -79,26 +78,27 @@ def _features(words: list[str]) -> Counter:
     return found
 
 
-def _tally(rows: DataFrame, only: list[str] | None = None) -> DataFrame:
+def _tally(rows: DataFrame) -> DataFrame:
     """feature, and the texts that have it at least once, twice, three times."""
-    sent = rows.sparkSession.sparkContext.broadcast(frozenset(only) if only is not None else None)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        chosen = sent.value
         seen: dict[str, list[int]] = {}
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([row[k] for row in seen.values()], pa.int64()) for k in range(3))], ["feature", "n1", "n2", "n3"])
+
         for batch in batches:
             for text in batch.column(0):
                 for feature, times in _features(_words(text.as_py())).items():
-                    if chosen is None or feature in chosen:
-                        row = seen.setdefault(feature, [0, 0, 0])
-                        for k in range(min(times, 3)):
-                            row[k] += 1
-        names = list(seen)
-        for i in range(0, len(names), 50_000):
-            part = names[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([seen[x][k] for x in part], pa.int64()) for k in range(3))], ["feature", "n1", "n2", "n3"])
+                    row = seen.setdefault(feature, [0, 0, 0])
+                    for k in range(min(times, 3)):
+                        row[k] += 1
+                if len(seen) > 100_000:
+                    yield out()
+                    seen.clear()
+        yield out()
 
     counted = rows.select("text").mapInArrow(run, "feature string, n1 long, n2 long, n3 long")
     return counted.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3")))
@@ -112,14 +112,31 @@ def _evidence(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return 2 * (toxic * np.log(toxic / (both * rate)) + (clean * np.log(clean / (both * (1 - rate))) if clean else 0.0))
 
 
-def _choose(toxic: dict[str, tuple], clean: dict[str, tuple], n_toxic: int, n_clean: int) -> list[tuple[str, bool]]:
+def _strong(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """:func:`_evidence` as a column, null where it is 0."""
+    both, rate = toxic + clean, n_toxic / (n_toxic + n_clean)
+    apart = toxic * F.log(toxic / (both * rate)) + F.when(clean > 0, clean * F.log(clean / (both * (1 - rate)))).otherwise(0.0)
+    return F.when((toxic >= 3) & (toxic > 2 * both * rate), 2 * apart)
+
+
+def _candidates(sample: DataFrame, n_toxic: int, n_clean: int, support: int) -> dict[str, tuple[tuple, tuple]]:
+    """Counts in toxic and in clean texts of every feature with the support and enough evidence. The tallies are joined
+    and judged before anything is collected."""
+    toxic = _tally(sample.filter("toxic = 1")).filter(F.col("n1") >= support)
+    clean = _tally(sample.filter("toxic = 0")).select("feature", *(F.col(f"n{k}").alias(f"c{k}") for k in (1, 2, 3)))
+    both = toxic.join(clean, "feature", "left").na.fill(0, ["c1", "c2", "c3"])
+    # The driver has the last word at the border, where a logarithm's last digits may differ.
+    strong = F.greatest(*(F.coalesce(_strong(F.col(f"n{k}"), F.col(f"c{k}"), n_toxic, n_clean) - least, F.lit(-1.0)) for k, least in EVIDENCE.items()), F.lit(-1.0))
+    return {r.feature: ((r.n1, r.n2, r.n3), (r.c1, r.c2, r.c3)) for r in both.filter(strong >= -1e-6).collect()}
+
+
+def _choose(found: dict[str, tuple[tuple, tuple]], n_toxic: int, n_clean: int) -> list[tuple[str, bool]]:
     """Lexicon voters: features far more frequent in toxic texts, one for each family of beginnings."""
     scored = []
-    for feature, counts in toxic.items():
-        others = clean.get(feature, (0, 0, 0))
-        found = {k: _evidence(counts[k - 1], others[k - 1], n_toxic, n_clean) for k in EVIDENCE}
-        if any(found[k] >= EVIDENCE[k] for k in EVIDENCE):
-            scored.append((-round(max(found.values()), 6), -len(feature), feature))
+    for feature, (counts, others) in found.items():
+        score = {k: _evidence(counts[k - 1], others[k - 1], n_toxic, n_clean) for k in EVIDENCE}
+        if any(score[k] >= EVIDENCE[k] for k in EVIDENCE):
+            scored.append((-round(max(score.values()), 6), -len(feature), feature))
     chosen: list[str] = []
     for _, _, feature in sorted(scored):
         bare = feature.rstrip("$")
@@ -251,12 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n_toxic or not n_clean:
         return None
     support = max(3, n_toxic // 400)
-    found = _tally(sample.filter("toxic = 1")).filter(F.col("n1") >= support).orderBy(F.desc(F.col("n1") + F.col("n2") + F.col("n3")), "feature")
-    toxic = {r.feature: (r.n1, r.n2, r.n3) for r in found.limit(MOST_CANDIDATES).collect()}
-    clean = {r.feature: (r.n1, r.n2, r.n3) for r in _tally(sample.filter("toxic = 0"), list(toxic)).collect()}
-    lexicon = _choose(toxic, clean, n_toxic, n_clean)
+    found = _candidates(sample, n_toxic, n_clean, support)
+    lexicon = _choose(found, n_toxic, n_clean)
     names = [a + "$" * b for a, b in lexicon]
-    weights = np.array([np.log((toxic[x][0] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (clean.get(x, (0, 0, 0))[0] + 0.5)) for x in names])
+    weights = np.array([np.log((found[x][0][0] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (found[x][1][0] + 0.5)) for x in names])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -75,6 +75,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert held[held.toxic == 1].predicted.mean() > 0.85 and held[held.toxic == 0].predicted.mean() < 0.01
 
 
+def test_rare_toxic_words_are_found_among_many_common_ones(spark):
+    rng = random.Random(5)
+    common = ["".join(rng.choice("abcdefghijklmnop") for _ in range(10)) for _ in range(5000)]
+    rows = [(i, " ".join(rng.sample(common, len(common)) + ["zutterwicht"] * (i % 6 == 0)), int(i % 3 == 0)) for i in range(180)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len({f for w in common for f in toxicity._features([w])}) > 20_000
+    assert [x for x, _ in toxicity.fit(df, df.select("doc_id", "toxic")).lexicon] == ["zutterwicht"]
+
+
 def test_label_model_finds_accuracies_and_discounts_copies():
     rng = np.random.default_rng(0)
     y = rng.random(6000) < 0.3
