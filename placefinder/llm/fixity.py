@@ -6,8 +6,8 @@ children, which is an offset range of the archive. Two replicas are compared roo
 children of nodes that differ are compared next, down to the slots that are damaged.
 
 Edge cases: null url or html count as empty; a null page_id is placed by a hash of its record, in
-archives of its own (negative numbers); repeated rows share a slot and must occur as often in the
-other replica; records that only one replica has are "missing" or "extra"; empty tables give an empty
+archives of its own (negative numbers); repeated rows share a slot and must occur as often or
+oftener in the other replica; records that only one replica has are "missing" or "extra"; empty tables give an empty
 result; other columns are ignored.
 """
 
@@ -17,7 +17,7 @@ import gzip
 import io
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import save
@@ -82,22 +82,37 @@ def damaged_slots(primary: list[DataFrame], replica: list[DataFrame]) -> DataFra
 def audit(primary: DataFrame, replica: DataFrame, **columns: str) -> DataFrame:
     """One row per record: page_id, archive, slot, byte_offset (in its own replica), n_bytes, leaf_sha256, status.
 
-    status: ok, changed (the slot holds other content in the replica), missing (not in the replica) or
-    extra (in the replica alone; its row is the replica's).
+    status: ok, changed (the slot holds a record in its place that the primary lacks), missing (not, or not as
+    often, in the replica) or extra (in the replica alone and in no record's place; its row is the replica's).
+    Further copies, in the replica, of a record that both hold are not reported.
     """
     one, two = save(records(primary, **columns)), save(records(replica, **columns))
     damaged = damaged_slots(tree(one), tree(two)).withColumn("bad", F.lit(True))
-    there = lambda rows: rows.select("archive", "slot").distinct().withColumn("there", F.lit(True))
-    flagged = one.join(damaged, ["archive", "slot"], "left")
-    flagged = flagged.join(there(two.join(damaged, ["archive", "slot"], "left_semi")), ["archive", "slot"], "left")
-    same = two.join(damaged, ["archive", "slot"], "left_semi").select("archive", "slot", "leaf").distinct().withColumn("same", F.lit(True))
-    flagged = flagged.join(same, ["archive", "slot", "leaf"], "left")
-    status = F.when(F.col("bad").isNull() | F.col("same").isNotNull(), "ok").when(F.col("there").isNull(), "missing").otherwise("changed")
-    extra = two.join(damaged, ["archive", "slot"], "left_semi").join(there(one), ["archive", "slot"], "left_anti")
+    slot = ["archive", "slot"]
+    left, right = one.join(damaged, slot, "left"), two.join(damaged, slot, "left_semi")
+    # How often each record of a damaged slot occurs in either replica.
+    count = lambda rows, name: rows.groupBy(*slot, "leaf").agg(F.count(F.lit(1)).alias(name))
+    both = count(left.filter("bad"), "n1").join(count(right, "n2"), [*slot, "leaf"], "full_outer").na.fill(0, ["n1", "n2"])
+    # Records that only the replica holds stand for records that it lost, one for one.
+    new = F.when(F.col("n1") == 0, F.col("n2")).otherwise(0)
+    lost = F.greatest(F.col("n1") - F.col("n2"), F.lit(0))
+    before = Window.partitionBy(*slot).orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    total = Window.partitionBy(*slot)
+    both = both.select(*slot, "leaf", "n1", "n2", F.coalesce(F.sum(lost).over(before), F.lit(0)).alias("lost_before"), F.coalesce(F.sum(new).over(before), F.lit(0)).alias("new_before"), F.sum(lost).over(total).alias("lost"), F.sum(new).over(total).alias("new"))
+    both = save(both)
+    copy = F.row_number().over(Window.partitionBy(*slot, "leaf").orderBy("page_id"))
+    bad = left.filter("bad").join(both, [*slot, "leaf"]).withColumn("copy", copy)
+    place = F.col("lost_before") + F.col("copy") - F.col("n2")
+    status = F.when(F.col("copy") <= F.col("n2"), "ok").when(place <= F.col("new"), "changed").otherwise("missing")
+    sound = left.filter("bad IS NULL").withColumn("status", F.lit("ok"))
+    columns_in = ["page_id", "archive", "slot", "n_bytes", "leaf", "status"]
+    flagged = sound.select(*columns_in).unionByName(bad.withColumn("status", status).select(*columns_in))
+    surplus = right.join(both.filter("n1 = 0"), [*slot, "leaf"]).withColumn("copy", copy)
+    extra = surplus.filter(F.col("new_before") + F.col("copy") > F.col("lost")).select("page_id", "archive", "slot", "n_bytes", "leaf")
     order = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offset = F.expr(f"coalesce(sum(n_bytes) OVER (PARTITION BY archive ORDER BY slot, leaf, page_id {order}), 0)").alias("byte_offset")
     columns_out = ["page_id", "archive", "slot", "byte_offset", "n_bytes", F.col("leaf").alias("leaf_sha256"), "status"]
-    rows = flagged.select("page_id", "archive", "slot", "n_bytes", "leaf", status.alias("status")).select("*", offset).select(*columns_out)
+    rows = flagged.select("*", offset).select(*columns_out)
     return rows.unionByName(extra.select("*", offset, F.lit("extra").alias("status")).select(*columns_out))
 
 

@@ -137,6 +137,15 @@ def test_audit_finds_every_kind_of_damage(spark):
     assert fixity.audit(one, one).count() == len(rows)
 
 
+def test_audit_counts_copies_and_names_other_records_of_a_slot(spark):
+    shape = "page_id long, url string, html string"
+    sound = [(i, "u", str(i)) for i in range(20)]
+    one = spark.createDataFrame([*sound, (5, "u", "5"), (5, "u", "5"), (6, "u", "b"), (7, "u", "b")], shape)
+    two = spark.createDataFrame([*sound, (5, "u", "5"), (6, "u", "c"), (6, "u", "d"), (8, "u", "new"), (9, "u", "9b"), (9, "u", "9b")], shape)
+    got = collections.Counter((r.page_id, r.status) for r in fixity.audit(one, two).collect() if r.status != "ok")
+    assert got == {(5, "missing"): 1, (6, "changed"): 1, (6, "extra"): 1, (7, "missing"): 1, (8, "extra"): 1, (9, "extra"): 2}
+
+
 def test_descent_looks_only_below_differing_nodes(spark):
     shape = "page_id long, url string, html string"
     one = spark.createDataFrame([(i, "u", str(i)) for i in range(5000)], shape)
