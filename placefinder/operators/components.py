@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import save
+from .tables import discard, save
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,10 +24,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         for _ in range(2):
             high = up.select(F.col("at").alias("up"), F.col("up").alias("upper"))
             up = up.join(high, "up").select("at", F.col("upper").alias("up"))
-        up = save(up)
+        old_up, up = up, save(up)
+        old_labels, old_live = labels, live
         labels = save(labels.join(up.select(F.col("at").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
         left = up.select(F.col("at").alias("a"), F.col("up").alias("x"))
         right = up.select(F.col("at").alias("b"), F.col("up").alias("y"))
         ends = live.join(left, "a").join(right, "b").filter("x <> y")
         live = save(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(old_live, old_labels, up, old_up)
+    discard(live)
     return labels
