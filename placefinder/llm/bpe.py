@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 
 from .shared import id_text, slices
 
-#: Words whose ids a worker remembers at once. A bound on memory only: forgotten words are encoded again.
-REMEMBERED_WORDS = 250_000
+#: What a worker's memory of words and their ids may take (bytes, about), and the longest word it holds. Bounds on
+#: memory only: other words are encoded again.
+REMEMBERED_BYTES, REMEMBERED_LENGTH, PER_WORD = 24 << 20, 64, 220
 
 
 def byte_alphabet() -> list[str]:
@@ -89,9 +90,11 @@ class WordBpe:
     def _packed(self, word: str) -> bytes:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= REMEMBERED_WORDS:
-                self.known.clear()
-            found = self.known[word] = np.array(self.merge_word(word), dtype="<u4").tobytes()
+            found = np.array(self.merge_word(word), dtype="<u4").tobytes()
+            if len(word) <= REMEMBERED_LENGTH:
+                if len(self.known) * PER_WORD >= REMEMBERED_BYTES:
+                    self.known.clear()
+                self.known[word] = found
         return found
 
     def _encode_plain(self, text: str) -> bytes:
@@ -108,7 +111,7 @@ class WordBpe:
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if self.marks and "<|" in text:
+        if self.marks and any(x in text for x in self.special):
             parts = self.marks(text)
             return b"".join(int(self.special[p]).to_bytes(4, "little") if p in self.special else self._encode_plain(p) for p in parts)
         return self._encode_plain(text)

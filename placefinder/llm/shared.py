@@ -1,54 +1,32 @@
-"""Helpers the corpus operators share: durable intermediate tables and byte-level word hashing."""
+"""Helpers the corpus operators share: texts by id, filters of whole texts, and byte-level word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# -- durable intermediates -----------------------------------------------------------------
+from ..operators.tables import save
 
+#: Rows that Spark hands to Python at once, unless the session says otherwise than Spark's default: texts are wide, and
+#: a batch is held by the executor and by its worker.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='placefinder-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
 
-
-def save(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor loses nothing that was saved. ``parts`` coalesces
-    tables known to be small.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/table-{uuid.uuid4().hex}"
-    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete tables made by :func:`save` that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "_saved_at", None)
-        if path:
-            jvm = table.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after seeing to it that its session hands over ``BATCH_ROWS`` rows at once."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key, DEFAULT_ROWS) == DEFAULT_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Exactly two columns, ``doc_id`` and ``text`` (null text becomes empty), whatever else the input has."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Exactly two columns, ``doc_id`` and ``text`` (null text becomes empty), whatever else the input has. Ids are
+    integers, or texts of integers."""
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def id_remainder(id_col: str | Column, modulus: int) -> Column:
@@ -104,7 +82,7 @@ def filter_texts(docs: DataFrame, keep: Callable[[], Callable], text_col: str =
                 part = batch.slice(a, z - a)
                 yield part.filter(pa.array(test(pc.fill_null(part.column(at), "")), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 # -- hashing words straight from UTF-8 bytes ------------------------------------------------
@@ -116,7 +94,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WEIGHTS = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 #: Bytes that part words for near-duplicate search: space and 0x09-0x0D.
 SPACE_BREAKS = np.zeros(256, dtype=bool)
@@ -156,7 +134,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray) -> tup
     """Hash every word of several texts laid end to end in ``data`` (text i: bounds[i]..bounds[i+1]).
 
     Returns the words' 64-bit hashes, their byte starts, and for each text the index of its first
-    word (one more entry closes the last). Work memory is bounded by pieces of about 1 MB that are
+    word (one more entry closes the last). Work memory is bounded by pieces of about 256 KB that are
     cut at word ends, however long a text is.
     """
     n = len(data)
