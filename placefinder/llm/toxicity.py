@@ -2,7 +2,8 @@
 
 Voters are lexicon voters (a word, or the first letters of a family of words, that training rows show
 to go with toxic texts) and pattern voters (how many such words, how many kinds, how dense, how many
-in one line, none at all). A generative label model estimates by expectation-maximisation how each
+in one line, none at all; and, beside the lexicon, shouting, marks piled up, letters drawn out, calm
+prose). Given labels choose the lexicon and the share of toxic texts; they are no voter. A generative label model estimates by expectation-maximisation how each
 voter votes on toxic and on clean texts, and how the votes stay correlated once the class is known;
 correlated voters are discounted so that they don't count the same evidence twice. A linear
 classifier is trained on the model's posterior labels and scores whole texts.
@@ -19,6 +20,7 @@ scores; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,15 +29,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import discard, save
 from .linear import fit_logistic, sigmoid
-from .shared import discard, filter_texts, id_remainder, id_text, mix, save, shingle_sets, slices, text_bytes
+from .shared import filter_texts, id_remainder, id_text, mix, shingle_sets, slices, text_bytes
 
 FOLDS, HELD_OUT = 3, 1
 MOST_TOXIC, MOST_CLEAN = 4000, 12000
 THRESHOLD = 0.7
-#: Lengths of the word beginnings that may name a family, and how many lexicon voters there may be.
+#: Lengths of the word beginnings that may name a family.
 STEMS = range(3, 9)
-MOST_VOTERS = 128
 #: What the log-likelihood ratio of a voter must reach, by how often it must occur in a text to count:
 #: the more often, the fewer chance features there are to be ruled out.
 EVIDENCE = {1: 30.0, 2: 20.0, 3: 12.0}
@@ -142,8 +144,6 @@ def _choose(found: dict[str, tuple[tuple, tuple]], n_toxic: int, n_clean: int) -
         bare = feature.rstrip("$")
         if not any(bare.startswith(c.rstrip("$")) or c.rstrip("$").startswith(bare) for c in chosen):
             chosen.append(feature)
-        if len(chosen) == MOST_VOTERS:
-            break
     return [(c.rstrip("$"), c.endswith("$")) for c in chosen]
 
 
@@ -196,6 +196,15 @@ class Counting:
         return hits, max(lines.values(), default=0), len(text.split())
 
 
+def _manner(text: str) -> list[int]:
+    """Votes on how a text is written, whatever its words: shouting, marks piled up, letters drawn out, calm prose."""
+    letters = sum(map(str.isalpha, text))
+    shouted = letters >= 40 and sum(map(str.isupper, text)) >= 0.3 * letters
+    piled = len(re.findall(r"[!?]{2,}", text))
+    drawn = re.search(r"([^\W\d_])\1{3,}", text) is not None
+    return [int(shouted), int(piled >= 2), int(drawn), -int(not (shouted or piled or drawn or "!" in text))]
+
+
 def _row(hits: dict[int, int], line: int, words: int, weights: np.ndarray) -> list[float]:
     """What the classifier sees of a text."""
     total = sum(hits.values())
@@ -203,44 +212,49 @@ def _row(hits: dict[int, int], line: int, words: int, weights: np.ndarray) -> li
     return [np.log1p(total), np.log1p(len(hits)), total >= 1, total >= 2, total >= 3, total >= 5, np.log((total + 0.1) / (words + 20)), np.log1p(words), line >= 2, weighed, min(total / (words + 20), 0.1) * 100]
 
 
-def _votes(hits: dict[int, int], line: int, words: int, size: int) -> list[int]:
+def _votes(hits: dict[int, int], line: int, words: int, manner: list[int], size: int) -> list[int]:
     """1 toxic, -1 clean, 0 abstains; lexicon voters first."""
     total = sum(hits.values())
     rate = total / (words + 20)
     lexicon = [1 if i in hits else 0 for i in range(size)]
-    return lexicon + [1 if total >= 2 else -1, 1 if total >= 3 else 0, 1 if len(hits) >= 2 else 0, 1 if rate > 0.006 else 0, 1 if rate > 0.015 else 0, 1 if line >= 2 else 0, -1 if total == 0 else 0, -1 if total <= 1 else 0, -1 if rate < 0.002 else 0]
+    return lexicon + [1 if total >= 2 else -1, 1 if total >= 3 else 0, 1 if len(hits) >= 2 else 0, 1 if rate > 0.006 else 0, 1 if rate > 0.015 else 0, 1 if line >= 2 else 0, -1 if total == 0 else 0, -1 if total <= 1 else 0, -1 if rate < 0.002 else 0, *manner]
 
 
-PATTERNS = ["two or more", "three or more", "two kinds or more", "dense", "very dense", "two in a line", "none", "one at most", "sparse"]
+PATTERNS = ["two or more", "three or more", "two kinds or more", "dense", "very dense", "two in a line", "none", "one at most", "sparse", "shouting", "marks piled up", "letters drawn out", "calm"]
 
 
 def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of class 1, P(vote | class) by voter, correlations of the votes given the class)."""
+    """(posterior of class 1, P(vote | class) by voter, correlations of the votes given the class).
+
+    Work memory is a few numbers for each text and voter of the (bounded) sample, however many voters there are.
+    """
     n, m = votes.shape
-    one_hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    votes = votes.astype(np.float32)
+    cast = [(votes == v).astype(np.float32) for v in (-1, 0, 1)]
+
+    def spread_out(share: np.ndarray) -> np.ndarray:
+        """Products of the votes about their weighted means, summed over texts."""
+        w = (weight * share).astype(np.float32)
+        mean = (w @ votes) / max(float(w.sum()), 1e-9)
+        return ((votes * w[:, None]).T @ votes - float(w.sum()) * np.outer(mean, mean)).astype(float)
+
     # The start: a majority in which voters that vote almost alike share one voice.
-    centred = votes - (weight @ votes) / weight.sum()
-    alike = (centred * weight[:, None]).T @ centred
+    alike = spread_out(np.ones(n))
     spread = np.sqrt(np.maximum(np.diag(alike), 1e-9))
     lean = votes @ (1.0 / np.maximum(((alike / np.outer(spread, spread)) ** 4).sum(axis=1), 1.0))
     q = np.where(lean > 0, 0.9, np.where(lean < 0, 0.02, prior))
-    discount = np.ones(m) / max(1.0, np.sqrt(m))
     correlation = np.eye(m)
     table = np.zeros((2, m, 3))
     for _ in range(rounds):
         for y, share in ((1, q), (0, 1 - q)):
             w = weight * share
-            table[y] = (np.einsum("n,nmv->mv", w, one_hot) + 0.5 / 3) / (w.sum() + 0.5)
-        residual = np.zeros((m, m))
-        for share in (q, 1 - q):
-            w = weight * share
-            centred = votes - (w @ votes) / max(w.sum(), 1e-9)
-            residual += (centred * w[:, None]).T @ centred
+            table[y] = (np.stack([w.astype(np.float32) @ c for c in cast], axis=1) + 0.5 / 3) / (w.sum() + 0.5)
+        residual = spread_out(q) + spread_out(1 - q)
         spread = np.sqrt(np.maximum(np.diag(residual), 1e-9))
         correlation = residual / np.outer(spread, spread)
         discount = 1.0 / (1.0 + np.maximum(correlation - np.eye(m), 0).sum(axis=1))
         gain = np.log(table[1] / table[0]) * discount[:, None]
-        odds = np.log(prior / (1 - prior)) + np.einsum("nmv,mv->n", one_hot, gain)
+        odds = np.log(prior / (1 - prior)) + sum(c @ gain[:, v] for v, c in enumerate(cast))
         new = sigmoid(odds)
         moved = np.max(np.abs(new - q))
         q = new
@@ -280,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             rows = [count(t.as_py()) for t in batch.column(0)]
             x = [[float(v) for v in _row(*r, weights)] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array([_votes(*r, len(lexicon)) for r in rows], pa.list_(pa.int32())), batch.column(1)], ["x", "votes", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array([_votes(*r, _manner(t.as_py()), len(lexicon)) for r, t in zip(rows, batch.column(0))], pa.list_(pa.int32())), batch.column(1)], ["x", "votes", "toxic"])
 
     table = sample.select("text", "toxic").mapInArrow(run, "x array<double>, votes array<int>, toxic int").toArrow()
     x = np.array(table["x"].to_pylist(), dtype=float)
@@ -288,11 +302,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gold = np.array(table["toxic"].to_pylist())
     prior = balance[1] / (balance[0] + balance[1])
     weight = np.where(gold == 1, prior / n_toxic, (1 - prior) / n_clean) * len(gold)
-    # The given labels are one more voter of the label model; the classifier never sees them.
-    votes = np.column_stack([votes, np.where(gold == 1, 1, -1)])
     posterior, tables, correlation = label_model(votes, weight, prior)
     coefficients, intercept = fit_logistic(x, posterior, weight, ridge=1e-4)
-    voters = [*names, *PATTERNS, "given label"]
+    voters = [*names, *PATTERNS]
     discard(sample)
     return ToxicityModel(lexicon, weights, coefficients, intercept, {v: (float(tables[1, i, 2]), float(tables[0, i, 2])) for i, v in enumerate(voters)}, correlation)
 
