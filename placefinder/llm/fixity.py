@@ -6,9 +6,9 @@ children, which is an offset range of the archive. Two replicas are compared roo
 children of nodes that differ are compared next, down to the slots that are damaged.
 
 Edge cases: null url or html count as empty; a null page_id is placed by a hash of its record, in
-archives of its own (negative numbers); repeated rows share a slot and must occur as often or
-oftener in the other replica; records that only one replica has are "missing" or "extra"; empty tables give an empty
-result; other columns are ignored.
+archives of its own (negative numbers); repeated rows share a slot and must occur as often in the
+other replica: copies that it lacks are "missing", copies that it has beyond them "extra"; records that only one
+replica has are "missing" or "extra"; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import save
+from ..operators.tables import save
+
+
 
 FANOUT, LEVELS = 16, 2
 SLOTS = FANOUT ** (LEVELS + 1) // 4
@@ -83,8 +85,8 @@ def audit(primary: DataFrame, replica: DataFrame, **columns: str) -> DataFrame:
     """One row per record: page_id, archive, slot, byte_offset (in its own replica), n_bytes, leaf_sha256, status.
 
     status: ok, changed (the slot holds a record in its place that the primary lacks), missing (not, or not as
-    often, in the replica) or extra (in the replica alone and in no record's place; its row is the replica's).
-    Further copies, in the replica, of a record that both hold are not reported.
+    often, in the replica) or extra (in the replica alone and in no record's place, or one copy more there than in
+    the primary; its row is the replica's).
     """
     one, two = save(records(primary, **columns)), save(records(replica, **columns))
     damaged = damaged_slots(tree(one), tree(two)).withColumn("bad", F.lit(True))
@@ -107,8 +109,9 @@ def audit(primary: DataFrame, replica: DataFrame, **columns: str) -> DataFrame:
     sound = left.filter("bad IS NULL").withColumn("status", F.lit("ok"))
     columns_in = ["page_id", "archive", "slot", "n_bytes", "leaf", "status"]
     flagged = sound.select(*columns_in).unionByName(bad.withColumn("status", status).select(*columns_in))
-    surplus = right.join(both.filter("n1 = 0"), [*slot, "leaf"]).withColumn("copy", copy)
-    extra = surplus.filter(F.col("new_before") + F.col("copy") > F.col("lost")).select("page_id", "archive", "slot", "n_bytes", "leaf")
+    surplus = right.join(both.filter("n2 > n1"), [*slot, "leaf"]).withColumn("copy", copy)
+    beyond = F.when(F.col("n1") > 0, F.col("copy") > F.col("n1")).otherwise(F.col("new_before") + F.col("copy") > F.col("lost"))
+    extra = surplus.filter(beyond).select("page_id", "archive", "slot", "n_bytes", "leaf")
     order = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offset = F.expr(f"coalesce(sum(n_bytes) OVER (PARTITION BY archive ORDER BY slot, leaf, page_id {order}), 0)").alias("byte_offset")
     columns_out = ["page_id", "archive", "slot", "byte_offset", "n_bytes", F.col("leaf").alias("leaf_sha256"), "status"]
