@@ -1,11 +1,16 @@
 """Operator 5: benchmark decontamination with suffix arrays.
 
 Each shard of the training texts (a run of whole documents) is turned into word numbers and its
-suffixes are sorted. Every suffix of every test item is then located in that array by binary search;
-the neighbours it lands between share its longest verbatim match, and the run of suffixes that share
-at least one window with it gives the places. A suffix whose first two words never follow each other
-in a test item cannot share two words with any test suffix, so it is left out of the array; that is
-exact and keeps the arrays short.
+suffixes are sorted by their first ``WINDOW`` words, which is as deep as a search looks. The suffixes
+of the test items are located in that array by binary search: the run of shard suffixes that begin
+with a test suffix's window gives all places of the window, and every match is then followed word by
+word to its end, which gives the longest verbatim match of each item and where it lies. Two exact
+short cuts keep the work in step with what is found: a shard suffix whose first two words never
+follow each other in a test item is left out of the array, and only test suffixes whose first two
+words follow each other in the shard are searched for.
+
+Words are compared by 64-bit hashes; for n different words the chance that any two of them share one
+is under n^2 / 2^65 (3e-6 for ten million).
 
 Test items are taken in blocks of at most ``block_words`` words; only one block is held at a time, so
 what is sent to executors has a fixed bound however many items there are.
@@ -28,11 +33,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM_BREAKS, filter_texts, id_text, save, slices, text_bytes, word_hashes
+from ..operators.tables import save
+from .shared import ALNUM_BREAKS, filter_texts, id_text, slices, text_bytes, word_hashes
 
 WINDOW = 10
-#: Test words per block: the bound on what is broadcast (8 bytes a word and a little).
-BLOCK_WORDS = 2_000_000
+#: Test words per block: the bound on what is broadcast (some 50 bytes a word) and on what a worker makes of it (40).
+BLOCK_WORDS = 1_000_000
+#: Bytes of text in a shard, unless one text is longer.
+SHARD_BYTES = 4 << 20
 
 
 class TestSuffixes:
@@ -63,8 +71,32 @@ class TestSuffixes:
         self.starts, self.owner, self.length = (np.array(x, dtype=np.int64) for x in (starts, owner, length))
         follows = (self.text[:-1] << 32) | self.text[1:]
         self.pairs = np.unique(follows[(self.text[:-1] > 0) & (self.text[1:] > 0)])
-        single = self.starts[self.length == 1] if len(starts) else np.zeros(0, np.int64)
-        self.singles = np.unique(self.text[single])
+        single = self.length == 1
+        self.singles = np.unique(self.text[self.starts[single]])
+        # Suffixes in the order of their first pair, and where each pair's begin; those of one word come last.
+        pair = np.where(single, len(self.pairs), np.searchsorted(self.pairs, follows[self.starts]))
+        order = np.argsort(pair, kind="stable")
+        self.starts, self.owner, self.length = self.starts[order], self.owner[order], self.length[order]
+        self.pair_begins = np.searchsorted(pair[order], np.arange(len(self.pairs) + 2))
+        self.item_begins = np.concatenate(([0], np.cumsum(np.diff(first) + 1)))
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lowest and highest key that begins with each suffix's window; made once in each worker."""
+        if not hasattr(self, "_bounds"):
+            low = self.text[self.starts[:, None] + np.arange(self.window)].astype(">u4")
+            beyond = np.arange(self.window) >= self.length[:, None]
+            low[beyond] = 0
+            short = self.length < self.window
+            high = low[short]
+            high[beyond[short]] = 0xFFFFFFFF
+            as_key = lambda x: np.ascontiguousarray(x).view(f"S{4 * self.window}").ravel()
+            low_key = as_key(low)
+            high_key = low_key
+            if short.any():
+                high_key = low_key.copy()
+                high_key[short] = as_key(high)
+            self._bounds = low_key, high_key
+        return self._bounds
 
     def keys(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
         """A suffix's first words as bytes that sort as the words do."""
@@ -94,9 +126,11 @@ class Shard:
         self.text[np.arange(len(words)) + owner] = tests.number(words)
         follows = (self.text[:-1] << 32) | self.text[1:]
         keep = np.zeros(len(self.text), dtype=bool)
+        self.present = np.zeros(0, dtype=np.int64)
         if len(tests.pairs):
             near = np.minimum(np.searchsorted(tests.pairs, follows), len(tests.pairs) - 1)
             keep[:-1] = tests.pairs[near] == follows
+            self.present = np.unique(near[keep[:-1]])
         if len(tests.singles):
             keep |= np.isin(self.text, tests.singles)
         at = np.flatnonzero(keep[: len(self.text) - tests.window])
@@ -109,18 +143,17 @@ class Shard:
         tests = self.tests
         if not len(self.suffixes) or not len(tests.starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low_key = tests.text[tests.starts[:, None] + np.arange(tests.window)].astype(">u4")
-        beyond = np.arange(tests.window) >= tests.length[:, None]
-        low_key[beyond] = 0
-        high_key = low_key.copy()
-        high_key[beyond] = 0xFFFFFFFF
-        as_key = lambda x: np.ascontiguousarray(x).view(f"S{4 * tests.window}").ravel()
-        low = np.searchsorted(self.keys, as_key(low_key), side="left")
-        high = np.searchsorted(self.keys, as_key(high_key), side="right")
+        begins = tests.pair_begins
+        first, size = begins[self.present], begins[self.present + 1] - begins[self.present]
+        ones = np.arange(begins[-2], begins[-1])
+        asked = np.concatenate((np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum()), ones))
+        low_key, high_key = tests.bounds()
+        low = np.searchsorted(self.keys, low_key[asked], side="left")
+        high = np.searchsorted(self.keys, high_key[asked], side="right")
         count = high - low
         which = np.repeat(np.arange(len(count)), count)
         within = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        return which, self.suffixes[low[which] + within]
+        return asked[which], self.suffixes[low[which] + within]
 
     def extend(self, which: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How many words each match goes on for, verbatim."""
@@ -162,8 +195,8 @@ def _spans(hit: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def find_matches(docs: DataFrame, items: list[tuple[object, str]], window: int = WINDOW, longest: bool = True) -> DataFrame:
-    """For each document: n_words, the hit words as span edges, the items that occur, and on request for
+def find_matches(docs: DataFrame, items: list[tuple[object, str]], window: int = WINDOW) -> DataFrame:
+    """For each document: n_words, the hit words as span edges, the items that occur, and for
     each such item its longest verbatim match (item, words, place in the document, place in the item)."""
     tests = TestSuffixes(items, window)
     sent = docs.sparkSession.sparkContext.broadcast(tests)
@@ -173,7 +206,7 @@ def find_matches(docs: DataFrame, items: list[tuple[object, str]], window: int =
 
         tests = sent.value
         for batch in batches:
-            for a, z in slices(batch.column(1)):
+            for a, z in slices(batch.column(1), SHARD_BYTES, 4096):
                 shard = Shard(tests, *text_bytes(batch.column(1).slice(a, z - a)))
                 which, at = shard.matches()
                 owner = np.searchsorted(shard.begin, at, side="right") - 1
@@ -199,17 +232,14 @@ def find_matches(docs: DataFrame, items: list[tuple[object, str]], window: int =
                     np.add.at(step, p + tests.length[w], -1)
                     spans.append(_spans(np.cumsum(step[:-1]) > 0))
                     found.append(sorted({str(tests.ids[i]) for i in np.unique(tests.owner[w])}))
-                    if longest:
-                        length = shard.extend(w, p + shard.begin[d])
-                        top: dict[str, dict] = {}
-                        for i in np.lexsort((p, -length)):
-                            name = str(tests.ids[tests.owner[w[i]]])
-                            if name not in top:
-                                start = int(np.searchsorted(tests.owner, tests.owner[w[i]]))
-                                top[name] = {"item_id": name, "words": int(length[i]), "doc_word": int(p[i]), "item_word": int(tests.starts[w[i]] - tests.starts[start])}
-                        best.append([top[k] for k in sorted(top)])
-                    else:
-                        best.append([])
+                    length = shard.extend(w, p + shard.begin[d])
+                    top: dict[str, dict] = {}
+                    for i in np.lexsort((tests.starts[w], p, -length)):
+                        name = str(tests.ids[tests.owner[w[i]]])
+                        if name not in top:
+                            start = int(tests.item_begins[tests.owner[w[i]]])
+                            top[name] = {"item_id": name, "words": int(length[i]), "doc_word": int(p[i]), "item_word": int(tests.starts[w[i]] - start)}
+                    best.append([top[k] for k in sorted(top)])
                 kind = pa.list_(pa.struct([("item_id", pa.string()), ("words", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, z - a), pa.array(keys, pa.int64()), pa.array(np.diff(shard.first), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), pa.array(best, kind)],
@@ -221,7 +251,7 @@ def find_matches(docs: DataFrame, items: list[tuple[object, str]], window: int =
 
 
 def _merge(batches: Iterator) -> Iterator:
-    """Union of the span edges and items that several blocks found in a document."""
+    """Union of the span edges and items that several blocks found in a document, and its longest match."""
     import pyarrow as pa
 
     for batch in batches:
@@ -237,38 +267,40 @@ def _merge(batches: Iterator) -> Iterator:
             counts.append(len(names))
             digests.append(hashlib.sha256(",".join(names).encode("utf-8")).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            [batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hits], pa.bool_()), batch.column("longest")],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"],
         )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of its longest
+    verbatim match with an item, 0 without one; :func:`longest_matches` has them all, with their places).
 
     With one block of test items there is no shuffle at all. With more, each block's finds are saved
     and only documents that were hit are regrouped, by id and a hash of the text.
     """
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
     base = id_text(docs, id_col, text_col)
     blocks = item_blocks(benchmark, item_id, item_text, block_words)
     first = next(blocks, [])
     second = next(blocks, None)
+    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).cast("long").alias("longest")
+    finds = lambda block: find_matches(base, block, window).select("doc_id", "text_key", "n_words", "edges", "items", longest)
     if second is None:
-        one = find_matches(base, first, window, longest=False)
-        return one.select("doc_id", "n_words", F.array("edges").alias("edges"), F.array("items").alias("items")).mapInArrow(_merge, schema)
+        return finds(first).select("doc_id", "n_words", F.array("edges").alias("edges"), F.array("items").alias("items"), "longest").mapInArrow(_merge, schema)
     key = ["doc_id", "text_key", "n_words"]
-    tables = [save(find_matches(base, first, window, longest=False).drop("matches"))]
+    tables = [save(finds(first))]
     for block in chain([second], blocks):
-        tables.append(save(find_matches(base, block, window, longest=False).drop("matches").filter("size(edges) > 0")))
+        tables.append(save(finds(block).filter("size(edges) > 0")))
     found = tables[0].filter("size(edges) > 0")
     for more in tables[1:]:
         found = found.unionByName(more)
-    merged = found.groupBy(*key).agg(F.collect_set("edges").alias("all_edges"), F.collect_set("items").alias("all_items"))
+    merged = found.groupBy(*key).agg(F.collect_set("edges").alias("all_edges"), F.collect_set("items").alias("all_items"), F.max("longest").alias("most"))
     same = reduce(and_, (F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key))
     rows = tables[0].alias("l").join(merged.alias("r"), same, "left")
     edges = F.coalesce("all_edges", F.array().cast("array<array<long>>")).alias("edges")
     items = F.coalesce("all_items", F.array().cast("array<array<string>>")).alias("items")
-    return rows.select("l.doc_id", "l.n_words", edges, items).mapInArrow(_merge, schema)
+    return rows.select("l.doc_id", "l.n_words", edges, items, F.coalesce("most", F.lit(0)).cast("long").alias("longest")).mapInArrow(_merge, schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -27,21 +27,29 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (
-  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [w]
-    ELSE list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9]) END) AS g FROM b),
+bp AS (
+  SELECT item_id, j, w[j:j + least(9, len(w) - 1)] AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS j FROM b WHERE len(w) > 0)),
+bw AS (SELECT DISTINCT item_id, g FROM bp),
 sizes AS (SELECT DISTINCT len(g) AS z FROM bw),
 dw AS (
   SELECT doc_id, i, z, w[i:i + z - 1] AS g
   FROM (SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) AS i FROM d, sizes WHERE len(w) >= z)),
 m AS (SELECT doc_id, i, z, item_id FROM dw JOIN bw USING (g)),
+runs AS (
+  SELECT doc_id, count(*) + z - 1 AS words FROM (
+    SELECT doc_id, item_id, z, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS island
+    FROM dw JOIN bp USING (g))
+  GROUP BY doc_id, item_id, z, diagonal, island),
+longest AS (SELECT doc_id, max(words) AS longest FROM runs GROUP BY 1),
 hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + z)) AS k FROM m) GROUP BY 1),
 it AS (
   SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(longest, 0)::BIGINT AS longest
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 FIXITY = rf"""
