@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save, without_ids
+from ..operators.tables import discard, save
+from .shared import without_ids
 
 #: White space that does not count, fixed by the definition of equal texts.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -25,8 +26,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: most after MAX_CHUNK: whether a place is a cut depends on the text near it alone.
 CUT = "[aeiouáéèíóúäöü][nrstl]|[.,;:!?][A-ZÀ-Þ]"
 MIN_CHUNK, MAX_CHUNK = 512, 4096
-#: More colliding names than this would mean a broken hash, so it bounds what is broadcast.
-MOST_COLLISIONS = 100_000
+#: More colliding names than this mean a broken hash (64 bits give some 300 among 10^11 chunks): an error, nothing is
+#: left out.
+MOST_COLLISIONS = 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -49,7 +51,9 @@ def collisions(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, code_points, text_sha256, and the recipe: ``names`` and, for colliding names only, ``contents``."""
-    shared = [row.name for row in collisions(docs, text_col).limit(MOST_COLLISIONS).collect()]
+    shared = [row.name for row in collisions(docs, text_col).limit(MOST_COLLISIONS + 1).collect()]
+    if len(shared) > MOST_COLLISIONS:
+        raise RuntimeError(f"over {MOST_COLLISIONS} chunk names stand for several chunks: the hash of chunks is broken")
     cut = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("code_points"),
@@ -85,7 +89,9 @@ def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col:
     out = without_ids(docs, found.filter(~F.col("kept")).select("doc_id"), id_col)
     again = save(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if again.isEmpty():
+        discard(found, again)
         return out
+    discard(found)
     repeated = out.join(again, out[id_col] == again["doc_id"], "left_semi").dropDuplicates([id_col])
     return without_ids(out, again, id_col).unionByName(repeated)
 
