@@ -7,7 +7,8 @@ of them, and the ensemble is compiled into one Spark column expression, so scori
 Only rows with crc32(doc_id as text) mod 5 other than 0 are learnt from, and of these a sample of
 at most ``MOST_ROWS`` of each class (those with the smallest id hashes). Scoring covers every row.
 
-Edge cases: null and empty texts have all statistics 0 and are scored by the same rules; labels that
+Edge cases: null and empty texts count as one empty word on one empty line, one character long (shares of
+characters 0, of distinct words and lines 1), and are scored by the same rules; labels that
 are null are ignored, and of repeated labels the smaller counts; a null doc_id counts as the empty
 text for the split; where a class has no training row every score is the other class (no labels at
 all: 1); repeated rows get equal scores; an empty table gives an empty result; other columns are
