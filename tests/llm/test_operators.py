@@ -12,7 +12,7 @@ from oracle import connect, same
 from pyspark.sql import functions as F
 
 from placefinder.llm import bpe, decontaminate, exact_dedup, fixity, near_dedup, oracles, quality, queries, secrets, token_counts, toxicity, url_trust
-from placefinder.llm.components import connected_components
+from placefinder.operators.components import connected_components
 
 
 def documents(small):
@@ -132,7 +132,7 @@ def test_audit_finds_every_kind_of_damage(spark):
     one = spark.createDataFrame(rows, shape)
     two = spark.createDataFrame([(i, u, "!" if i == 1500 else h) for i, u, h in rows if i != 42] + [(9999, "new", "x"), (8, None, None)], shape)
     got = fixity.audit(one, two).filter("status <> 'ok'").collect()
-    assert {(r.page_id, r.status) for r in got} == {(1500, "changed"), (42, "missing"), (9999, "extra")}
+    assert {(r.page_id, r.status) for r in got} == {(1500, "changed"), (42, "missing"), (9999, "extra"), (8, "extra")}
     assert fixity.audit(one, one).filter("status <> 'ok'").count() == 0
     assert fixity.audit(one, one).count() == len(rows)
 
@@ -146,6 +146,34 @@ def test_audit_counts_copies_and_names_other_records_of_a_slot(spark):
     assert got == {(5, "missing"): 1, (6, "changed"): 1, (6, "extra"): 1, (7, "missing"): 1, (8, "extra"): 1, (9, "extra"): 2}
 
 
+def test_lost_and_surplus_copies(spark):
+    rows = lambda *ids: spark.createDataFrame([(abs(i) if i else None, "u", str(i)) for i in ids], "page_id long, url string, html string")
+    status = lambda one, two: collections.Counter((r.page_id, r.status) for r in fixity.audit(rows(*one), rows(*two)).collect())
+    assert status((1, 1, 2, 3), (1, 2, 2, 3, -3)) == {(1, "ok"): 1, (1, "missing"): 1, (2, "ok"): 1, (2, "extra"): 1, (3, "ok"): 1, (3, "extra"): 1}
+    assert status((0, 0, 4), (0, 0, 0, 4, 4, 4)) == {(None, "ok"): 2, (None, "extra"): 1, (4, "ok"): 1, (4, "extra"): 2}
+    assert status((), (7, 7)) == {(7, "extra"): 2} and status((7, 7), ()) == {(7, "missing"): 2}
+
+
+def test_audit_against_counting(spark):
+    """Random multisets of records: copies that both hold are ok, the rest is damage of the slot, one for one."""
+    rng = random.Random(11)
+    shape = "page_id long, url string, html string"
+    one = [(i % 40, "u", rng.choice("abc")) for i in range(160)]
+    two = [(p, u, rng.choice("abc") if rng.random() < 0.2 else h) for p, u, h in one if rng.random() > 0.1] + [(rng.randrange(45), "u", rng.choice("abcd")) for _ in range(20)]
+    got = fixity.audit(spark.createDataFrame(one, shape), spark.createDataFrame(two, shape)).collect()
+    left, right = collections.Counter(one), collections.Counter(two)
+    by_page = collections.defaultdict(collections.Counter)
+    for r in got:
+        by_page[r.page_id][r.status] += 1
+    for page in range(45):
+        ok = sum(min(n, right[k]) for k, n in left.items() if k[0] == page)
+        lost = sum(max(0, n - right[k]) for k, n in left.items() if k[0] == page)
+        new = sum(n for k, n in right.items() if k[0] == page and not left[k])
+        surplus = sum(max(0, n - left[k]) for k, n in right.items() if k[0] == page and left[k])
+        want = {"ok": ok, "changed": min(lost, new), "missing": lost - min(lost, new), "extra": new - min(lost, new) + surplus}
+        assert {k: v for k, v in want.items() if v} == dict(by_page[page])
+
+
 def test_descent_looks_only_below_differing_nodes(spark):
     shape = "page_id long, url string, html string"
     one = spark.createDataFrame([(i, "u", str(i)) for i in range(5000)], shape)
@@ -255,6 +283,25 @@ def brute_leaks(docs, items, window=10):
     return out
 
 
+def brute_longest(docs, items, window=10):
+    """Words of each document's longest verbatim match of at least a window (or a whole shorter item)."""
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    out = {}
+    for d, t in docs:
+        w = find(lower(t or ""))
+        out[d] = 0
+        for _, text in items:
+            v = find(lower(text or ""))
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if n >= min(window, len(v)):
+                        out[d] = max(out[d], n)
+    return out
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(6)
     word = lambda: rng.choice(["a", "B", "cé", "d1", "e"])
@@ -266,6 +313,9 @@ def test_decontamination_against_brute_force(spark):
     for block in (decontaminate.BLOCK_WORDS, 8):
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(d, b, block_words=block).collect()}
         assert got == want
+    longest = brute_longest(docs, items)
+    for block in (decontaminate.BLOCK_WORDS, 8):
+        assert {r.doc_id: r.longest for r in decontaminate.contamination(d, b, block_words=block).collect()} == longest
     left = {r.doc_id for r in decontaminate.without_contaminated(d, b, block_words=8).collect()}
     assert left == {i for i, w in want.items() if not w[4]}
 
@@ -298,6 +348,16 @@ def test_colliding_names_are_told_apart(spark, monkeypatch):
     assert got == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1)}
 
 
+def test_more_collisions_than_a_sound_hash_has_are_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i // 2} {'x' * (i % 2)}") for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "MOST_COLLISIONS", 3)
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: F.crc32(F.substring(F.col(c) if isinstance(c, str) else c, 1, 6).cast("binary")))
+    with pytest.raises(RuntimeError):
+        exact_dedup.exact_duplicates(df)
+    monkeypatch.setattr(exact_dedup, "MOST_COLLISIONS", 100)
+    assert exact_dedup.exact_duplicates(df).select("keep_id").distinct().count() == 40
+
+
 # -- 7 -------------------------------------------------------------------------------------
 
 
@@ -335,6 +395,17 @@ def test_propagation_equals_power_iteration(spark):
         assert {r.host: r[walk] for r in got.collect()} == pytest.approx(score, abs=1e-3)
 
 
+def test_walks_settle_on_a_long_cycle(spark):
+    """All the trust of one host of a ring comes round to it again and again; fifty rounds would not do."""
+    n = 12
+    edges = [(f"h{i}", f"h{(i + 1) % n}") for i in range(n)]
+    seeds = [(f"h{i}", float(i == 0), float(i == 0)) for i in range(n)]
+    got = url_trust.propagate(spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(edges, "source string, target string"))
+    want = {f"h{i}": 0.85**i / (1 - 0.85**n) for i in range(n)}
+    assert {r.host: r.trust for r in got.collect()} == pytest.approx(want, abs=1e-5)
+    assert {r.host: r.distrust for r in got.collect()} == pytest.approx({f"h{-i % n}": 0.85**i / (1 - 0.85**n) for i in range(n)}, abs=1e-5)
+
+
 # -- 8 -------------------------------------------------------------------------------------
 
 
@@ -383,6 +454,61 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secrets.guess_cost("P4ssw0rd", ("password",))[0] == pytest.approx(2 * cut)
 
 
+def every_span(value, ranks):
+    """All segments but brute force, from their definitions: (start, end, log10 of guesses)."""
+    import math
+
+    brute, cut, out = secrets._charset(value), math.log10(2), []
+    keys = secrets._next_keys()
+    for a in range(len(value)):
+        for b in range(a + 1, len(value) + 1):
+            part = value[a:b]
+            if b - a == 1 and part in secrets.JOINTS:
+                out.append((a, b, 1.0))
+            if b - a < 3:
+                continue
+            for unit in range(1, (b - a) // 2 + 1):
+                times = (b - a) // unit
+                if part == part[:unit] * times and times >= (3 if unit == 1 else 2):
+                    out.append((a, b, brute * unit + math.log10(times)))
+            ways = [keys.get(pair, 0) for pair in zip(part.lower(), part.lower()[1:])]
+            if all(ways):
+                out.append((a, b, math.log10(47 * (b - a)) + math.log10(4) * sum(x != y for x, y in zip(ways, ways[1:]))))
+            if secrets.DATE.fullmatch(part):
+                out.append((a, b, math.log10(365 * 120) if b - a > 4 else math.log10(120)))
+            case = cut if part != part.lower() else 0.0
+            for form, extra in ((part.lower(), 0.0), (part.lower().translate(secrets.LEET), cut)):
+                if form in ranks:
+                    out.append((a, b, math.log10(ranks[form]) + extra + case))
+                    break
+    return out
+
+
+def test_guess_cost_is_the_least_over_all_kinds_of_segments():
+    rng = random.Random(12)
+    words = ("pass", "password", "word", "sword", "monkey", "drag", "dragon", "one")
+    ranks = {w: 7 * i + 1 for i, w in enumerate(words)}
+    bits = [*words, "Passw0rd", "20240131", "1999", "31-12-1999", "2001", "12", "aaa", "aaaa", "abab", "xyzxyz", "qwer", "qwert", "trewq", "asd", "1234", "4321", "-", "_", "k", "Z", "7", "#", "é"]
+    for _ in range(400):
+        value = "".join(rng.choice(bits) for _ in range(rng.randint(1, 5)))
+        if rng.random() < 0.5:
+            value = value[rng.randint(0, 2) :] + value[: rng.randint(0, 5)]
+        cost, parts = secrets.guess_cost(value, ranked=(ranks, 8))
+        assert cost == pytest.approx(brute_cost(value, every_span(value, ranks), secrets._charset(value))), value
+        assert "".join(value[a:b] for a, b, _ in parts) == value
+    for value in ("a" * 4096, "ab" * 2048, "qwerty" * 600):
+        assert secrets.guess_cost(value)[0] < 15
+
+
+def test_prose_after_credential_words_is_no_secret(spark):
+    prose = ["pwd: see-the-handbook", "the token is described_below", "passphrase: changeit-tomorrow", "la clave es desconocida", "das Kennwort ist unbekannt", "mot de passe: indisponible"]
+    planted = ["pwd: 8fk2m9xq1z", "passphrase: Vx7-qR2!mLp0", "the bearer is eyJhbGciOiJIUzI1NiJ9"]
+    words = "see the handbook token described below changeit tomorrow desconocida unbekannt indisponible"
+    rows = list(enumerate([*prose, *planted, words, words + " again"]))
+    found = {r.doc_id for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.spans}
+    assert found == {6, 7, 8}
+
+
 def test_added_spans_need_context_and_cost(spark):
     rows = [(1, "the login is k7#Qz!9pLw2@x."), (2, "contraseña: Zx9$vT4&mQ1!"), (3, "the password is password123"), (4, "k7#Qz!9pLw2@x alone"), (5, "token = abcdefghij1234567890")]
     got = {r.doc_id: [(s.kind, rows[r.doc_id - 1][1][s.start : s.end]) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
