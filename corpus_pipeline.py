@@ -2,6 +2,14 @@
 
 Toxic documents go, then exact and near copies, then documents that hold benchmark passages; what is
 left is encoded. Every stage but the last returns the columns it was given.
+
+Edge cases, for every stage: null and empty texts stay (all of them are exact copies of one another, so
+one is left; they are near copies of nothing and hold no passage); of equal texts the longest original,
+then the smallest doc_id stays, of near copies the smallest doc_id; rows that repeat a doc_id share its
+fate, but exact deduplication keeps one of them; rows with a null doc_id lose ties among exact copies and
+are otherwise kept unless toxic or contaminated; without labels of both classes nothing is toxic, without
+benchmark items nothing contaminated; an empty table stays empty; other columns, whatever their names,
+pass through.
 """
 
 from __future__ import annotations
@@ -9,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from placefinder.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
-from placefinder.llm.shared import save
+from placefinder.operators.tables import discard, save
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir))
+        before, docs = docs, save(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
