@@ -230,6 +230,54 @@ def parse_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse(texts, towns, ["ME", "NY", "NH", "AZ"]).drop("query_id")
 
 
+_ASKED = """SELECT c_custkey AS k, CAST(c_custkey % 999 + 1 AS VARCHAR) AS n, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS seg,
+    'Port Number ' || c_nationkey AS town, lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS zip FROM customer"""
+
+
+@query(f"""WITH a AS ({_ASKED})
+    SELECT k AS query_id, CASE WHEN k % 8 IN (2, 7) THEN seg || ' Pond' END AS name, CASE WHEN k % 8 IN (0, 1, 4) THEN n WHEN k % 8 = 6 THEN zip END AS housenumber,
+      CASE WHEN k % 8 IN (0, 1, 6) THEN seg || ' St' WHEN k % 8 = 4 THEN seg || ' Ave' END AS street,
+      CASE WHEN k % 8 IN (0, 1, 2, 3) THEN town WHEN k % 8 = 4 THEN town || ' ME' WHEN k % 8 = 6 THEN lower(seg) || 'burgh' WHEN k % 8 = 7 THEN 'Faraway' END AS locality,
+      CASE WHEN k % 8 IN (0, 3, 4) THEN zip END AS postcode, CASE WHEN k % 8 IN (0, 1, 4, 6) THEN 'ME' WHEN k % 8 = 7 THEN 'OR' END AS state FROM a""")
+def parse_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made of all customers, in eight shapes: with and without commas, postcodes, units, ranges, a five-digit
+    number, an unknown town after a number, a state that the build does not hold."""
+    key = F.col("c_custkey")
+    n, zip5 = (key % 999 + 1).cast("string"), F.lpad((key % 100000).cast("string"), 5, "0")
+    seg, town = F.initcap("c_mktsegment"), F.concat(F.lit("Port Number "), F.col("c_nationkey").cast("string"))
+    shapes = [
+        F.concat(n, F.lit(" "), seg, F.lit(" St, "), town, F.lit(", ME "), zip5, F.lit("-1234")), F.concat(n, F.lit(" "), seg, F.lit(" St "), town, F.lit(" Maine")), F.concat(seg, F.lit(" Pond, "), town),
+        F.concat(town, F.lit(" "), zip5), F.concat(n, F.lit("-"), n, F.lit(" "), seg, F.lit(" Ave Apt. 3B, "), town, F.lit(" ME "), zip5), F.concat(seg, F.lit(" Lake Trail")),
+        F.concat(zip5, F.lit(" "), seg, F.lit(" St, "), F.lower(seg), F.lit("burgh, Maine")), F.concat(seg, F.lit(" Pond Faraway OR")),
+    ]
+    picked = F.coalesce(*(F.when(key % 8 == i, shape) for i, shape in enumerate(shapes)))
+    asked = table(spark, sf_dir, "customer").select(key.alias("query_id"), picked.alias("text"))
+    own = table(spark, sf_dir, "nation").select(F.concat(F.lit("port number "), F.col("n_nationkey").cast("string")).alias("name"), F.lit("ME").alias("region_a"), F.lit(False).alias("coarse"))
+    towns = own.unionByName(spark.createDataFrame([("faraway", "OR", True)], "name string, region_a string, coarse boolean"))
+    return parse.parse(asked, towns, ["ME"]).select("query_id", *parse.FIELDS)
+
+
+def _worldwide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as country features of a worldwide tier."""
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").cast("long").alias("id"), F.lit("country").alias("layer"), T.norm(F.regexp_replace("n_name", "_", " ")).alias("name_norm"), F.when(F.col("n_nationkey") == 0, "US").otherwise(F.concat(F.lit("X"), F.chr(F.col("n_nationkey") + 65))).alias("country_a"), F.lit(True).alias("coarse"))
+
+
+@query("""SELECT c_custkey AS query_id, CASE WHEN c_custkey % 3 = 0 AND c_nationkey <> 0 THEN lower(c_mktsegment) || ' town' WHEN c_custkey % 3 = 0 THEN c_mktsegment || ' Town, Nation ' || c_nationkey WHEN c_custkey % 3 = 1 THEN 'Nation ' || c_nationkey ELSE c_mktsegment || ', Nation ' || c_nationkey || ' West' END AS text,
+    CASE WHEN c_custkey % 3 = 0 AND c_nationkey <> 0 THEN 'X' || chr(CAST(c_nationkey + 65 AS INTEGER)) END AS country FROM customer""")
+def country_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, nation = F.col("c_custkey"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"))
+    text = F.when(key % 3 == 0, F.concat("c_mktsegment", F.lit(" Town, "), nation)).when(key % 3 == 1, nation).otherwise(F.concat("c_mktsegment", F.lit(", "), nation, F.lit(" West")))
+    return parse.split_country(table(spark, sf_dir, "customer").select(key.alias("query_id"), text.alias("text")), _worldwide(spark, sf_dir))
+
+
+@query("""SELECT c_custkey AS query_id, CASE c_custkey % 5 WHEN 0 THEN CASE WHEN c_nationkey = 0 THEN 'US' ELSE 'X' || chr(CAST(c_nationkey + 65 AS INTEGER)) END WHEN 1 THEN 'US' WHEN 2 THEN 'FRA' WHEN 3 THEN 'ZZ' END AS country FROM customer""")
+def country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    given = F.when(key % 5 == 0, F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"))).when(key % 5 == 1, "United States of America").when(key % 5 == 2, "FRA").when(key % 5 == 3, "Atlantis Isles").otherwise(" ")
+    return parse.country_codes(table(spark, sf_dir, "customer").select(key.alias("query_id"), given.alias("country")), _worldwide(spark, sf_dir))
+
+
 # -- joins ---------------------------------------------------------------------------------
 
 
