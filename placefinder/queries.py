@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.refdata import EXPANSIONS
 from .operators import conflate, fuzzy, neighbours, spatial
 from .plans import address, autocomplete, build, evaluate, output, parse, reverse, search, validate
 from .plans.filters import keep, with_defaults
@@ -488,16 +489,65 @@ def asked_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.expr(_MUTATED).alias("text")).distinct()
     named = names.select(F.concat(F.lit("n:"), "text").alias("query_id"), "text", *(F.lit(None).cast("string").alias(c) for c in ("housenumber", "street", "locality")))
     at = homes(spark, sf_dir).select("housenumber", "street", "locality").distinct()
-    number = F.when(F.pmod(F.xxhash64("street", "locality", "housenumber"), F.lit(3)) == 0, (F.col("housenumber").cast("int") + 2).cast("string")).otherwise(F.col("housenumber"))
+    number = F.when((F.col("housenumber").cast("int") + F.length("street") + F.length("locality")) % 3 == 0, (F.col("housenumber").cast("int") + 2).cast("string")).otherwise(F.col("housenumber"))
     placed = at.withColumn("housenumber", number).distinct().select(F.concat_ws("|", F.lit("a:"), "housenumber", "street", "locality").alias("query_id"), F.concat(F.concat_ws(" ", "housenumber", "street"), F.lit(", "), F.col("locality")).alias("text"), "housenumber", "street", "locality")
     return named.unionByName(placed)
 
 
-@query()
+# All of search that these queries reach, from its definition: no index, no blocking, one statement.
+_RUNS = "list_max(flatten(list_transform(range(1, len(og) + 1), lambda a: list_transform(range(a, len(og) + 1), lambda z: len(list_intersect(qg, list_distinct(og[a:z])))::DOUBLE / len(list_distinct(list_concat(qg, og[a:z])))))))"
+_EXPAND = "MAP {" + ", ".join(f"'{short}': '{word}'" for short, word in EXPANSIONS.items()) + "}"
+_SEARCH = f"""
+WITH f AS (SELECT p_partkey AS id, p_name, CAST(0.4 + p_size / 500.0 AS FLOAT) AS importance, p_size > 45 AS coarse, {_lon('p_partkey')} AS lon, {_lat('p_partkey')} AS lat FROM part),
+nq AS (SELECT 'n:' || x AS query_id, array_to_string(list_transform(w, lambda t, i: CASE WHEN t = 'st' THEN CASE WHEN i = len(w) THEN 'street' ELSE 'saint' END ELSE coalesce({_EXPAND}[t], t) END), ' ') AS q
+  FROM (SELECT x, string_split(trim(regexp_replace(x, ' +', ' ', 'g')), ' ') AS w FROM (SELECT DISTINCT {_MUTATED} AS x FROM part))),
+pairs AS (SELECT *, {_sim('q', 'p_name')} AS sim FROM (SELECT DISTINCT q FROM nq), (SELECT DISTINCT p_name FROM f)),
+scored AS (SELECT q, p_name, sim, greatest(sim, 9e-1 * {_RUNS}) + 1e-1 * sim AS nsim
+  FROM (SELECT *, list_distinct({_GRAMS.format(c='q')}) AS qg, {_GRAMS.format(c='p_name').removeprefix('list_distinct(').removesuffix(')')} AS og FROM pairs WHERE sim >= 0.3)),
+near AS (SELECT query_id, id, nsim FROM nq JOIN scored USING (q) JOIN f USING (p_name) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, coarse, id) <= 60),
+equal AS (SELECT query_id, id, 1e0 AS nsim FROM nq JOIN f ON q = p_name QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coarse, id) <= 40),
+named AS (SELECT query_id, id, CASE WHEN nsim >= 0.99 THEN 'exact' ELSE 'fallback' END AS match_type, least(nsim, 1e0) AS base FROM (FROM near UNION ALL FROM equal)
+  QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY base DESC, match_type) = 1),
+name_rows AS (SELECT query_id, id, 'overture:venue:' || id AS gid, 'venue' AS layer, 2 AS source_order, p_name AS label, lon, lat, coarse, match_type, CAST(base AS FLOAT) AS confidence,
+  CAST(CAST(CAST(base AS FLOAT) AS DOUBLE) + 5e-2 * CAST(importance AS DOUBLE) - CASE WHEN coarse THEN 1e-2 ELSE 0e0 END AS FLOAT) AS score FROM named JOIN f USING (id)),
+h AS (SELECT c_custkey + 10000000 AS id, c_custkey AS k, CAST(c_custkey % 400 + 1 AS INTEGER) AS n, street, street_norm, town, 'Port Number ' || n_nationkey AS town_name, {_lon('c_custkey')} AS lon, {_lat('c_custkey')} AS lat
+  FROM ({_HOMES}) JOIN (SELECT c_custkey, c_nationkey AS n_nationkey FROM customer) USING (c_custkey)),
+aq AS (SELECT DISTINCT 'a:|' || (n + d) || '|' || street || '|' || town_name AS query_id, n + d AS hni, street_norm AS st, town AS loc
+  FROM (SELECT DISTINCT n, street, street_norm, town, town_name, CASE WHEN (n + length(street) + length(town_name)) % 3 = 0 THEN 2 ELSE 0 END AS d FROM h)),
+ss AS (SELECT a.x AS st, b.x AS street_norm, {_sim('a.x', 'b.x')} AS st_sim FROM (SELECT DISTINCT street_norm AS x FROM h) a, (SELECT DISTINCT street_norm AS x FROM h) b),
+ts AS (SELECT a.x AS loc, b.x AS town, {_sim('b.x', 'a.x')} AS loc_sim FROM (SELECT DISTINCT town AS x FROM h) a, (SELECT DISTINCT town AS x FROM h) b),
+streets AS (SELECT query_id, hni, street_norm, town, st_sim, loc_sim FROM aq JOIN (FROM ss WHERE st_sim >= 0.3) USING (st) JOIN (SELECT DISTINCT street_norm, town FROM h) USING (street_norm) JOIN ts USING (loc, town)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY st_sim + loc_sim DESC, street_norm, town) <= 25),
+best AS (SELECT * FROM (SELECT query_id, hni, street_norm, max(st_sim) AS st_sim FROM streets GROUP BY query_id, hni, street_norm) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY st_sim DESC, street_norm) <= 3),
+exact AS (SELECT query_id, h.id, st_sim, loc_sim, street_norm, town FROM streets JOIN h USING (street_norm, town) WHERE n = hni
+  UNION ALL SELECT query_id, h.id, st_sim, ts.loc_sim, street_norm, h.town FROM best JOIN h USING (street_norm) JOIN aq USING (query_id) JOIN ts ON ts.loc = aq.loc AND ts.town = h.town WHERE n = best.hni),
+open AS (SELECT * FROM streets s WHERE st_sim >= 0.6 AND NOT EXISTS (SELECT 1 FROM exact e WHERE e.query_id = s.query_id AND e.street_norm = s.street_norm AND e.town = s.town)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY st_sim + loc_sim DESC, street_norm, town) <= 3),
+lows AS (SELECT query_id, street_norm, town, st_sim, loc_sim, hni, h.id, n, lon, lat, h.street, town_name FROM open JOIN h USING (street_norm, town) WHERE n % 2 = hni % 2 AND n < hni QUALIFY row_number() OVER (PARTITION BY query_id, street_norm, town ORDER BY n DESC, h.id) = 1),
+highs AS (SELECT query_id, street_norm, town, n, lon, lat FROM open JOIN h USING (street_norm, town) WHERE n % 2 = hni % 2 AND n > hni QUALIFY row_number() OVER (PARTITION BY query_id, street_norm, town ORDER BY n, h.id) = 1),
+between_ AS (SELECT lows.*, lows.lon + (highs.lon - lows.lon) * ((hni - lows.n) / CAST(highs.n - lows.n AS DOUBLE)) AS ilon, lows.lat + (highs.lat - lows.lat) * ((hni - lows.n) / CAST(highs.n - lows.n AS DOUBLE)) AS ilat
+  FROM lows JOIN highs USING (query_id, street_norm, town) WHERE {_far('lows', 'highs')} <= 1500),
+found AS (SELECT query_id, id, 'exact' AS match_type, 35e-2 + 35e-2 * st_sim + 3e-1 AS base, loc_sim, NULL::INTEGER AS ihn, NULL::DOUBLE AS ilon, NULL::DOUBLE AS ilat FROM exact
+  UNION ALL SELECT query_id, id, 'interpolated', 25e-2 + 3e-1 * st_sim + 25e-2, loc_sim, hni, ilon, ilat FROM between_),
+kept AS (SELECT *, CAST(least(1e0, base * (4e-1 + 6e-1 * least(1e0, loc_sim))) AS FLOAT) AS confidence FROM found
+  QUALIFY row_number() OVER (PARTITION BY query_id, id, ihn ORDER BY base DESC, loc_sim DESC, match_type) = 1),
+home_rows AS (SELECT query_id, id, CASE WHEN ihn IS NULL THEN 'openaddresses:address:' || k ELSE 'interpolation:address:' || street_norm || ':' || ihn || ':' || town END AS gid, 'address' AS layer, CASE WHEN ihn IS NULL THEN 1 ELSE 2 END AS source_order,
+  CASE WHEN ihn IS NULL THEN n || ' ' || street || ', ' || town_name ELSE ihn || ' ' || street || ', ' || town_name || ', ME, USA' END AS label, coalesce(ilon, lon) AS lon, coalesce(ilat, lat) AS lat, false AS coarse, match_type, confidence,
+  CAST(CAST(confidence AS DOUBLE) + 5e-2 * CAST(CAST(0.3 AS FLOAT) AS DOUBLE) + CASE WHEN ihn IS NULL THEN 1e-2 ELSE 0e0 END AS FLOAT) AS score FROM kept JOIN h USING (id)),
+hits AS (SELECT * FROM (FROM name_rows UNION ALL BY NAME FROM home_rows) WHERE confidence >= CAST(0.3 AS FLOAT) QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, source_order, id) = 1),
+top AS (SELECT query_id, max(confidence) AS best FROM hits GROUP BY 1),
+tied AS (SELECT hits.*, best FROM hits JOIN top USING (query_id) WHERE CAST(confidence AS DOUBLE) >= CAST(best AS DOUBLE) - 2e-2),
+cells AS (SELECT query_id, count(DISTINCT (round(lon, 2), round(lat, 2))) AS c FROM tied JOIN (SELECT query_id, bool_or(NOT coarse) AS own FROM tied GROUP BY 1) USING (query_id) WHERE NOT coarse OR NOT own GROUP BY 1)
+SELECT query_id, gid, layer, match_type, round(CAST(CAST(CASE WHEN c <= 1 THEN confidence WHEN CAST(confidence AS DOUBLE) >= CAST(best AS DOUBLE) - 2e-2 THEN confidence / (1 + 35e-2 * (least(c, 6) - 1)) ELSE least(CAST(confidence AS DOUBLE), best / (1 + 35e-2 * (least(c, 6) - 1))) END AS FLOAT) AS DOUBLE), 4) AS confidence,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, gid) AS rank
+FROM hits JOIN top USING (query_id) JOIN cells USING (query_id) QUALIFY rank <= 10"""
+
+
+@query(_SEARCH)
 def search_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     feature = venues(spark, sf_dir).unionByName(homes(spark, sf_dir))
     got = search.search(asked_places(spark, sf_dir), feature, build.street_names(feature), [("ME", "Maine"), ("NH", "New Hampshire")])
-    return got.select("query_id", "gid", "layer", "match_type", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), "rank")
+    return got.select("query_id", "gid", "layer", "match_type", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH h AS ({_HOMES}) SELECT c_custkey + 10000000 AS id, CAST(c_custkey % 400 + 1 AS VARCHAR) || ' ' || upper(replace(street, ' St', '')) || ' ST' AS delivery_line, upper(town) || ' ME' AS last_line FROM h""")
@@ -584,7 +634,16 @@ def batch_planning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.batch_jobs(rows).select("row_id", "text", "skip")
 
 
-@query()
+_BUILT = f"""
+WITH p AS (SELECT c_custkey AS k, CASE c_custkey % 2 WHEN 0 THEN 'openaddresses' ELSE 'openstreetmap' END AS source, CAST(c_custkey % 50 + 1 AS VARCHAR) AS n, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS seg, {_lon('c_custkey')} AS lon, {_lat('c_custkey')} AS lat FROM customer),
+b AS (SELECT n_name || ' County' AS county, upper(left(r_name, 2)) AS abbr, b.* FROM ({_BOXES}) b JOIN nation ON n_nationkey = area_id JOIN region ON r_regionkey = n_regionkey),
+v AS (SELECT p.*, county, abbr, count(*) OVER (PARTITION BY n, seg, round(lon, 6), round(lat, 6)) AS votes FROM p LEFT JOIN b ON lon BETWEEN x0 AND x0 + 60 AND lat BETWEEN y0 AND y0 + 25 WHERE NOT (lon = 0 AND lat = 0)),
+d AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY n, seg, lon, lat ORDER BY source, votes DESC, CAST(k AS VARCHAR)) = 1)
+SELECT row_number() OVER (ORDER BY source, CAST(k AS VARCHAR)) AS id, source || ':address:' || k AS gid, n || ' ' || seg || ' St' || coalesce(', ' || county, '') || coalesce(', ' || abbr || ', USA', '') AS label, CAST(0.3 AS DOUBLE) AS importance,
+  n || ' ' || lower(seg) || ' street' AS name_norm, county, abbr AS region_a, CASE WHEN abbr IS NOT NULL THEN 'US' END AS country_a, n || ' ' || lower(seg) || ' street' AS tokens FROM d"""
+
+
+@query(_BUILT)
 def build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build over derived source rows: hierarchy by area, conflation, labels, importance, ids."""
     c = table(spark, sf_dir, "customer")
