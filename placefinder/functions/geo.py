@@ -30,27 +30,33 @@ def distance_confidence(distance_m: Column) -> Column:
     return out.otherwise(0.5)
 
 
-def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
-    """Whether a point is in a closed ring (array of struct(x, y), first = last); the boundary counts as inside."""
-    edges = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i - 1).alias("a"), F.get(ring, i).alias("b")))
+def ring_edges(rings: Column) -> Column:
+    """The edges (array of struct(x1, y1, x2, y2)) of closed rings (arrays of struct(x, y), first = last)."""
+
+    def edges(ring: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1))), lambda i: F.struct(F.get(ring, i - 1)["x"].alias("x1"), F.get(ring, i - 1)["y"].alias("y1"), F.get(ring, i)["x"].alias("x2"), F.get(ring, i)["y"].alias("y2")))
+
+    return F.filter(F.flatten(F.transform(rings, edges)), lambda e: e["x2"].isNotNull())
+
+
+def inside_edges(lon: Column, lat: Column, edges: Column) -> Column:
+    """Even-odd over a polygon's edges (holes and parts alike); boundaries count as inside. Edges that reach neither the
+    point's latitude nor east of it may be missing."""
 
     def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        spans = (a["y"] > lat) != (b["y"] > lat)
-        return spans & (lon < (b["x"] - a["x"]) * (lat - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]).otherwise(1.0) + a["x"])
+        rises = e["y2"] - e["y1"]
+        return ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.when(rises != 0, rises).otherwise(1.0) + e["x1"])
 
     def touches(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        cross = (b["x"] - a["x"]) * (lat - a["y"]) - (b["y"] - a["y"]) * (lon - a["x"])
-        return (cross == 0) & lon.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & lat.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        cross = (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lon - e["x1"])
+        return (cross == 0) & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
     return F.exists(edges, touches) | (F.size(F.filter(edges, crosses)) % 2 == 1)
 
 
-def in_polygon(lon: Column, lat: Column, rings: Column) -> Column:
-    """Even-odd over all rings (holes and parts alike); boundaries count as inside."""
-    hits = F.size(F.filter(rings, lambda r: in_ring(lon, lat, r)))
-    return hits % 2 == 1
+def near_edges(lon: Column, lat: Column, edges: Column, buffer: float) -> Column:
+    """Whether a point is at most ``buffer`` degrees from an edge."""
+    return F.exists(edges, lambda e: segment_gap2(lon, lat, e["x1"], e["y1"], e["x2"], e["y2"]) <= buffer * buffer)
 
 
 def segment_gap2(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -67,15 +73,6 @@ def on_segment(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Col
     return x1 + t * dx, y1 + t * dy
 
 
-def near_polygon(lon: Column, lat: Column, rings: Column, buffer: float) -> Column:
-    """Whether a point is at most ``buffer`` degrees from a boundary."""
-
-    def near(ring: Column) -> Column:
-        return F.exists(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: segment_gap2(lon, lat, F.get(ring, i - 1)["x"], F.get(ring, i - 1)["y"], F.get(ring, i)["x"], F.get(ring, i)["y"]) <= buffer * buffer)
-
-    return F.exists(rings, near)
-
-
 def ring_area(ring: Column) -> Column:
     """Planar area of a closed ring (shoelace)."""
     terms = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.get(ring, i - 1)["x"] * F.get(ring, i)["y"] - F.get(ring, i)["x"] * F.get(ring, i - 1)["y"])

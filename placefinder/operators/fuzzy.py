@@ -12,8 +12,9 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, left_id
     """(left_id, right_id, sim) of all pairs with trigram similarity >= threshold; exact.
 
     Rarest-first prefix filter: in any order of the trigrams, two sets that reach the threshold share
-    one of their first n - ceil(threshold * n) + 1. Ordering by how rare a trigram is keeps the frequent
-    ones, which would make large blocks, out of the prefixes. The frequency table is broadcast: there are
+    one of their first n - ceil(threshold * n) + 1. Ordering by how rare a trigram is keeps the most frequent
+    ones out of the prefixes (at 0.3 the prefix holds about 70 % of a text's trigrams, so blocks of common ones remain).
+    Only ids travel with the blocks. The frequency table is broadcast: there are
     at most 37^3 trigrams of canonical text.
     """
     grams = lambda df, i, t: df.select(F.col(i).alias("id"), F.array_sort(T.trigrams(F.col(t))).alias("grams"))
@@ -21,18 +22,20 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, left_id
     rarity = a.unionByName(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
 
     def prefixes(df: DataFrame, name: str) -> DataFrame:
-        listed = df.select("id", "grams", F.explode("grams").alias("gram")).join(F.broadcast(rarity), "gram")
-        ranked = listed.groupBy("id").agg(F.first("grams").alias("grams"), F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("order"))
-        n = F.size("grams")
+        listed = df.select("id", F.explode("grams").alias("gram")).join(F.broadcast(rarity), "gram")
+        order = listed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("order"))
+        n = F.size("order")
         kept = F.slice("order", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-        return ranked.select(F.col("id").alias(name), F.col("grams").alias(f"{name}_grams"), F.explode(F.transform(kept, lambda x: x["gram"])).alias("gram"))
+        return order.select(F.col("id").alias(name), n.alias(f"{name}_n"), F.explode(F.transform(kept, lambda x: x["gram"])).alias("gram"))
 
     one, two = prefixes(a, left_id), prefixes(b, right_id)
-    n1, n2 = F.size(f"{left_id}_grams"), F.size(f"{right_id}_grams")
-    pairs = one.join(two, "gram").filter((n1 >= n2 * threshold - 1e-9) & (n2 >= n1 * threshold - 1e-9))
+    n1, n2 = F.col(f"{left_id}_n"), F.col(f"{right_id}_n")
+    pairs = one.join(two, "gram").filter((n1 >= n2 * threshold - 1e-9) & (n2 >= n1 * threshold - 1e-9)).select(left_id, right_id).distinct()
+    # The trigrams themselves meet once for each pair.
+    whole = lambda df, name: df.groupBy("id").agg(F.first("grams").alias(f"{name}_grams")).withColumnRenamed("id", name)
     sim = T.jaccard(F.col(f"{left_id}_grams"), F.col(f"{right_id}_grams"))
-    scored = pairs.select(left_id, right_id, sim.alias("sim")).filter(F.col("sim") >= threshold - 1e-12)
-    return scored.groupBy(left_id, right_id).agg(F.max("sim").alias("sim"))
+    scored = pairs.join(whole(a, left_id), left_id).join(whole(b, right_id), right_id).select(left_id, right_id, sim.alias("sim"))
+    return scored.filter(F.col("sim") >= threshold - 1e-12)
 
 
 def deletion_keys(text: Column) -> Column:

@@ -16,12 +16,14 @@ REGION_BUFFER = 0.003
 
 
 def within(points: DataFrame, features: DataFrame, radius_m: float, size: float | None = None) -> DataFrame:
-    """Pairs of ``points`` (point_id, lon, lat) and ``features`` (id, lon, lat) at most radius_m apart: point_id, id, distance_m."""
+    """Pairs of ``points`` (point_id, lon, lat) and ``features`` (id, lon, lat) at most radius_m apart, or at most each
+    point's own ``radius_m``, if there is such a column and it is less: point_id, id, distance_m."""
     size = size or max(radius_m / (math.pi * G.EARTH_M / 180), 1e-4)
-    p = points.select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.explode(G.cells_near(F.col("lon"), F.col("lat"), radius_m, size)).alias("cell"))
+    reach = F.least(F.col("radius_m"), F.lit(float(radius_m))) if "radius_m" in points.columns else F.lit(float(radius_m))
+    p = points.select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), reach.alias("reach"), F.explode(G.cells_near(F.col("lon"), F.col("lat"), reach, size)).alias("cell"))
     f = features.select("id", F.col("lon").alias("flon"), F.col("lat").alias("flat"), G.cell_of(F.col("lon"), F.col("lat"), size).alias("cell"))
-    pairs = p.join(f, "cell").select("point_id", "id", G.haversine_m(F.col("plon"), F.col("plat"), F.col("flon"), F.col("flat")).alias("distance_m"))
-    return pairs.filter(F.col("distance_m") <= radius_m)
+    pairs = p.join(f, "cell").select("point_id", "id", "reach", G.haversine_m(F.col("plon"), F.col("plat"), F.col("flon"), F.col("flat")).alias("distance_m"))
+    return pairs.filter(F.col("distance_m") <= F.col("reach")).drop("reach")
 
 
 def nearest(points: DataFrame, features: DataFrame, k: int, radius_m: float, size: float | None = None) -> DataFrame:
@@ -29,25 +31,40 @@ def nearest(points: DataFrame, features: DataFrame, k: int, radius_m: float, siz
     return top(within(points, features, radius_m, size), ["point_id"], [F.col("distance_m"), F.col("id")], k)
 
 
-def containing(points: DataFrame, areas: DataFrame, size: float = 1.0, buffer: float = 0.0) -> DataFrame:
+def containing(points: DataFrame, areas: DataFrame, size: float | None = None, buffer: float = 0.0) -> DataFrame:
     """Pairs of ``points`` (point_id, lon, lat) and ``areas`` (area_id, rings) that contain them, boundaries included, or
     whose boundary is at most ``buffer`` degrees away.
 
-    An area is listed under every cell of its bounding box, widened by the buffer; the ray cast and the distance decide. ``size`` should be near
-    the areas' own extent, so that an area has few cells and a cell few areas.
+    An area is listed under the cells of its bounding box, widened by the buffer, each time with those of its
+    edges alone that a ray to the east from the cell can meet, or that are within the buffer: the cell's own band of
+    latitude, from the cell on. Cells are ``size`` degrees wide; without a size, an area's cells are the power of two
+    next to a quarter of its extent, so that a country and a village have as many, and a point is looked up once
+    for each of the widths in use (22 at the most, from 2^-15 to 2^6 degrees).
     """
-    flat = F.flatten("rings")
-    box = lambda axis, pick: pick(F.transform(flat, lambda p: p[axis]))
-    span = lambda axis: F.sequence(F.floor((box(axis, F.array_min) - buffer) / size).cast("long"), F.floor((box(axis, F.array_max) + buffer) / size).cast("long"))
-    listed = areas.select("area_id", "rings", F.explode(span("x")).alias("cx"), span("y").alias("ys")).select("area_id", "rings", "cx", F.explode("ys").alias("cy"))
-    placed = points.select("point_id", "lon", "lat", F.floor(F.col("lon") / size).cast("long").alias("cx"), F.floor(F.col("lat") / size).cast("long").alias("cy"))
-    held = G.in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))
+    edges = F.col("edges")
+    bound = lambda pick, *axes: pick(F.flatten(F.transform(edges, lambda e: F.array(*(e[x] for x in axes)))))
+    drawn = areas.select("area_id", G.ring_edges(F.col("rings")).alias("edges")).filter(F.size("edges") > 0)
+    drawn = drawn.select("area_id", "edges", *(bound(pick, f"{axis}1", f"{axis}2").alias(f"{axis}_{name}") for axis in "xy" for name, pick in (("low", F.array_min), ("high", F.array_max))))
+    extent = F.greatest(F.col("x_high") - F.col("x_low"), F.col("y_high") - F.col("y_low"))
+    level = F.lit(0) if size else F.least(F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)))) - 2, F.lit(-15)), F.lit(6)).cast("int")
+    drawn = drawn.withColumn("level", level)
+    levels = [0] if size else sorted(r.level for r in drawn.select("level").distinct().collect())
+    wide = F.lit(float(size)) if size else F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda value: F.floor(value / F.col("wide")).cast("long")
+    span = lambda axis: F.sequence(cell(F.col(f"{axis}_low") - buffer), cell(F.col(f"{axis}_high") + buffer))
+    banded = drawn.withColumn("wide", wide).select("area_id", "edges", "level", "wide", span("x").alias("columns"), F.explode(span("y")).alias("cy"))
+    own = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= F.col("cy") * F.col("wide") - buffer) & (F.least(e["y1"], e["y2"]) <= (F.col("cy") + 1) * F.col("wide") + buffer))
+    listed = banded.select("area_id", own.alias("edges"), "level", "wide", "cy", F.explode("columns").alias("cx"))
+    listed = listed.select("area_id", "level", "cx", "cy", F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("cx") * F.col("wide") - buffer).alias("edges"))
+    placed = points.select("point_id", "lon", "lat", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level")).withColumn("wide", wide)
+    placed = placed.select("point_id", "lon", "lat", "level", cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy"))
+    held = G.inside_edges(F.col("lon"), F.col("lat"), edges)
     if buffer:
-        held |= G.near_polygon(F.col("lon"), F.col("lat"), F.col("rings"), buffer)
-    return placed.join(listed, ["cx", "cy"]).filter(held).select("point_id", "area_id")
+        held |= G.near_edges(F.col("lon"), F.col("lat"), edges, buffer)
+    return placed.join(listed.filter(F.size("edges") > 0), ["level", "cx", "cy"]).filter(held).select("point_id", "area_id")
 
 
-def clip(points: DataFrame, inside: DataFrame, outside: DataFrame, exempt: Column, size: float = 1.0, buffer: float = REGION_BUFFER) -> DataFrame:
+def clip(points: DataFrame, inside: DataFrame, outside: DataFrame, exempt: Column, size: float | None = None, buffer: float = REGION_BUFFER) -> DataFrame:
     """Points inside one of ``inside``, or at most ``buffer`` degrees from it, and in none of ``outside`` (both areas, the
     latter without a buffer), and all that are ``exempt``."""
     kept = containing(points, inside, size, buffer).select("point_id").distinct().withColumn("_in", F.lit(True))

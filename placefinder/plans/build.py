@@ -27,7 +27,19 @@ def usable(points: DataFrame) -> DataFrame:
     return points.filter(on_earth & (F.coalesce("name", F.lit("")) != "") & ~((F.col("lon") == 0) & (F.col("lat") == 0)))
 
 
-def hierarchy(points: DataFrame, admin: DataFrame, regions: DataFrame, size: float = 1.0) -> DataFrame:
+def staged(points: DataFrame, region: DataFrame, neighbours: DataFrame, everywhere: tuple[str, ...] = ("whosonfirst", "zcta")) -> DataFrame:
+    """``points`` (rid, source, lon, lat, ...) of the build's region: those inside ``region`` (area_id, rings) or within its
+    buffer and in none of ``neighbours``, and all of the sources that are cut to the region where they are read."""
+    kept = spatial.clip(points.select(F.col("rid").alias("point_id"), "lon", "lat", "source"), region, neighbours, F.col("source").isin(*everywhere))
+    return points.join(kept.select(F.col("point_id").alias("rid")), "rid", "left_semi")
+
+
+def layer_counts(feature: DataFrame) -> DataFrame:
+    """Rows of each layer, and how many of them are worldwide ones."""
+    return feature.groupBy("layer").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("coarse"), 1)).alias("coarse_rows"))
+
+
+def hierarchy(points: DataFrame, admin: DataFrame, regions: DataFrame, size: float | None = None) -> DataFrame:
     """For each rid the smallest area of each placetype around it, and the region: the county's parent, else the
     region area itself, else none.
 

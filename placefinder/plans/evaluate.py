@@ -34,11 +34,18 @@ def summary(scored: DataFrame) -> DataFrame:
     keys = F.array(F.lit("ALL"), F.col("endpoint"), F.concat_ws("/", "endpoint", "qtype"), F.concat(F.lit("kind:"), "kind"), F.concat(F.lit("qtype:"), "qtype"))
     rows = scored.withColumn("grp", F.explode(keys))
     share = lambda c: F.round(F.avg(F.col(c).cast("double")), 3)
-    # The upper middle of n values is the one at place floor(n / 2): found by rank, not by gathering them.
+    # The upper middle of n values is the one at place floor(n / 2). Counts by kilometre (some 20,000 in a group at most)
+    # name the kilometre that holds it; only that one's distinct distances are ranked.
     from pyspark.sql import Window
 
-    ranked = rows.filter("dist1_m IS NOT NULL").select("grp", "dist1_m", F.row_number().over(Window.partitionBy("grp").orderBy("dist1_m", "id")).alias("at"), F.count(F.lit(1)).over(Window.partitionBy("grp")).alias("n"))
-    middle = ranked.filter(F.col("at") == F.floor(F.col("n") / 2) + 1).select("grp", F.round("dist1_m", 1).alias("median_dist_m"))
+    far = rows.filter("dist1_m IS NOT NULL").withColumn("km", F.floor(F.col("dist1_m") / 1000)).groupBy("grp", "km", "dist1_m").agg(F.count(F.lit(1)).alias("n"))
+    by_km = far.groupBy("grp", "km").agg(F.sum("n").alias("n"))
+    group, upto = Window.partitionBy("grp"), Window.partitionBy("grp").orderBy("km").rowsBetween(Window.unboundedPreceding, -1)
+    by_km = by_km.select("grp", "km", F.floor(F.sum("n").over(group) / 2).alias("at"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), "n")
+    holder = by_km.filter((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("n"))).select("grp", "km", "at", "before")
+    inner = Window.partitionBy("grp").orderBy("dist1_m").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = far.join(holder, ["grp", "km"]).withColumn("upto", F.col("before") + F.sum("n").over(inner))
+    middle = ranked.filter(F.col("upto") > F.col("at")).groupBy("grp").agg(F.round(F.min("dist1_m"), 1).alias("median_dist_m"))
     out = rows.groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"), share("correct").alias("correct"), F.sum(F.col("correct").cast("long")).alias("n_correct"), share("hit1").alias("hit1"), share("hit5").alias("hit5"),
         F.round(F.avg((F.col("n_results") == 0).cast("double")), 3).alias("no_result"),

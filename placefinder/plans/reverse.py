@@ -13,6 +13,7 @@ from ..functions import geo as G
 from ..functions.refdata import LIMITS
 from ..operators import spatial
 from ..operators.fuzzy import top
+from ..operators.tables import save
 from .filters import keep, with_defaults
 
 # Which layers each branch answers, and the order of containing areas.
@@ -21,6 +22,8 @@ ADMIN, ADMIN_DEFAULT = ("neighbourhood", "locality", "localadmin", "county", "re
 AREAS, COARSE = ("region", "country"), ("locality", "localadmin", "county")
 ADMIN_ORDER = ("neighbourhood", "locality", "localadmin", "postalcode", "county", "region")
 TOWN_CONFIDENCE, AREA_CONFIDENCE = 0.45, 0.7
+#: Metres that are looked around a point, one after the other, before the greatest radius.
+RINGS = (1000.0, 8000.0)
 
 
 def _branch(all_layers: tuple[str, ...], default: tuple[str, ...] | None = None) -> Column:
@@ -29,7 +32,7 @@ def _branch(all_layers: tuple[str, ...], default: tuple[str, ...] | None = None)
     return F.when(F.size(F.coalesce("layers", F.array().cast("array<string>"))) > 0, F.array_intersect("layers", known)).otherwise(F.array(*map(F.lit, default or all_layers)))
 
 
-def reverse(points: DataFrame, feature: DataFrame, admin: DataFrame, coarse_areas: DataFrame | None = None, size: float = 1.0) -> DataFrame:
+def reverse(points: DataFrame, feature: DataFrame, admin: DataFrame, coarse_areas: DataFrame | None = None, size: float | None = None) -> DataFrame:
     """query_id, id, grp, confidence, distance_km, rank. ``admin``: area_id, placetype, rings, feature_id;
     ``coarse_areas``: area_id, layer, rings, feature_id. Postcode areas answer only where asked for."""
     radius = F.col("radius_km").cast("double") if "radius_km" in points.columns else F.lit(None).cast("double")
@@ -46,10 +49,26 @@ def reverse(points: DataFrame, feature: DataFrame, admin: DataFrame, coarse_area
     own = F.col("use_coarse") | ~F.col("coarse")
     plain = F.col("want_gid").isNull() & F.col("categories").isNull()
 
-    close = spatial.within(places, rows.filter(F.col("layer").isin(*POINTS)), most * 1000, 0.05).withColumnRenamed("point_id", "query_id")
-    near = close.join(rows, "id").join(q, "query_id").filter(F.array_contains("point_layers", F.col("layer")) & (F.col("distance_m") <= F.col("radius_m")))
-    near = near.withColumn("all_layers", F.col("layers")).withColumn("layers", F.lit(None).cast("array<string>")).filter(sources & keep() & own & country)
-    near = top(near, ["query_id"], [F.col("distance_m"), F.col("id")], F.col("lim") * 3)
+    # Ever wider rings: a query that has found enough in one, or has looked as far as it may, is not asked again, so a
+    # point in a city meets the places around it and not those of the whole greatest radius.
+    asked, near = q, None
+    for ring in sorted({min(r, most * 1000) for r in RINGS} | {most * 1000}):
+        around = asked.select(F.col("query_id").alias("point_id"), F.col("plon").alias("lon"), F.col("plat").alias("lat"), "radius_m")
+        close = spatial.within(around, rows.filter(F.col("layer").isin(*POINTS)), ring, max(ring / 111_000.0 / 2, 0.005)).withColumnRenamed("point_id", "query_id")
+        met = close.join(rows, "id").join(asked, "query_id").filter(F.array_contains("point_layers", F.col("layer")))
+        met = met.withColumn("layers", F.lit(None).cast("array<string>")).filter(sources & keep() & own & country)
+        met = top(met, ["query_id"], [F.col("distance_m"), F.col("id")], F.col("lim") * 3).select("query_id", "id", "lim", "distance_m", "radius_m")
+        if ring == most * 1000:
+            near = met if near is None else near.unionByName(met)
+            break
+        met = save(met)
+        done = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.first("lim").alias("lim")).filter("n >= lim * 3").select("query_id")
+        done = save(done.unionByName(asked.filter(F.col("radius_m") <= ring).select("query_id")).distinct())
+        found = met.join(done, "query_id", "left_semi")
+        near = found if near is None else near.unionByName(found)
+        asked = save(asked.join(done, "query_id", "left_anti"))
+        if asked.isEmpty():
+            break
     out = near.select("query_id", "id", "lim", F.lit(0).alias("grp"), F.col("distance_m").alias("ord"), G.distance_confidence(F.col("distance_m")).alias("confidence"), (F.col("distance_m") / 1000).alias("distance_km"))
 
     inside = spatial.containing(places, admin.select("area_id", "rings"), size).withColumnRenamed("point_id", "query_id").join(admin.select("area_id", "placetype", F.col("feature_id").alias("id")), "area_id")
@@ -65,7 +84,7 @@ def reverse(points: DataFrame, feature: DataFrame, admin: DataFrame, coarse_area
         shown = held.filter(F.array_contains("area_layers", F.col("area_layer")))
         out = out.unionByName(shown.select("query_id", "id", "lim", F.lit(3).alias("grp"), area_order.alias("ord"), F.lit(AREA_CONFIDENCE).alias("confidence"), F.lit(0.0).alias("distance_km")))
         found = held.groupBy("query_id").agg(F.min(F.when(F.col("area_layer") == "country", F.col("country_a"))).alias("in_country"), F.max(F.col("area_layer") == "region").alias("in_region"), F.min(F.when(F.col("area_layer") == "region", F.col("region"))).alias("region_name"))
-        towns = spatial.within(places, rows.filter(F.col("coarse") & F.col("layer").isin(*COARSE)), most * 1000, 0.5).withColumnRenamed("point_id", "query_id")
+        towns = spatial.within(places.join(q.select(F.col("query_id").alias("point_id"), "radius_m"), "point_id"), rows.filter(F.col("coarse") & F.col("layer").isin(*COARSE)), most * 1000, 0.5).withColumnRenamed("point_id", "query_id")
         towns = towns.join(rows, "id").join(q, "query_id").join(found, "query_id", "left")
         same_region = ~F.coalesce("in_region", F.lit(False)) | F.col("region").eqNullSafe(F.col("region_name")) | F.col("region").isNull()
         towns = towns.filter(F.col("use_coarse") & F.array_contains("coarse_layers", F.col("layer")) & sources & country & plain & same_region & (F.col("in_country").isNull() | (F.col("country_a") == F.col("in_country"))))

@@ -15,6 +15,7 @@ from ..functions import geo as G
 from ..functions import text as T
 from ..functions.refdata import LIMITS, STATES
 from ..operators.fuzzy import similarity_join, top
+from ..operators.neighbours import number_neighbours
 from ..operators.tables import save
 from .filters import area_filter, keep, with_defaults
 
@@ -129,11 +130,16 @@ def search_core(queries: DataFrame, feature: DataFrame, street_name: DataFrame)
     found = exact.select("query_id", "street_norm", F.col("town").alias("locality_norm")).distinct()
     open_streets = streets.filter((F.col("st_sim") >= GOOD_STREET) & F.col("hni").isNotNull()).join(found, ["query_id", "street_norm", "locality_norm"], "left_anti")
     open_streets = top(open_streets, ["query_id"], [F.desc(F.col("st_sim") + F.coalesce("loc_sim", F.lit(0.0))), F.col("street_norm"), F.col("locality_norm")], INTERPOLATED).drop("rank")
-    sides = open_streets.join(address.withColumn("locality_norm", F.col("town")), ["street_norm", "locality_norm"]).filter(F.col("hn_int") % 2 == F.col("hni") % 2)
-    point = F.struct("id", "lon", "lat", "hn_int")
-    low = F.max_by(F.when(F.col("hn_int") < F.col("hni"), point), F.when(F.col("hn_int") < F.col("hni"), F.struct("hn_int", (-F.col("id")).alias("n"))))
-    high = F.min_by(F.when(F.col("hn_int") > F.col("hni"), point), F.when(F.col("hn_int") > F.col("hni"), F.struct("hn_int", "id")))
-    between = sides.groupBy("query_id", "street_norm", "locality_norm", "st_sim", "loc_sim", "hni").agg(low.alias("lo"), high.alias("hi")).filter("lo IS NOT NULL AND hi IS NOT NULL")
+    side = ["street_norm", "locality_norm"]
+    open_streets = save(open_streets.drop("loc"))
+    here = address.filter("hn_int IS NOT NULL").withColumn("locality_norm", F.col("town")).join(open_streets.select(*side).distinct(), side, "left_semi")
+    # the address with the smallest id stands for its number
+    first = save(here.groupBy(*side, F.col("hn_int").alias("number")).agg(F.min(F.struct("id", "lon", "lat", "hn_int")).alias("at")))
+    targets = open_streets.select(*side, F.col("hni").alias("number"), F.lit(0).alias("target_id")).distinct()
+    beside = number_neighbours(targets, first.select(*side, "number"), side, keep=True).filter("lower IS NOT NULL AND higher IS NOT NULL").drop("target_id")
+    end = lambda name, number: first.select(*side, F.col("number").alias(number), F.col("at").alias(name))
+    beside = beside.join(end("lo", "lower"), [*side, "lower"]).join(end("hi", "higher"), [*side, "higher"]).select(*side, F.col("number").alias("hni"), "lo", "hi")
+    between = open_streets.join(beside, [*side, "hni"])
     between = between.filter(G.haversine_m(F.col("lo.lon"), F.col("lo.lat"), F.col("hi.lon"), F.col("hi.lat")) <= INTERPOLATE_M)
     share = (F.col("hni") - F.col("lo.hn_int")) / F.nullif((F.col("hi.hn_int") - F.col("lo.hn_int")).cast("double"), F.lit(0.0))
     along = lambda a: F.col(f"lo.{a}") + (F.col(f"hi.{a}") - F.col(f"lo.{a}")) * share

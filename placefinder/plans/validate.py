@@ -9,6 +9,11 @@ from ..functions.refdata import COARSE_LAYERS, LAYERS, LIMITS, SOURCE_ALIASES, S
 from .filters import expand_layers
 
 
+#: The shapes of request values, and how many categories one may name.
+BOOLEAN, COUNTRY, LANG = r"(?i)^(true|false|1|0|yes|no)$", r"^[A-Za-z]{2,3}$", r"^[A-Za-z]{2,3}(-[A-Za-z0-9]{2,8})*$"
+GID, CATEGORY, MOST_CATEGORIES = r"^[a-z_]+:[a-z]+:[A-Za-z0-9_/.:-]+$", r"^[a-z0-9_=:.-]{1,60}$", 20
+
+
 class RequestError(ValueError):
     """A request value that can't be answered."""
 
@@ -37,7 +42,8 @@ def split_list(value: Column, aliases: dict[str, str]) -> Column:
 
 def checked(requests: DataFrame, settings: dict[str, float] | None = None) -> DataFrame:
     """``requests`` (any of text, layers, sources, size, lat, lon, rect, circle) with layers and sources as arrays and
-    ``errors``: an array of messages, empty for a request that can be answered."""
+    ``errors``: an array of messages, empty for a request that can be answered. Also looked at: focus_lat and focus_lon,
+    coarse (as text), country, gid, categories (a comma-separated list, returned as an array), lang."""
     lim, have = limits(settings), set(requests.columns)
     out, errors = requests, []
     add = lambda condition, message: errors.append(F.when(condition, F.lit(message)))
@@ -58,4 +64,15 @@ def checked(requests: DataFrame, settings: dict[str, float] | None = None) -> Da
         add(F.col("rect").isNotNull() & ((F.size("rect") != 4) | (F.get("rect", F.lit(0)) >= F.get("rect", F.lit(2))) | (F.get("rect", F.lit(1)) >= F.get("rect", F.lit(3)))), "the rectangle's corners are missing or out of order")
     if "circle" in have:
         add(F.col("circle").isNotNull() & ((F.size("circle") != 3) | (F.get("circle", F.lit(2)) > lim["max_circle_km"] * 1000)), "the circle is incomplete or too large")
+    if {"focus_lat", "focus_lon"} <= have:
+        add(F.col("focus_lat").isNull() != F.col("focus_lon").isNull(), "the focus needs both lat and lon")
+        add(~F.col("focus_lat").between(-90, 90) | ~F.col("focus_lon").between(-180, 180), "the focus is out of range")
+    for name, pattern, message in (("coarse", BOOLEAN, "coarse must be true or false"), ("country", COUNTRY, "country must be a code of two or three letters"), ("gid", GID, "gid must look like source:layer:id"), ("lang", LANG, "invalid lang")):
+        if name in have:
+            add(F.col(name).isNotNull() & ~F.trim(F.col(name).cast("string")).rlike(pattern), message)
+    if "gid" in have:
+        add(F.length("gid") > 200, "gid is too long")
+    if "categories" in have:
+        out = out.withColumn("categories", split_list(F.col("categories"), {}))
+        add((F.size("categories") > MOST_CATEGORIES) | F.exists("categories", lambda c: ~c.rlike(CATEGORY)), "invalid categories")
     return out.withColumn("errors", F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>"))

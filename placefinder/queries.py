@@ -409,6 +409,55 @@ def export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.counts(rows, ["c_name"], "seg", (-100, -50, 100, 50))
 
 
+@query("SELECT CASE WHEN p_size > 45 THEN 'coarse' ELSE 'own' END AS tier, 'venue' AS layer, count(*) AS rows, count(*) FILTER (WHERE p_size > 45) AS coarse_rows FROM part GROUP BY ALL")
+def layer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = venues(spark, sf_dir)
+    tier = lambda name, kept: build.layer_counts(rows.filter(kept)).select(F.lit(name).alias("tier"), "layer", "rows", "coarse_rows")
+    return tier("own", ~F.col("coarse")).unionByName(tier("coarse", F.col("coarse")))
+
+
+@query(f"""WITH b AS ({_BOXES}), p AS (SELECT c_custkey AS rid, c_mktsegment, {_lon('c_custkey')} AS lon, {_lat('c_custkey')} AS lat FROM customer)
+    SELECT rid FROM p WHERE c_mktsegment = 'MACHINERY'
+      OR (EXISTS (SELECT 1 FROM b WHERE area_id % 2 = 0 AND pow(greatest(x0 - lon, lon - x0 - 60, 0), 2) + pow(greatest(y0 - lat, lat - y0 - 25, 0), 2) <= 0.003 * 0.003)
+          AND NOT (lon BETWEEN -100 AND 100 AND lat BETWEEN 0 AND 20))""")
+def staged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid"), F.when(F.col("c_mktsegment") == "MACHINERY", "zcta").otherwise("overture").alias("source"), lon_of("c_custkey").alias("lon"), lat_of("c_custkey").alias("lat"))
+    neighbour = spark.range(1).select(F.lit(-1).alias("area_id"), box(F.lit(-100.0), F.lit(0.0), F.lit(100.0), F.lit(20.0)).alias("rings"))
+    return build.staged(points, _nation_boxes(spark, sf_dir).filter("area_id % 2 = 0"), neighbour).select("rid")
+
+
+@query("""SELECT DISTINCT ON (s_nationkey) 'd' || s_nationkey AS source_id, CASE WHEN s_nationkey % 3 = 0 THEN 'country' ELSE 'region' END AS layer, CAST(s_suppkey AS DOUBLE) AS x
+    FROM supplier ORDER BY s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1 END, coalesce(s_suppkey % 5 = 0, false), s_suppkey""")
+def division_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, at = F.col("s_suppkey"), F.col("s_suppkey").cast("double")
+    subtype = F.when(F.col("s_nationkey") % 3 == 0, "dependency").otherwise("region")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("id"), F.concat(F.lit("d"), "s_nationkey").alias("division_id"), subtype.alias("subtype"), F.when(k % 2 == 0, "land").otherwise("maritime").alias("class"), F.when(k % 7 != 0, k % 5 == 0).alias("is_territorial"), box(at, at, at + 1, at + 1).alias("rings"))
+    return readers.division_areas(rows).select("source_id", "layer", F.get(F.get("rings", F.lit(0)), F.lit(0))["x"].alias("x"))
+
+
+@query("""SELECT DISTINCT ON (c_nationkey) 'N' || c_nationkey AS country, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE c_mktsegment END AS name
+    FROM customer WHERE c_custkey % 3 <> 2 ORDER BY c_nationkey, CASE c_custkey % 3 WHEN 0 THEN 0 ELSE 1 END, c_custkey""")
+def division_country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("N"), "c_nationkey").alias("country"), F.when(k % 3 == 0, "country").when(k % 3 == 1, "dependency").otherwise("region").alias("subtype"), F.when(k % 4 != 0, F.col("c_mktsegment")).otherwise("").alias("name_en"), F.col("c_name").alias("name_primary"))
+    return readers.country_names(rows)
+
+
+@query("""WITH h AS (SELECT o_custkey AS row_id, o_orderkey AS k, (o_orderkey % 100) / CAST(100 AS DOUBLE) AS claimed, CASE o_orderkey % 4 WHEN 0 THEN 'address' WHEN 1 THEN 'street' WHEN 2 THEN 'locality' ELSE 'county' END AS layer, CASE WHEN o_orderkey % 5 < 3 THEN 'ME' WHEN o_orderkey % 5 = 3 THEN 'NH' END AS region_a
+      FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1),
+    j AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 11 = 0 THEN 'post office box' END AS skip, CASE WHEN c_custkey % 2 = 0 THEN 'ME' END AS state FROM customer),
+    l AS (SELECT *, least(claimed, CASE layer WHEN 'street' THEN 0.6::DOUBLE WHEN 'locality' THEN 0.45::DOUBLE WHEN 'county' THEN 0.3::DOUBLE ELSE 1::DOUBLE END) AS level, layer IS NOT NULL AND state IS NOT NULL AND region_a IS DISTINCT FROM state AS elsewhere FROM j LEFT JOIN h USING (row_id))
+    SELECT row_id, layer, CASE WHEN layer IS NOT NULL THEN CASE WHEN elsewhere THEN round(level * 0.6::DOUBLE, 3) ELSE level END END AS confidence,
+      CASE WHEN skip IS NOT NULL THEN skip WHEN layer IS NULL THEN 'no match' WHEN elsewhere THEN 'state differs: found in ' || coalesce(region_a, 'US') WHEN level < claimed THEN 'matched at ' || layer || ' level' END AS note FROM l""")
+def batch_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    jobs = table(spark, sf_dir, "customer").select(c.alias("row_id"), F.when(c % 11 == 0, "post office box").alias("skip"), F.when(c % 2 == 0, "ME").alias("state"))
+    layer = F.when(k % 4 == 0, "address").when(k % 4 == 1, "street").when(k % 4 == 2, "locality").otherwise("county")
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    hits = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("row_id"), rank.alias("rank"), layer.alias("layer"), ((k % 100) / 100.0).alias("confidence"), F.when(k % 5 < 3, "ME").when(k % 5 == 3, "NH").alias("region_a"), F.lit("US").alias("country_a"))
+    return readers.batch_results(jobs, hits).select("row_id", "layer", "confidence", "note")
+
+
 # -- answers -------------------------------------------------------------------------------
 
 

@@ -136,6 +136,31 @@ def divisions(rows: DataFrame, countries: DataFrame, regions: DataFrame, own_cou
     return base.unionByName(alias).drop("name_primary").withColumn("gid", F.concat_ws(":", "source", "layer", "source_id")).withColumn("coarse", F.lit(True))
 
 
+def division_names(rows: DataFrame, by: str, first: Column) -> DataFrame:
+    """One name for each value of ``by`` (a country or region code): the English one where there is one, of the row that
+    comes first by ``first`` and then by id."""
+    named = rows.filter(F.col(by).isNotNull()).withColumn("name", F.coalesce(F.nullif(F.col("name_en"), F.lit("")), "name_primary"))
+    return first_of(named, [by], [first, F.col("id")]).select(by, "name")
+
+
+def country_names(rows: DataFrame) -> DataFrame:
+    """country, name: a country's own row before a dependency's."""
+    return division_names(rows.filter(F.col("subtype").isin("country", "dependency")), "country", F.when(F.col("subtype") == "country", 0).otherwise(1))
+
+
+def region_names(rows: DataFrame) -> DataFrame:
+    """region, name."""
+    return division_names(rows.filter("subtype = 'region'"), "region", F.lit(0))
+
+
+def division_areas(rows: DataFrame) -> DataFrame:
+    """One polygon for each division (id, division_id, subtype, class, is_territorial, rings): land before sea, then those
+    that are not territorial waters, then the smallest id; dependencies count as countries."""
+    sea = F.when(F.col("class") == "land", 0).otherwise(1)
+    kept = first_of(rows, ["division_id"], [sea, F.coalesce("is_territorial", F.lit(False)), F.col("id")])
+    return kept.select(F.col("division_id").alias("source_id"), F.when(F.col("subtype") == "dependency", "country").otherwise(F.col("subtype")).alias("layer"), "rings")
+
+
 def geojson_areas(spark: SparkSession, path: str, id_property: str) -> DataFrame:
     """Polygons of a GeoJSON FeatureCollection: area_id, rings."""
     point = T.ArrayType(T.DoubleType())
@@ -220,8 +245,17 @@ def detect_delimiter(text: str) -> str:
     return max(",|\t;", key=lambda c: (counts[c], c == ","))
 
 
-#: Header words of an upload and the role each has.
-ROLES = {"lat": ("lat", "latitude", "y"), "lon": ("lon", "lng", "long", "longitude", "x"), "address": ("address", "street", "addr", "address1"), "city": ("city", "town", "locality"), "state": ("state", "region"), "zip": ("zip", "zipcode", "postcode", "postal", "postalcode"), "query": ("query", "q", "text", "search", "name")}
+#: Header words of an upload, without blanks and marks, and the role each has.
+ROLES = {
+    "lat": ("lat", "latitude", "y"), "lon": ("lon", "lng", "long", "longitude", "x"), "address": ("address", "addressline1", "address1", "streetaddress", "street", "addr"),
+    "city": ("city", "town", "locality", "municipality"), "state": ("state", "st", "statecode", "region", "province"), "zip": ("zip", "zipcode", "postalcode", "postcode", "postal"), "query": ("query", "q", "text", "search", "name"),
+}
+#: Words that begin a unit at an address's end, where a number, a letter or nothing follows ("Building St"
+#: is no unit); what comes after goes too.
+UNIT_WORDS = ("suite", "ste", "unit", "apt", "apartment", "floor", "fl", "room", "rm", "bldg", "building")
+#: What a record may claim by the layer that answered it, and what is left of it in another state.
+LAYER_CAP = {"street": 0.6, "postalcode": 0.5, "neighbourhood": 0.5, "locality": 0.45, "localadmin": 0.45, "county": 0.3, "region": 0.2, "country": 0.1}
+OTHER_STATE = 0.6
 
 
 def roles(header: list[str]) -> dict[str, str]:
@@ -243,7 +277,9 @@ def batch_jobs(df: DataFrame) -> DataFrame:
     """
     role = roles(df.columns)
     col = lambda r: F.trim(F.coalesce(F.col(role[r]), F.lit(""))) if r in role else F.lit("")
-    street = F.trim(F.regexp_replace(col("address"), r"(?i)[,\s]+(apt|apartment|unit|ste|suite|#)\.?\s*[\w-]+\s*$", ""))
+    unit = rf"[,\s]+(?:{'|'.join(UNIT_WORDS)})\b\.?\s*(?:#?\s*(?:[\w-]*\d|[a-z]\b)|$)"
+    tail = rf"(?is)(?:{unit}|\s+#\s*[\w-]).*$"
+    street = F.trim(F.regexp_replace(F.regexp_replace(col("address"), tail, ""), r"[,\s]+$", ""))
     names = lambda part, whole: F.concat(F.lit(" "), F.regexp_replace(F.lower(whole), r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.lower(part), F.lit(" ")))
     extra = [F.when((col(r) != "") & ~names(col(r), street), col(r)) for r in ("city", "state", "zip")]
     joined = F.concat_ws(", ", F.nullif(street, F.lit("")), *extra)
@@ -254,3 +290,25 @@ def batch_jobs(df: DataFrame) -> DataFrame:
     box = F.col("text").rlike(r"(?i)\bp\.?\s*o\.?\s*box\b")
     skip = F.when(F.coalesce(here, F.lit(False)), None).when(box, "post office box").when(F.col("text") == "", "nothing to look up")
     return rows.select("row_id", F.when(F.coalesce(here, F.lit(False)), None).otherwise(F.nullif(F.col("text"), F.lit(""))).alias("text"), "lon", "lat", skip.alias("skip"))
+
+
+def batch_results(jobs: DataFrame, hits: DataFrame) -> DataFrame:
+    """row_id, the first hit's columns, confidence and ``note`` for each job (row_id, skip, state: null or the abbreviation
+    that its row names) from ``hits`` (row_id, rank, layer, confidence, region_a, country_a, ...).
+
+    A town that answers for a building is a poor answer however well it fits its name, so the confidence is
+    capped by the answering layer; an answer in another state than the row's keeps ``OTHER_STATE`` of it.
+    """
+    best = hits.filter("rank = 1").drop("rank").withColumnRenamed("confidence", "claimed")
+    cap = F.create_map(*(F.lit(x) for pair in LAYER_CAP.items() for x in pair))[F.col("layer")]
+    rows = jobs.select("row_id", "skip", "state").join(best, "row_id", "left")
+    level = F.least(F.col("claimed").cast("double"), F.coalesce(cap, F.lit(1.0)))
+    elsewhere = F.col("layer").isNotNull() & F.col("state").isNotNull() & ~F.col("region_a").eqNullSafe(F.col("state"))
+    confidence = F.when(elsewhere, F.round(level * OTHER_STATE, 3)).otherwise(level)
+    note = (
+        F.when(F.col("skip").isNotNull(), F.col("skip"))
+        .when(F.col("layer").isNull(), "no match")
+        .when(elsewhere, F.concat(F.lit("state differs: found in "), F.coalesce("region_a", "country_a", F.lit("another place"))))
+        .when(level < F.col("claimed").cast("double"), F.concat(F.lit("matched at "), "layer", F.lit(" level")))
+    )
+    return rows.withColumn("confidence", confidence).withColumn("note", note).drop("claimed", "skip")

@@ -235,3 +235,76 @@ def test_every_address_is_asked(spark, small):
     homes = address(Q.homes(spark, small))
     assert all((s, t, n) in asked or (s, t, str(int(n) + 2)) in asked for s, t, n in homes)
     assert {int(n) % 2 for _, _, n in asked} == {0, 1}
+
+
+def test_unit_tails_go_with_what_follows(spark):
+    rows = [(1, "12 Main St Suite 100 Rear", "Bath", "ME"), (2, "12 Main St, Bldg C", "Bath", "ME"), (3, "12 Building St", "Bath", "ME"), (4, "12 Main St #4 back", "Bath", "ME"), (5, "12 Main St Floor", "Bath", "ME"), (6, "12 Floor Rd rm. 2B", "Bath", "ME")]
+    df = spark.createDataFrame(rows, "row_id int, `Street Address` string, Municipality string, St string")
+    got = {r.row_id: r.text for r in readers.batch_jobs(df).collect()}
+    assert got == {1: "12 Main St, Bath, ME", 2: "12 Main St, Bath, ME", 3: "12 Building St, Bath, ME", 4: "12 Main St, Bath, ME", 5: "12 Main St, Bath, ME", 6: "12 Floor Rd, Bath, ME"}
+
+
+def test_request_values_are_checked(spark):
+    rows = [("a", None, None, "us", "whosonfirst:locality:1", "cafe, shop=x", "en-US", "true"), ("b", 95.0, 0.0, "usa1", "x", "Ünder", "e", "maybe"), ("c", 1.0, None, None, None, ",".join(f"c{i}" for i in range(21)), None, None)]
+    df = spark.createDataFrame(rows, "query_id string, focus_lat double, focus_lon double, country string, gid string, categories string, lang string, coarse string")
+    got = {r.query_id: (len(r.errors), r.categories) for r in validate.checked(df).collect()}
+    assert got["a"] == (0, ["cafe", "shop=x"]) and got["b"][0] == 6 and got["c"][0] == 2
+
+
+def test_other_parsers_are_mended_by_the_rules(spark):
+    from placefinder.plans import parse
+
+    shape = "query_id int, components map<string,string>"
+    other = parse.from_components(spark.createDataFrame([(1, {"house_number": "12", "house": "wenbelle df buckspotr me"}), (2, {"house_number": "389", "road": "congress st", "suburb": "portland", "state": "me"}), (3, {"house": "jetport"})], shape))
+    texts = spark.createDataFrame([(1, "12 Wenbelle Df, Buckspotr, ME"), (2, "x"), (3, "jetport")], "query_id int, text string")
+    towns = spark.createDataFrame([("portland", "ME", False)], "name string, region_a string, coarse boolean")
+    got = {r.query_id: (r.name, r.housenumber, r.street, r.locality, r.state) for r in parse.with_rule_fallback(other, parse.parse(texts, towns, ["ME"])).collect()}
+    assert got == {1: (None, "12", "Wenbelle Df", "Buckspotr", None), 2: (None, "389", "congress st", "portland", "me"), 3: ("jetport", None, None, None, None)}
+
+
+def brute_inside(x, y, rings):
+    """Even-odd over all rings, boundaries inside."""
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+            if cross == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return True
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
+
+
+def test_points_in_ragged_areas_of_all_sizes(spark):
+    import math
+    import random
+
+    rng = random.Random(1)
+
+    def star(cx, cy, r, n):
+        ring = [(round(cx + r * rng.uniform(0.3, 1) * math.cos(2 * math.pi * i / n), 3), round(cy + r * rng.uniform(0.3, 1) * math.sin(2 * math.pi * i / n), 3)) for i in range(n)]
+        return [*ring, ring[0]]
+
+    areas = [(i, [star(rng.uniform(-20, 20), rng.uniform(-20, 20), rng.choice([0.05, 0.5, 4, 30]), rng.randint(3, 40))]) for i in range(40)]
+    areas += [(100, [[(-5.0, -5.0), (5.0, -5.0), (5.0, 5.0), (-5.0, 5.0), (-5.0, -5.0)], [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0), (-1.0, -1.0)]]), (101, [])]
+    points = [(i, round(rng.uniform(-25, 25), 2), round(rng.uniform(-25, 25), 2)) for i in range(600)] + [(1000 + k, *p) for k, p in enumerate(areas[0][1][0])] + [(2000, 1.0, 0.0), (2001, 0.0, 0.0), (2002, -5.0, 2.0)]
+    a = spark.createDataFrame(areas, "area_id int, rings array<array<struct<x:double,y:double>>>")
+    p = spark.createDataFrame(points, "point_id int, lon double, lat double")
+    want = {(i, j) for i, x, y in points for j, rings in areas if brute_inside(x, y, rings)}
+    for size in (None, 3.0):
+        assert {(r.point_id, r.area_id) for r in spatial.containing(p, a, size).collect()} == want
+
+
+def test_search_with_state_area_focus_and_layers(spark, maine):
+    shape = "query_id string, text string, locality string, state string, rect array<double>, circle array<double>, focus_lon double, focus_lat double, layers array<string>, country string, coarse boolean"
+    rows = [
+        ("rect", "Portland", "Portland", None, [-71.0, 43.0, -69.0, 45.0], None, None, None, None, None, None), ("circle", "Portland", "Portland", None, None, [-122.67, 45.52, 5000.0], None, None, None, None, None),
+        ("focus", "Portland", "Portland", None, None, None, -122.6, 45.5, None, None, None), ("layers", "Portland", "Portland", None, None, None, None, None, ["venue"], None, None), ("abroad", "Portland", "Portland", None, None, None, None, None, None, "FR", None),
+        ("own", "Portland OR", "Portland", "OR", None, None, None, None, None, None, False), ("nowhere", "Portland", "Portland", None, [0.0, 0.0, 1.0, 1.0], None, None, None, None, None, None), ("unknown", "Portland", "Portland", None, None, None, None, None, None, "XYZ", None),
+    ]
+    found: dict = {}
+    for r in search.search(spark.createDataFrame(rows, shape), *maine, [("ME", "Maine")]).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.id, r.layer))
+    assert found["rect"][0][0] == 4 and 8 not in [i for i, _ in found["rect"]]
+    assert [i for i, _ in found["circle"]] == [8] and found["focus"][0][0] in (4, 8) and {x for _, x in found["layers"]} == {"venue"}
+    assert not {"abroad", "own", "nowhere", "unknown"} & set(found)
