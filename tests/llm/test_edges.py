@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and extra columns, for each operator and stage."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,83 @@ def test_pages_with_nulls_and_clashing_columns(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, trust int, host string")
     assert sorted(r.verdict for r in url_trust.url_verdicts(pages).collect()) == ["allow"] * 3
     assert sorted(r.status for r in fixity.audit(pages, pages).collect()) == ["ok"] * 3
+
+
+def values(df, *columns):
+    """doc_id -> the distinct values that its rows have."""
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.doc_id, set()).add(tuple(r[c] for c in columns))
+    return out
+
+
+def test_tokens_of_edge_rows(docs):
+    import hashlib
+
+    own = bpe.load(bpe.default_vocabulary())
+    nothing = hashlib.sha256(b"").hexdigest()
+    got = values(bpe.encode_documents(docs), "n_tokens", "ids_sha256", "decoded_sha256")
+    assert got[1] == got[2] == got[3] == {(0, nothing, nothing)} and (0, nothing, nothing) in got[None] and len(got[None]) == 2
+    assert got[5] == got[6] and len(got[5]) == 1
+    assert {n for n, *_ in got[7]} == {60000 * len(own.encode(LONG[:40]))}
+
+
+def test_toxicity_of_edge_rows(spark, docs, labels):
+    for given in (labels, labels.filter("toxic = 0"), labels.filter("toxic = 1"), labels.limit(0)):
+        got = values(toxicity.toxicity(docs, given), "score", "predicted")
+        assert got[1] == got[2] and got[5] == got[6] and len(got[5]) == 1 and got[1] <= got[None] | got[1]
+        assert all(0 <= s <= 1 and p == (s >= 0.7) for rows in got.values() for s, p in rows)
+    assert {v for rows in got.values() for v in rows} == {(0.0, 0)}  # without labels
+    held = {r.doc_id: r.held_out for r in toxicity.toxicity(docs, labels.limit(0)).collect()}
+    assert held == {i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1 for i in held}
+
+
+def test_quality_of_edge_rows(spark, docs, labels):
+    for given in (labels, labels.filter("quality = 0"), labels.filter("quality = 1"), labels.limit(0)):
+        got = values(quality.quality(docs, given), "score", "predicted")
+        assert got[1] == got[2] and got[5] == got[6] and len(got[5]) == 1
+        assert all(0 <= s <= 1 and p == (s >= 0.3) for rows in got.values() for s, p in rows)
+    assert {p for rows in got.values() for _, p in rows} == {1}  # without labels nothing is turned away
+    assert {p for rows in values(quality.quality(docs, spark.createDataFrame([(4, 0), (7, 0), (8, 0)], "doc_id long, quality int")), "predicted").values() for (p,) in rows} == {0}
+    stat = quality.statistics(F.coalesce("text", F.lit("")))
+    empty = docs.filter("doc_id IN (1, 2)").select(*(stat[n].cast("double").alias(n) for n in quality.NAMES)).distinct().collect()
+    assert len(empty) == 1 and (empty[0].upper, empty[0].distinct_words, empty[0].distinct_lines, empty[0].word_length) == (0.0, 1.0, 1.0, 1.0)
+
+
+def test_spans_of_edge_rows(spark, docs):
+    assert all(not r.spans for r in secrets.scan(docs).collect())
+    rows = [(1, None), (2, "key = " + "z" * 9000), (3, "pwd: " + "k9" * 3000), (None, "pwd: x7Kq-92mZ-Lp4w"), (5, "pwd: x7Kq-92mZ-Lp4w"), (5, "pwd: x7Kq-92mZ-Lp4w")]
+    got = [(r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, ()), (2, ()), (3, ()), (None, (("guess", 5, 19),)), (5, (("guess", 5, 19),)), (5, (("guess", 5, 19),))], key=repr)
+
+
+def test_sections_of_edge_rows(spark, docs):
+    got = values(token_counts.section_tokens(docs), "section", "start", "end", "n_tokens", "crossing")
+    assert got[1] == got[2] == {(0, 0, 0, 0, False)} and got[5] == got[6] and len(got[7]) == 1 and max(r[2] for r in got[7]) == len(LONG)
+    shape = "doc_id long, text string, spans array<struct<start:long,end:long>>"
+    given = spark.createDataFrame([(1, "a b", None), (1, "a b", None), (2, None, [(0, 5)]), (3, "a b", [])], shape)
+    rows = sorted((r.doc_id, r.section, r.n_tokens) for r in token_counts.section_tokens(given, sections_col="spans").collect())
+    assert rows == [(1, 0, 2), (1, 0, 2), (2, 0, 0)]
+
+
+def test_tokens_within_a_character_begin_at_it():
+    """A character of several tokens: all of them begin there, the first boundary after them is its end."""
+    starts, ends = token_counts.token_starts("x\U0001f9ff\U0001f9ff y")
+    assert list(starts) == sorted(starts) and set(starts) <= set(range(5)) and ends[-1] == 5
+    assert all(a < z for a, z in zip(starts, ends)) and len(starts) > 4
+
+
+def test_decontamination_of_edge_rows(spark, docs):
+    items = spark.createDataFrame([(9, "two three"), (9, "nothing"), (10, None)], "item_id long, text string")
+    got = values(decontaminate.contamination(docs, items), "n_words", "n_hit", "n_items", "longest", "contaminated")
+    assert got[1] == got[2] == got[3] == {(0, 0, 0, 0, False)} and got[5] == got[6] == {(7, 2, 1, 2, True)}
+    assert got[None] == {(0, 0, 0, 0, False), (7, 2, 1, 2, True)} and got[7] == {(360000, 0, 0, 0, False)}
+
+
+def test_stages_on_edge_rows(spark, docs, labels, benchmark, tmp_path):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = lambda name: sorted((r.doc_id for r in dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)).collect()), key=repr)
+    assert stage("toxicity") == sorted((i for i, _ in ROWS), key=repr)
+    assert stage("near_dedup") == sorted([1, 2, 3, 4, 5, 5, 7, None, None], key=repr)
+    assert stage("decontamination") == sorted([1, 2, 3, 4, None, 7, 8], key=repr)

@@ -37,7 +37,21 @@ def test_stages_against_brute_force(spark, small):
     assert {r.doc_id: r.ids for r in run("bpe", docs).collect()} == {i: coder.encode(t) for i, t in texts.items()}
 
 
-def test_run_applies_all_stages(spark, small):
+def test_run_against_brute_force(spark, small):
+    """The whole pipeline: the stages' brute-force versions one after the other, each on what the one before left."""
     got = corpus_pipeline.run(spark, small)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-    assert 0 < got.count() < connect(small).sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    clean = docs if model is None else docs.join(toxicity.score(docs, model).filter("predicted = 0").select("doc_id"), "doc_id")
+    texts = {r.doc_id: r.text or "" for r in clean.collect()}
+    groups: dict[str, tuple] = {}
+    for i, t in texts.items():
+        key = re.sub(r"[\x20\x09-\x0D]", "", t)
+        groups[key] = min(groups.get(key, (0, 10**9)), (-len(t), i))
+    texts = {i: texts[i] for _, i in groups.values()}
+    texts = {i: texts[i] for i, (_, _, kept) in brute_near(list(texts.items())).items() if kept}
+    leaks = brute_leaks(texts.items(), connect(small).sql("SELECT item_id, text FROM benchmark").fetchall())
+    coder = bpe.load(bpe.default_vocabulary())
+    want = {i: coder.encode(t) for i, t in texts.items() if not leaks[i][4]}
+    assert 0 < len(want) < docs.count() and {r.doc_id: r.ids for r in got.collect()} == want
