@@ -12,10 +12,11 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 from .shared import id_text, slices
 
 #: What a worker's memory of words and their ids may take (bytes, about), and the longest word it holds. Bounds on
-#: memory only: other words are encoded again.
-REMEMBERED_BYTES, REMEMBERED_LENGTH, PER_WORD = 24 << 20, 64, 220
+#: memory only: other words are encoded again. Words are forgotten by halves, those not met lately first.
+REMEMBERED_BYTES, REMEMBERED_LENGTH, PER_WORD = 36 << 20, 64, 220
 
 
 def byte_alphabet() -> list[str]:
@@ -51,49 +52,56 @@ class WordBpe:
         self.strings = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.strings[i] = token
-        self.letters = byte_alphabet()
+        letters = byte_alphabet()
+        #: The symbol of each byte, within a word and at its end.
+        self.of_byte = [self.vocab[x] for x in letters]
+        self.of_last = [self.vocab[x + self.suffix] for x in letters]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge_word(self, word: str) -> list[int]:
         """The ids of one word, by merging its symbols in rank order."""
-        symbols = [self.letters[b] for b in word.encode("utf-8")]
-        symbols[-1] += self.suffix
-        ids = [self.vocab[s] for s in symbols]
-        after = [*range(1, len(ids)), -1]
-        before = list(range(-1, len(ids) - 1))
-        queue: list[tuple[int, int, int, int, int]] = []
-
-        def offer(at: int) -> None:
-            nxt = after[at]
-            if nxt >= 0 and (found := self.merges.get((ids[at], ids[nxt]))):
-                heapq.heappush(queue, (found[0], at, ids[at], ids[nxt], found[1]))
-
-        for i in range(len(ids) - 1):
-            offer(i)
+        raw = word.encode("utf-8")
+        ids = [self.of_byte[b] for b in raw]
+        ids[-1] = self.of_last[raw[-1]]
+        last = len(ids) - 1
+        merges = self.merges.get
+        # (rank, place, left id, right id, merged id)
+        queue = [(found[0], at, ids[at], ids[at + 1], found[1]) for at in range(last) if (found := merges((ids[at], ids[at + 1])))]
+        if not queue:
+            return ids
+        heapify(queue)
+        after = [*range(1, last + 1), -1]
+        before = list(range(-1, last))
         while queue:
-            _, at, left, right, merged = heapq.heappop(queue)
+            _, at, left, right, merged = heappop(queue)
             nxt = after[at]
             if ids[at] != left or nxt < 0 or ids[nxt] != right:
                 continue  # stale: one of the two has been merged since
             ids[at], ids[nxt] = merged, -1
-            after[at] = after[nxt]
-            if after[at] >= 0:
-                before[after[at]] = at
-            offer(at)
-            if before[at] >= 0:
-                offer(before[at])
+            after[at] = nxt = after[nxt]
+            if nxt >= 0:
+                before[nxt] = at
+                if found := merges((merged, ids[nxt])):
+                    heappush(queue, (found[0], at, merged, ids[nxt], found[1]))
+            prev = before[at]
+            if prev >= 0 and (found := merges((ids[prev], merged))):
+                heappush(queue, (found[0], prev, ids[prev], merged, found[1]))
         return [i for i in ids if i >= 0]
 
     def _packed(self, word: str) -> bytes:
         found = self.known.get(word)
         if found is None:
-            found = np.array(self.merge_word(word), dtype="<u4").tobytes()
+            found = self.older.get(word)
+            if found is None:
+                ids = self.merge_word(word)
+                found = pack(f"<{len(ids)}I", *ids)
             if len(word) <= REMEMBERED_LENGTH:
-                if len(self.known) * PER_WORD >= REMEMBERED_BYTES:
-                    self.known.clear()
+                if len(self.known) * PER_WORD * 2 >= REMEMBERED_BYTES:
+                    self.older, self.known = self.known, {}
                 self.known[word] = found
         return found
 
@@ -102,12 +110,12 @@ class WordBpe:
 
         # One character at a time: no final-sigma rule.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        known = self.known
         words = self.words(text)
+        known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            return b"".join([self._packed(w) for w in words])
+            return b"".join([known[w] if w in known else self._packed(w) for w in words])
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
