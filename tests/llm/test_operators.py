@@ -233,6 +233,27 @@ def test_near_duplicates_in_a_large_loose_group(spark):
     assert near_rows(df) == brute_near(texts)
 
 
+def test_blocks_and_shares_of_a_group_change_nothing(spark, monkeypatch):
+    """Many small blocks a bucket, by members and by shingles, and partners dealt to few shares: the same links."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(300)]
+    shared = [rng.choice(words) for _ in range(50)]
+    texts = []
+    for g in range(30):  # thirty loose groups that all share most of one passage
+        own = shared + [rng.choice(words) for _ in range(16)]
+        for i in range(rng.randint(1, 7)):
+            t = list(own)
+            t[rng.randrange(50, 66)] = rng.choice(words)
+            texts.append((100 * g + i, " ".join(t)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_near(texts)
+    for block, shingles, salts in ((8, 1 << 21, 2), (1024, 300, 256)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+        monkeypatch.setattr(near_dedup, "SALTS", salts)
+        assert near_rows(df) == want
+
+
 def test_pairs_at_the_threshold(spark):
     rng = random.Random(4)
     texts = []
