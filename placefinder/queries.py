@@ -623,13 +623,13 @@ def scored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     truth = lambda c: F.when(key % 10 != 0, c)
     cases = table(spark, sf_dir, "customer").select(key.alias("id"), F.when(key % 3 == 0, "search").otherwise("reverse").alias("endpoint"), F.when(key % 2 == 0, "exact").otherwise("typo").alias("qtype"), F.lower("c_mktsegment").alias("kind"), truth(lat_of("c_custkey")).alias("truth_lat"), truth(lon_of("c_custkey")).alias("truth_lon"), F.lit(60000.0).alias("radius_m"), F.lit(None).cast("string").alias("truth_number"))
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 < 2")
+    o = table(spark, sf_dir, "orders")
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     hits = o.select(F.col("o_custkey").alias("id"), n.alias("rank"), (lat_of("o_custkey") + (F.col("o_orderkey") % 4) * 0.3).alias("lat"), lon_of("o_custkey").alias("lon"), ((F.col("o_orderkey") % 10) / 10.0).alias("confidence"), F.lit(None).cast("string").alias("housenumber"))
     return evaluate.score(cases, hits)
 
 
-_SCORED = f"""WITH c AS ({_CASES}), h AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, {_lat('o_custkey')} + (o_orderkey % 4) * CAST(0.3 AS DOUBLE) AS lat, {_lon('o_custkey')} AS lon, CAST(o_orderkey % 10 AS DOUBLE) / 10 AS confidence FROM orders WHERE o_orderkey % 3 < 2),
+_SCORED = f"""WITH c AS ({_CASES}), h AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, {_lat('o_custkey')} + (o_orderkey % 4) * CAST(0.3 AS DOUBLE) AS lat, {_lon('o_custkey')} AS lon, CAST(o_orderkey % 10 AS DOUBLE) / 10 AS confidence FROM orders),
     t AS (SELECT id, tlat AS lat, tlon AS lon FROM c),
     d AS (SELECT h.id, rank, confidence, {_far('t', 'h')} AS d FROM h JOIN t ON t.id = h.id),
     g AS (SELECT id, count(*) AS n_results, max(confidence) FILTER (WHERE rank = 1) AS top_conf, max(d) FILTER (WHERE rank = 1) AS dist1_m, bool_or(d <= 60000) FILTER (WHERE rank = 1) AS hit1, bool_or(d <= 60000) FILTER (WHERE rank <= 5) AS hit5 FROM d GROUP BY 1),
