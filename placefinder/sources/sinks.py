@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,20 @@ def write_text(spark, path: str, text: str) -> None:
     out.close()
 
 
+def replace_text(spark, path: str, text: str) -> None:
+    """Like :func:`write_text`, but a reader sees the old file or the new one and nothing between: written aside, then
+    renamed over it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs
+    aside = f"{path}.{uuid.uuid4().hex}"
+    write_text(spark, aside, text)
+    system = files.Path(path).getFileSystem(conf)
+    old, new = system.makeQualified(files.Path(path)), system.makeQualified(files.Path(aside))
+    options = spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+    options[0] = files.Options.Rename.OVERWRITE
+    files.FileContext.getFileContext(old.toUri(), conf).rename(new, old, options)
+
+
 def publish(tables: dict[str, DataFrame], root: str, info: dict | None = None) -> str:
     """Write a build as a new version and then point ``root/current.json`` at it; readers see all of it or none."""
     spark = next(iter(tables.values())).sparkSession
@@ -52,7 +67,7 @@ def publish(tables: dict[str, DataFrame], root: str, info: dict | None = None) -
         row = written.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*written.columns))).cast("decimal(38,0)")).alias("sum")).first()
         manifest["tables"][name] = {"rows": row.n, "checksum": str(row["sum"])}
     write_text(spark, f"{version}/manifest.json", json.dumps(manifest))
-    write_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"version": version}))
+    replace_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"version": version}))
     return version
 
 

@@ -173,6 +173,9 @@ def test_publish_flips_a_pointer(spark, tmp_path):
     version = sinks.publish({"t": spark.range(3)}, str(tmp_path))
     assert json.loads((tmp_path / "current.json").read_text())["version"] == version
     assert spark.read.parquet(f"{version}/t").count() == 3
+    later = sinks.publish({"t": spark.range(4)}, str(tmp_path))
+    assert json.loads((tmp_path / "current.json").read_text())["version"] == later != version
+    assert not [f for f in tmp_path.iterdir() if f.name.startswith("current.json.")]
 
 
 def test_cells_are_guarded(spark):
