@@ -105,10 +105,10 @@ def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(lower(strip_accents(replace(replace(text, 'ß', 'ss'), 'ẞ', 'SS'))), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'), '''', ''), '’', ''), '[^a-z0-9]+', ' ', 'g'))) AS folded
-    FROM documents WHERE text IS NOT NULL"""
+    FROM documents"""
 )
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(F.array_join(T.raw_tokens(F.col("text")), " ").cast("binary")).alias("folded"))
 
 
