@@ -21,7 +21,8 @@ def feature_json(hits: DataFrame, codes: dict[str, str] | None = None) -> DataFr
     parts += [F.round(F.col(c).cast("double"), 3).alias(n) for c, n in (("confidence", "confidence"), ("distance_km", "distance")) if c in have]
     parts += [F.col("postcode").alias("postalcode")] if "postcode" in have else []
     if "country_a" in have:
-        parts += [F.col("country"), alpha3.alias("country_a"), F.col("country_a").alias("country_code"), F.when(F.col("country_a") == "US", US_GID).alias("country_gid")]
+        parts += [F.col("country")] if "country" in have else []
+        parts += [alpha3.alias("country_a"), F.col("country_a").alias("country_code"), F.when(F.col("country_a") == "US", US_GID).alias("country_gid")]
     parts += [F.when(F.col("coarse"), F.lit(True)).alias("coarse")] if "coarse" in have else []
     plain = F.to_json(F.struct(*parts))
     hier = F.coalesce(F.to_json("hier"), F.lit("{}")) if "hier" in have else F.lit("{}")

@@ -26,13 +26,30 @@ def as_points(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*(pick(c).cast(_TYPES.get(c, "string")).alias(c) for c in POINT))
 
 
+def _first_lines(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Files by their first line that isn't blank, as far as which alone each is read, without a job; compressed ones too."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[str, list[str]] = {}
+    for name in files:
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        stream, codec = at.getFileSystem(conf).open(at), codecs.getCodec(at)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        line = lines.readLine()
+        while line is not None and not line.strip():
+            line = lines.readLine()
+        found.setdefault(line or "", []).append(name)
+        lines.close()
+    return found
+
+
 def text_csv(spark: SparkSession, path: str, sep: str = ",", quote: str = '"', **options) -> DataFrame:
-    """Every column as text; files whose headers differ are united by name."""
+    """Every column as text; files whose headers (their first lines) differ are united by name. Files without a line are
+    left out."""
     reader = spark.read.options(header=True, sep=sep, quote=quote, escape=quote or "", recursiveFileLookup=True, **options)
     files = [r.file for r in spark.read.format("binaryFile").options(recursiveFileLookup=True, **options).load(path).select(F.col("path").alias("file")).collect()]
-    headers: dict[tuple[str, ...], list[str]] = {}
-    for name in files:
-        headers.setdefault(tuple(reader.csv(name).columns), []).append(name)
+    headers = _first_lines(spark, files)
+    headers.pop("", None)
     out = None
     for same in headers.values():
         part = reader.csv(same)
