@@ -40,3 +40,13 @@ def collections(features: DataFrame, order: str = "rank") -> DataFrame:
     made = features.groupBy("query_id").agg(listed.alias("f"), F.min("lon").alias("a"), F.min("lat").alias("b"), F.max("lon").alias("c"), F.max("lat").alias("d"))
     body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("f", ","), F.lit('],"bbox":'), F.to_json(F.array("a", "b", "c", "d")), F.lit("}"))
     return made.select("query_id", body.alias("collection"))
+
+
+def licence_page(regions: DataFrame, version: str, notices: dict[str, str]) -> DataFrame:
+    """One row, ``page``: an HTML page with the version, the names of ``regions`` (name) in order, and a notice for each
+    source; all of them escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    items = [F.concat(F.lit("<li>"), safe(F.lit(source)), F.lit(": "), safe(F.lit(notice)), F.lit("</li>")) for source, notice in notices.items()]
+    named = safe(F.coalesce(F.expr("listagg(name, ', ') WITHIN GROUP (ORDER BY name)"), F.lit("")))
+    body = F.concat(F.lit('<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Sources</title></head><body><p>Version '), safe(F.lit(version)), F.lit("</p><p>Places of "), named, F.lit("</p><ul>"), *items, F.lit("</ul></body></html>"))
+    return regions.agg(body.alias("page"))

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from .functions import geo as G
 from .functions import sql as sql_functions
 from .functions import text as T
+from .functions.refdata import EXPANSIONS
 from .operators.fuzzy import top
 from .operators.tables import work_dir
-from .plans import autocomplete, build, output
+from .plans import autocomplete, build, cases, output
 from .queries import _EXPAND, _GRAMS, _HOMES, _RUNS, _far, _lat, _lon, _nation_boxes, _sim, homes, lat_of, lon_of, query, table, venues
 from .sources import readers
 
@@ -336,3 +337,34 @@ def feature_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.transform("c.features", lambda f: f["properties"]["source_id"].cast("long"))
     corner = lambda i, name: F.get("c.bbox", F.lit(i)).alias(name)
     return read.select("query_id", F.size("c.features").cast("long").alias("n"), F.get(ids, F.lit(0)).alias("first_id"), F.element_at(ids, -1).alias("last_id"), corner(0, "west"), corner(1, "south"), corner(2, "east"), corner(3, "north"))
+
+
+@query("SELECT '<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"utf-8\"><title>Sources</title></head><body><p>Version 1 &lt; 2</p><p>Places of ' || string_agg(n_name, ', ' ORDER BY n_name) || '</p><ul><li>A: public &amp; free</li></ul></body></html>' AS page FROM nation")
+def licence_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources page over all nations."""
+    return output.licence_page(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "1 < 2", {"A": "public & free"})
+
+
+def _draw(purpose: str) -> str:
+    return f"(CAST('0x' || left(md5('1|{purpose}|' || id), 6) AS INTEGER) / 16777216e0)"
+
+
+_SHORT = "MAP {" + ", ".join(f"'{word}': '{short}'" for word, short in {word: short for short, word in reversed(EXPANSIONS.items())}.items()) + "}"
+
+
+@query(f"""WITH f AS (SELECT p_partkey AS id, lower(p_type) AS kind, CASE WHEN p_size % 2 = 0 THEN p_name || ' Street' ELSE p_name || ' ' || p_partkey END AS name, {_lon('p_partkey')} AS lon, {_lat('p_partkey')} AS lat FROM part),
+    t AS (SELECT c_custkey AS id, c_name AS name, {_lon('(c_custkey + 17)')} AS lon, {_lat('(c_custkey + 17)')} AS lat FROM customer),
+    s AS (SELECT *, count(*) OVER (PARTITION BY lower(name)) > 1 AS several FROM f QUALIFY row_number() OVER (PARTITION BY kind ORDER BY {_draw('sample')}, id) <= 200),
+    n AS (SELECT s.id, t.name AS town FROM s, t WHERE several AND {_far('s', 't')} <= 50000 QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY {_far('s', 't')}, t.id) = 1),
+    q AS (SELECT id, kind, lat, concat_ws(', ', name, town) AS asked, {_draw('kind of query')} AS r, {_draw('typo')} AS u FROM s LEFT JOIN n USING (id)),
+    w AS (SELECT *, CASE WHEN r < 55e-2 THEN 'exact' WHEN r < 8e-1 THEN 'typo' ELSE 'variant' END AS qtype, CAST(least(2 + floor(u * (length(asked) - 2)), length(asked) - 1) AS INTEGER) AS at_ FROM q)
+    SELECT id, qtype, kind, CASE qtype WHEN 'exact' THEN asked WHEN 'typo' THEN left(asked, at_ - 1) || substr(asked, at_ + 1, 1) || substr(asked, at_, 1) || substr(asked, at_ + 2)
+      ELSE array_to_string(list_transform(string_split(trim(regexp_replace(lower(asked), '[,\\s]+', ' ', 'g')), ' '), lambda k: coalesce({_SHORT}[k], k)), ' ') END AS text, lat AS truth_lat, CASE kind WHEN 'economy' THEN 5e2 ELSE 1e3 END AS radius_m FROM w""")
+def accuracy_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred cases of each kind of venue, shared names with the nearest town."""
+    k = F.col("p_partkey")
+    name = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" Street"))).otherwise(F.concat_ws(" ", "p_name", k.cast("string")))
+    features = table(spark, sf_dir, "part").select(k.alias("id"), F.lower("p_type").alias("kind"), name.alias("name"), lon_of(k).alias("lon"), lat_of(k).alias("lat"))
+    moved = F.col("c_custkey") + 17
+    towns = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), lon_of(moved).alias("lon"), lat_of(moved).alias("lat"))
+    return cases.cases(features, towns, {"economy": 500.0}, 200).select("id", "qtype", "kind", "text", "truth_lat", "radius_m")

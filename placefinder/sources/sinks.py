@@ -55,22 +55,82 @@ def replace_text(spark, path: str, text: str) -> None:
     files.FileContext.getFileContext(old.toUri(), conf).rename(new, old, options)
 
 
-def publish(tables: dict[str, DataFrame], root: str, info: dict | None = None) -> str:
-    """Write a build as a new version and then point ``root/current.json`` at it; readers see all of it or none."""
+def checksum(df: DataFrame) -> dict:
+    """rows, and an order-free checksum over all rows and columns, computed where the rows are."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)")).alias("sum")).first()
+    return {"rows": row.n, "checksum": str(row["sum"])}
+
+
+def publish(tables: dict[str, DataFrame], root: str, info: dict | None = None, expected: dict | None = None) -> str:
+    """Write a build as a new version and then point ``root/current.json`` at it; readers see all of it or none. Where
+    ``expected`` (name: :func:`checksum`) is given and a written table differs, the pointer stays and it is an error."""
     spark = next(iter(tables.values())).sparkSession
     version = f"{root.rstrip('/')}/v{time.time_ns()}"
     manifest = {"version": version, "tables": {}, "info": info or {}}
     for name, df in tables.items():
         df.write.parquet(f"{version}/{name}")
-        written = spark.read.parquet(f"{version}/{name}")
-        # An order-free checksum over all rows and columns, computed where the rows are.
-        row = written.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*written.columns))).cast("decimal(38,0)")).alias("sum")).first()
-        manifest["tables"][name] = {"rows": row.n, "checksum": str(row["sum"])}
+        manifest["tables"][name] = checksum(spark.read.parquet(f"{version}/{name}"))
+    wrong = [name for name, found in manifest["tables"].items() if expected is not None and expected.get(name) != found]
+    wrong += sorted(set(expected or {}) - set(manifest["tables"]))
+    if wrong:
+        raise ExportError(f"not as expected: {', '.join(wrong)}")
     write_text(spark, f"{version}/manifest.json", json.dumps(manifest))
     replace_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"version": version}))
     return version
 
 
+def read_text(spark, path: str) -> str | None:
+    """A small file; none if there is no such file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def dump(spark, root: str, target: str, order: dict[str, list[str]] | None = None) -> str:
+    """Copy the current version under ``root`` to ``target``, tables in the physical order named for them; returns the
+    version copied. The copy has its manifest last, so one without a manifest is no dump."""
+    version = json.loads(read_text(spark, f"{root.rstrip('/')}/current.json"))["version"]
+    held = json.loads(read_text(spark, f"{version}/manifest.json"))
+    for name in held["tables"]:
+        rows, by = spark.read.parquet(f"{version}/{name}"), (order or {}).get(name)
+        (rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}")
+    replace_text(spark, f"{target.rstrip('/')}/manifest.json", json.dumps(held))
+    return version
+
+
+def restore(spark, source: str, root: str) -> str:
+    """Publish a dump under ``root``; a table that is missing or differs from the dump's manifest stops it."""
+    text = read_text(spark, f"{source.rstrip('/')}/manifest.json")
+    if text is None:
+        raise ExportError("no manifest")
+    held = json.loads(text)
+    return publish({name: spark.read.parquet(f"{source.rstrip('/')}/{name}") for name in held["tables"]}, root, held["info"], held["tables"])
+
+
+def digests(spark, path: str) -> DataFrame:
+    """file, bytes, sha256 of every file below ``path``; a file of more than 2 GB is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, empty = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while listed.hasNext():  # a scan leaves out files without a byte
+        one = listed.next()
+        if not one.getLen():
+            empty.append((one.getPath().toString(),))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    read = files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    none = spark.createDataFrame(empty, "file string").select("file", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(b""), 256).alias("sha256"))
+    return read.unionByName(none)
+
+
+def record(spark, path: str, outputs: dict[str, dict]) -> dict:
+    """Add ``outputs`` (name: what is known of it) to the JSON manifest at ``path``; entries of other runs stay."""
+    held = json.loads(read_text(spark, path) or "{}").get("outputs", {})
+    manifest = {"generated_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "outputs": held | outputs}
+    replace_text(spark, path, json.dumps(manifest, indent=2))
+    return manifest
+
+
 def guarded(value: Column) -> Column:
     """A cell that a spreadsheet won't run as a formula."""
     text = value.cast("string")

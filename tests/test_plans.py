@@ -178,6 +178,65 @@ def test_publish_flips_a_pointer(spark, tmp_path):
     assert not [f for f in tmp_path.iterdir() if f.name.startswith("current.json.")]
 
 
+def test_dumps_are_restored_whole_or_not_at_all(spark, tmp_path):
+    import json
+
+    root, dump = str(tmp_path / "a"), str(tmp_path / "dump")
+    sinks.publish({"t": spark.range(5), "u": spark.range(3)}, root, {"made": "here"})
+    sinks.dump(spark, root, dump, {"t": ["id"]})
+    version = sinks.restore(spark, dump, str(tmp_path / "b"))
+    assert sorted(r.id for r in spark.read.parquet(f"{version}/t").collect()) == list(range(5))
+    assert json.loads((tmp_path / "b" / "current.json").read_text())["version"] == version
+    spark.range(1, 6).write.mode("overwrite").parquet(f"{dump}/t")  # as many rows, other ones
+    with pytest.raises(sinks.ExportError, match="not as expected: t"):
+        sinks.restore(spark, dump, str(tmp_path / "b"))
+    assert json.loads((tmp_path / "b" / "current.json").read_text())["version"] == version
+    with pytest.raises(sinks.ExportError, match="no manifest"):
+        sinks.restore(spark, root, str(tmp_path / "b"))
+
+
+def test_manifest_keeps_other_runs(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.csv").write_bytes(b"a,b")
+    (tmp_path / "in" / "empty.csv").write_bytes(b"")
+    found = {r.file.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in sinks.digests(spark, str(tmp_path / "in")).collect()}
+    assert found == {"x.csv": (3, hashlib.sha256(b"a,b").hexdigest()), "empty.csv": (0, hashlib.sha256(b"").hexdigest())}
+    path = str(tmp_path / "manifest.json")
+    sinks.record(spark, path, {"one": {"rows": 1}, "two": {"rows": 2}})
+    assert sinks.record(spark, path, {"two": {"rows": 3}})["outputs"] == {"one": {"rows": 1}, "two": {"rows": 3}}
+
+
+def test_csv_headers_after_blank_lines_and_empty_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("\n  \ny,z\n3,4\n")
+    (tmp_path / "c.csv").write_text("")
+    rows = readers.text_csv(spark, str(tmp_path))
+    assert {(r.x, r.y, r.z) for r in rows.collect()} == {("1", "2", None), (None, "3", "4")}
+
+
+def test_cases_say_names_otherwise(spark):
+    from placefinder.plans import cases
+
+    rows = spark.createDataFrame([(1, "Lake Street, Bath"), (2, "ab"), (3, "")], "id int, name string")
+    got = rows.select("id", cases.misspelled(F.col("name"), F.lit(0.0)).alias("low"), cases.misspelled(F.col("name"), F.lit(0.999999)).alias("high"), cases.reworded(F.col("name")).alias("other")).orderBy("id").collect()
+    assert [tuple(r)[1:] for r in got] == [("Lkae Street, Bath", "Lake Street, Baht", "lake st bath"), ("ab", "ab", "ab"), ("", "", "")]
+    for row in cases.typed(rows).collect():
+        name = {1: "Lake Street, Bath", 2: "ab", 3: ""}[row.id]
+        assert name.startswith(row.text) and len(row.text) >= min(3, len(name))
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from placefinder.functions import sql, text
+
+    sql.register(spark)
+    spark.createDataFrame([("St Mary's Ave",), ("12 Main St",), ("Éloi  st N",), ("",), (None,)], "x string").createOrReplaceTempView("sql_texts")
+    got = spark.sql("SELECT x, pf_norm(x) AS n, pf_similarity(x, 'main st') AS s FROM sql_texts")
+    for row in got.select("x", "n", "s", text.norm(F.col("x")).alias("n2"), text.similarity(F.col("x"), F.lit("main st")).alias("s2")).collect():
+        assert row.n == row.n2 and row.s == row.s2
+
+
 def test_cells_are_guarded(spark):
     df = spark.createDataFrame([("=1+1",), ("-5",), ("x",)], "c string")
     assert [r[0] for r in df.select(sinks.guarded(F.col("c"))).collect()] == ["'=1+1", "-5", "x"]
