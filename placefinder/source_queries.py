@@ -15,6 +15,7 @@ from .functions import geo as G
 from .functions import sql as sql_functions
 from .functions import text as T
 from .functions.refdata import EXPANSIONS
+from .operators import spatial
 from .operators.fuzzy import top
 from .operators.tables import work_dir
 from .plans import autocomplete, build, cases, output
@@ -242,6 +243,30 @@ def osm_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.osm_lines(rows).select("source_id", "name", "lat", F.round("lon", 6).alias("lon"))
 
 
+# -- areas ---------------------------------------------------------------------------------
+
+#: Vertices of an area, and the unit of its coordinates: all are multiples of it, so that both sides compute without rounding.
+_VERTICES, _UNIT = 120, 1 / 64
+
+
+@query("""WITH p AS (SELECT o_orderkey AS point_id, (o_orderkey * 7919 % 23000 - 11500) / 64e0 + 1e0 / 128 AS lon, (o_orderkey * 104729 % 10000 - 5000) / 64e0 AS lat FROM orders),
+    a AS (SELECT c_custkey AS area_id, (c_custkey * 7907 % 22000 - 11000) / 64e0 AS x, (c_custkey * 104723 % 9000 - 4500) / 64e0 AS y, 30 * (1 << CAST(c_custkey % 4 AS INTEGER)) / 64e0 AS r FROM customer)
+    SELECT point_id, area_id FROM p JOIN a ON abs(lon - x) + abs(lat - y) <= r""")
+def points_in_ragged_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as points, all customers as areas of 120 vertices in four sizes: squares on their corners, whose sides
+    are cut into thirty edges each."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    step = F.pow(F.lit(2.0), k % 4) * F.lit(_UNIT)
+    x, y = (k * 7907 % 22000 - 11000) * F.lit(_UNIT), (k * 104723 % 9000 - 4500) * F.lit(_UNIT)
+    side = _VERTICES // 4
+    # i steps around from the eastern corner: dx falls from 30 to -30 and rises again, dy is a quarter ahead
+    wave = lambda i: F.abs(i % _VERTICES - 2 * side) - side
+    ring = F.transform(F.sequence(F.lit(0), F.lit(_VERTICES)), lambda i: F.struct((x + wave(i) * step).alias("x"), (y + wave(i + 3 * side) * step).alias("y")))
+    areas = table(spark, sf_dir, "customer").select(k.alias("area_id"), F.array(ring).alias("rings"))
+    points = table(spark, sf_dir, "orders").select(o.alias("point_id"), ((o * 7919 % 23000 - 11500) * F.lit(_UNIT) + F.lit(_UNIT / 2)).alias("lon"), ((o * 104729 % 10000 - 5000) * F.lit(_UNIT)).alias("lat"))
+    return spatial.containing(points, areas)
+
+
 # -- functions -----------------------------------------------------------------------------
 
 
