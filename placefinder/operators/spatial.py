@@ -43,7 +43,9 @@ def containing(points: DataFrame, areas: DataFrame, size: float | None = None, b
     """
     edges = F.col("edges")
     bound = lambda pick, *axes: pick(F.flatten(F.transform(edges, lambda e: F.array(*(e[x] for x in axes)))))
-    drawn = areas.select("area_id", G.ring_edges(F.col("rings")).alias("edges")).filter(F.size("edges") > 0)
+    # Listing costs some milliseconds an area, so a small file of areas is spread over the tasks of a shuffle first.
+    spread = areas.select("area_id", "rings").repartition(int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")), "area_id")
+    drawn = spread.select("area_id", G.ring_edges(F.col("rings")).alias("edges")).filter(F.size("edges") > 0)
     drawn = drawn.select("area_id", "edges", *(bound(pick, f"{axis}1", f"{axis}2").alias(f"{axis}_{name}") for axis in "xy" for name, pick in (("low", F.array_min), ("high", F.array_max))))
     extent = F.greatest(F.col("x_high") - F.col("x_low"), F.col("y_high") - F.col("y_low"))
     level = F.lit(0) if size else F.least(F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(1e-9)))) - 2, F.lit(-15)), F.lit(6)).cast("int")
