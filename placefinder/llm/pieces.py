@@ -23,6 +23,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
+from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ SPACE, UNKNOWN_SHOWN = "▁", " ⁇ "
 #: Piece types, as the file format numbers them.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: What a worker remembers: so many stretches and pairs, twice at most, none longer than this. Bounds on memory only.
-REMEMBERED, REMEMBERED_LENGTH = 100_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
 #: Characters whose longest pieces are looked up at once, and that are cut into stretches at once.
 WINDOW, PART = 1 << 12, 1 << 20
 
@@ -93,7 +94,8 @@ class PieceModel:
         joined = "".join(sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE}))
         group = f"[{re.escape(joined)}{SPACE if inner else ''}]"
         self.stretches = re.compile(f"{SPACE}*{group}+|{SPACE}+|[^{SPACE}]", re.S)
-        self.fits = Remembered(lambda pair: self.merge(pair[0] + pair[1]) == [*pair])
+        #: Whether two pieces, or one after nothing, are what merging their text gives.
+        self.fits = Remembered(lambda pair: self.merge(pair[0] + pair[1]) == [x for x in pair if x])
         self.known = Remembered(self._packed)
         #: What each id is decoded to, but for bytes.
         self.shown = ["" if k == CONTROL else UNKNOWN_SHOWN if k == UNKNOWN else s.replace(SPACE, " ") for s, k in zip(self.strings, kinds)]
@@ -110,16 +112,15 @@ class PieceModel:
 
     def _longest(self, text: str) -> list[str]:
         """The longest piece that starts at each character."""
-        found, last = list(text), len(text) - 1
+        found, last, before = list(text), len(text) - 1, -1
         for end, piece in self.backwards.iter(text[::-1]):
-            if len(piece) > len(found[last - end]):
+            if end != before:  # of pieces that end at one place the automaton names the longest first
                 found[last - end] = piece
+                before = end
         return found
 
-    def backtrack(self, text: str) -> list[str]:
-        """The pieces of a text, the same as merging gives."""
-        n = len(text)
-        failed = bytearray(n // 8 + 1)
+    def _windows(self, text: str) -> Callable[[int], str]:
+        """The longest piece at a place of a long text, looked up window by window; two are held."""
         windows: dict[int, list[str]] = {}
 
         def longest(at: int) -> str:
@@ -130,23 +131,32 @@ class PieceModel:
                 windows[k] = self._longest(text[k * WINDOW : (k + 1) * WINDOW + self.longest_piece])
             return windows[k][at - k * WINDOW]
 
+        return longest
+
+    def backtrack(self, text: str) -> list[str]:
+        """The pieces of a text, the same as merging gives."""
+        n = len(text)
+        if not n:
+            return []
+        failed = bytearray(n // 8 + 1)
+        longest = self._longest(text).__getitem__ if n <= WINDOW else self._windows(text)
+        fits, shorter = self.fits, self.shorter.get
         out: list[str] = []
-        at, piece = 0, longest(0) if n else ""
-        while at < n:
-            before = out[-1] if out else ""
-            while piece:
-                end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (self.fits[before, piece] if before else self.merge(piece) == [piece]):
-                    out.append(piece)
-                    at = end
-                    piece = longest(at) if at < n else ""
-                    break
-                piece = self.shorter.get(piece, "")
-            else:
+        at, piece, before = 0, longest(0), ""
+        while True:
+            end = at + len(piece)
+            if not failed[end >> 3] >> (end & 7) & 1 and fits[before, piece]:
+                out.append(piece)
+                if end == n:
+                    return out
+                at, before, piece = end, piece, longest(end)
+                continue
+            piece = shorter(piece)
+            if piece is None:
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
-        return out
+                before = out[-1] if out else ""
 
     def _packed(self, stretch: str) -> bytes:
         ids: list[int] = []
@@ -156,7 +166,7 @@ class PieceModel:
                 ids += [self.of_byte[b] for b in piece.encode("utf-8")]
             else:
                 ids.append(found)
-        return np.array(ids, "<i4").tobytes()
+        return pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, and the end id."""
