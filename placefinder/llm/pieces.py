@@ -33,6 +33,7 @@ from .shared import id_text, slices
 SPACE, UNKNOWN_SHOWN = "▁", " ⁇ "
 #: Piece types, as the file format numbers them.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+NO_PIECE = float("-inf")
 #: What a worker remembers: so many stretches and pairs, twice at most, none longer than this. Bounds on memory only.
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
 #: Characters whose longest pieces are looked up at once, and that are cut into stretches at once.
@@ -102,12 +103,16 @@ class PieceModel:
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by merging: best score first, the leftmost of equal ones."""
-        parts = list(text)
-        while len(parts) > 1:
-            score, at = max(((self.score.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if score == -np.inf:
-                break
-            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+        parts, score = list(text), self.score.get
+        scores = [score(a + b, NO_PIECE) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) != NO_PIECE:
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], NO_PIECE)
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], NO_PIECE)
         return parts
 
     def _longest(self, text: str) -> list[str]:
