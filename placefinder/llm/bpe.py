@@ -6,7 +6,7 @@ concatenates vocabulary strings.
 
 Edge cases: a null text counts as empty (no tokens, empty decoded text); special tokens written out
 in a text become their own id, as the file's added tokens say; repeated rows give repeated results;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored; ids keep their type.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from struct import pack
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .shared import id_text, slices
+from .shared import slices, small_batches
 
 #: What a worker's memory of words and their ids may take (bytes, about), and the longest word it holds. Bounds on
 #: memory only: other words are encoded again. Words are forgotten by halves, those not met lately first.
@@ -182,5 +183,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    texts = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.mapInArrow(run, schema)

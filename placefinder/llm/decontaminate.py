@@ -33,8 +33,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import save
-from .shared import ALNUM_BREAKS, filter_texts, id_text, slices, text_bytes, word_hashes
+from ..operators.tables import discard, save
+from .shared import ALNUM_BREAKS, FEW_IDS, filter_texts, id_text, row_hash, slices, small_batches, text_bytes, word_hashes
 
 WINDOW = 10
 #: Test words per block: the bound on what is broadcast (some 50 bytes a word) and on what a worker makes of it (40).
@@ -303,30 +303,55 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return rows.select("l.doc_id", "l.n_words", edges, items, F.coalesce("most", F.lit(0)).cast("long").alias("longest")).mapInArrow(_merge, schema)
 
 
+def _hits(tests: TestSuffixes, texts) -> np.ndarray:
+    """Which texts share a window with a test item."""
+    shard = Shard(tests, *text_bytes(texts))
+    out = np.zeros(len(texts), dtype=bool)
+    out[np.searchsorted(shard.begin, shard.matches()[1], side="right") - 1] = True
+    return out
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs``, all columns, without those that share a window with an item: a pass for each block, no shuffle."""
-    for block in item_blocks(benchmark, item_id, item_text, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(TestSuffixes(block, window))
+    """``docs``, all columns, without those that share a window with an item.
+
+    One block of test items is one pass without a shuffle. Of more blocks, each makes a pass of its own over the
+    documents and saves the hashes of the rows it hits, which are taken out together in the end: however many blocks there are, a task runs one Python stage and holds one block.
+    """
+    blocks = item_blocks(benchmark, item_id, item_text, block_words)
+    first = next(blocks, None)
+    if first is None:
+        return docs
+    second = next(blocks, None)
+    send = lambda block: docs.sparkSession.sparkContext.broadcast(TestSuffixes(block, window))
+    if second is None:
+        sent = send(first)
+        return filter_texts(docs, lambda: lambda texts: ~_hits(sent.value, texts), text_col)
+
+    hashed = small_batches(docs).select(row_hash(docs).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = []
+    for block in chain([first, second], blocks):
+        sent = send(block)
 
-        def keep(sent=sent):
-            def clean(texts) -> np.ndarray:
-                shard = Shard(sent.value, *text_bytes(texts))
-                hit = np.searchsorted(shard.begin, shard.matches()[1], side="right") - 1
-                out = np.ones(len(texts), dtype=bool)
-                out[hit] = False
-                return out
+        def run(batches: Iterator, sent=sent) -> Iterator:
+            import pyarrow as pa
 
-            return clean
+            for batch in batches:
+                for a, z in slices(batch.column(1), SHARD_BYTES, 4096):
+                    part = batch.slice(a, z - a)
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(_hits(sent.value, part.column(1))))], ["row"])
 
-        docs = filter_texts(docs, keep, text_col)
-    return docs
+        found.append(save(hashed.mapInArrow(run, "row long")))
+        sent.unpersist()
+    hit = save(reduce(DataFrame.unionByName, found).distinct().withColumnRenamed("row", "_hit"))
+    discard(*found)
+    # Rows of equal hashes are alike in every column, so in their text too.
+    return docs.join(F.broadcast(hit) if hit.count() <= FEW_IDS else hit, row_hash(docs) == hit["_hit"], "left_anti")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document and item that share a window: the longest verbatim match and its places."""
+    """One row per document and item that share a window: the longest verbatim match and its places. The finds of each
+    block of test items are saved."""
     base = id_text(docs, id_col, text_col)
-    out = None
-    for block in item_blocks(benchmark, item_id, item_text, block_words):
-        part = find_matches(base, block, window).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else base.sparkSession.createDataFrame([], "doc_id long, item_id string, words long, doc_word long, item_word long")
+    find = lambda block: find_matches(base, block, window).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    parts = [save(find(block)) for block in item_blocks(benchmark, item_id, item_text, block_words)]
+    return reduce(DataFrame.unionByName, parts) if parts else base.sparkSession.createDataFrame([], "doc_id long, item_id string, words long, doc_word long, item_word long")

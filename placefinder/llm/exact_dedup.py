@@ -10,6 +10,10 @@ Edge cases: a null text counts as empty, and all empty texts are equal (one empt
 doc_id takes part but loses every tie, and a row with a null id is kept only if its group has no
 other; repeated rows (same id, same text) are members like others and share the fate of their id; an
 empty table gives an empty result; other columns are ignored.
+
+:func:`without_exact_duplicates` decides row by row, so one id may stand for different texts: of each group one
+row stays, of rows that tie the one with the least hash of all columns, of rows alike in every column any; ids may
+be of any type there, and rows with a null id stay.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import discard, save
-from .shared import without_ids
+from .shared import row_hash, without_rows
 
 #: White space that does not count, fixed by the definition of equal texts.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -51,19 +55,25 @@ def collisions(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, code_points, text_sha256, and the recipe: ``names`` and, for colliding names only, ``contents``."""
+    return _cut(docs, F.col(id_col).cast("long"), text_col).drop("row")
+
+
+def _cut(docs: DataFrame, doc_id: Column, text_col: str) -> DataFrame:
+    """As :func:`recipes`, with ``row``, a hash of the whole row."""
     shared = [row.name for row in collisions(docs, text_col).limit(MOST_COLLISIONS + 1).collect()]
     if len(shared) > MOST_COLLISIONS:
         raise RuntimeError(f"over {MOST_COLLISIONS} chunk names stand for several chunks: the hash of chunks is broken")
     cut = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        doc_id.alias("doc_id"),
+        row_hash(docs).alias("row"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("code_points"),
         normalised(F.col(text_col)).alias("norm"),
-    ).select("doc_id", "code_points", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm")).alias("pieces"))
+    ).select("doc_id", "row", "code_points", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm")).alias("pieces"))
     contents = F.array().cast("array<string>")
     if shared:
         ids = F.array(*[F.lit(x) for x in shared])
         contents = F.filter("pieces", lambda piece: F.array_contains(ids, F.xxhash64(piece)))
-    return cut.select("doc_id", "code_points", "text_sha256", F.transform("pieces", lambda piece: F.xxhash64(piece)).alias("names"), contents.alias("contents"))
+    return cut.select("doc_id", "row", "code_points", "text_sha256", F.transform("pieces", lambda piece: F.xxhash64(piece)).alias("names"), contents.alias("contents"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,16 +94,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each group; of rows that repeat an id that stays, one stays."""
-    found = save(exact_duplicates(docs, id_col, text_col))
-    out = without_ids(docs, found.filter(~F.col("kept")).select("doc_id"), id_col)
-    again = save(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    """``docs``, all columns, with one row of each group of equal texts."""
+    rows = save(_cut(docs, F.col(id_col), text_col).select("doc_id", "row", "code_points", "names", "contents"))
+    order = F.struct((-F.col("code_points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    groups = save(rows.groupBy("names", "contents").agg(F.min(order).alias("best")))
+    placed = rows.join(groups, ["names", "contents"])
+    won = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row") == F.col("best.row"))
+    decided = save(placed.select("doc_id", "row", won.alias("won")))
+    out = without_rows(docs, decided.filter(~F.col("won")).select("doc_id", "row"), id_col)
+    again = save(decided.filter("won AND doc_id IS NOT NULL").groupBy("doc_id", "row").count().filter("count > 1").select("doc_id", "row"))
+    discard(rows, groups, decided)
     if again.isEmpty():
-        discard(found, again)
+        discard(again)
         return out
-    discard(found)
-    repeated = out.join(again, out[id_col] == again["doc_id"], "left_semi").dropDuplicates([id_col])
-    return without_ids(out, again, id_col).unionByName(repeated)
+    alike = out.join(again, (out[id_col] == again["doc_id"]) & (row_hash(out) == again["row"]), "left_semi")
+    held = "_row" + max(docs.columns, key=len)  # a name that no column has
+    return without_rows(out, again, id_col).unionByName(alike.withColumn(held, row_hash(alike)).dropDuplicates([id_col, held]).drop(held))
 
 
 ORACLE = r"""

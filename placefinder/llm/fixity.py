@@ -20,12 +20,12 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.tables import save
-
-
+from ..operators.tables import discard, save
 
 FANOUT, LEVELS = 16, 2
 SLOTS = FANOUT ** (LEVELS + 1) // 4
+#: So many different records of a slot are hashed as one list; more are dealt by so many hexadecimal digits first.
+MOST_IN_LIST, DEALT_DIGITS = 4096, (6, 3)
 
 
 def record(url: Column, html: Column) -> Column:
@@ -45,18 +45,36 @@ def records(pages: DataFrame, page_id: str = "page_id", url_col: str = "url", ht
 
 
 def _join_hashes(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """keys, digest: hash of the ordered values below each key (at most FANOUT, or a slot's distinct records)."""
+    """keys, digest: hash of the ordered values below each key (at most FANOUT, or MOST_IN_LIST of a slot's records)."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     listed = F.transform(ordered, lambda x: F.concat(x["o"].cast("string"), F.lit(":"), x["v"]))
     return rows.groupBy(*keys).agg(F.sha2(F.concat_ws(",", listed), 256).alias("digest"))
 
 
+def _slots(counted: DataFrame) -> DataFrame:
+    """archive, node, digest of each slot. The records of a slot with more than ``MOST_IN_LIST`` different ones are
+    dealt by the first digits of their hashes, and hashed from the finest deal up, so no list grows with a slot."""
+    slot = ["archive", "node"]
+    large = save(counted.groupBy(*slot).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_IN_LIST).select(*slot))
+    if large.isEmpty():
+        discard(large)
+        return _join_hashes(counted, slot, "leaf", "times")
+    small = _join_hashes(counted.join(large, slot, "left_anti"), slot, "leaf", "times")
+    dealt = counted.join(large, slot, "left_semi").withColumn("part", F.substring("leaf", 1, DEALT_DIGITS[0]))
+    dealt = _join_hashes(dealt, [*slot, "part"], "leaf", "times")
+    for digits in DEALT_DIGITS[1:]:
+        finer = dealt.withColumnRenamed("part", "finer").withColumn("part", F.substring("finer", 1, digits))
+        dealt = _join_hashes(finer, [*slot, "part"], "finer", "digest")
+    return small.unionByName(_join_hashes(dealt, slot, "part", "digest"))
+
+
 def tree(leaves: DataFrame) -> list[DataFrame]:
     """Levels of the trees from slots (0) to roots, each archive, node, digest. Equal records of a slot are
     counted before they are gathered."""
     counted = leaves.groupBy("archive", F.col("slot").alias("node"), "leaf").agg(F.count(F.lit(1)).alias("times"))
-    counted = counted.withColumn("times", F.col("times").cast("string"))
-    levels = [save(_join_hashes(counted, ["archive", "node"], "leaf", "times"))]
+    counted = save(counted.withColumn("times", F.col("times").cast("string")))
+    levels = [save(_slots(counted))]
+    discard(counted)
     for _ in range(LEVELS):
         below = levels[-1].select("archive", F.floor(F.col("node") / FANOUT).alias("up"), "node", "digest")
         levels.append(save(_join_hashes(below, ["archive", "up"], "node", "digest").withColumnRenamed("up", "node")))
@@ -109,14 +127,17 @@ def audit(primary: DataFrame, replica: DataFrame, **columns: str) -> DataFrame:
     sound = left.filter("bad IS NULL").withColumn("status", F.lit("ok"))
     columns_in = ["page_id", "archive", "slot", "n_bytes", "leaf", "status"]
     flagged = sound.select(*columns_in).unionByName(bad.withColumn("status", status).select(*columns_in))
-    surplus = right.join(both.filter("n2 > n1"), [*slot, "leaf"]).withColumn("copy", copy)
-    beyond = F.when(F.col("n1") > 0, F.col("copy") > F.col("n1")).otherwise(F.col("new_before") + F.col("copy") > F.col("lost"))
-    extra = surplus.filter(beyond).select("page_id", "archive", "slot", "n_bytes", "leaf")
     order = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offset = F.expr(f"coalesce(sum(n_bytes) OVER (PARTITION BY archive ORDER BY slot, leaf, page_id {order}), 0)").alias("byte_offset")
     columns_out = ["page_id", "archive", "slot", "byte_offset", "n_bytes", F.col("leaf").alias("leaf_sha256"), "status"]
     rows = flagged.select("*", offset).select(*columns_out)
-    return rows.unionByName(extra.select("*", offset, F.lit("extra").alias("status")).select(*columns_out))
+    # Where the extra records lie in the replica, among all records of their archives there.
+    surplus = both.filter("n2 > n1")
+    lying = two.join(surplus.select("archive").distinct(), "archive", "left_semi").select("*", offset)
+    lying = lying.join(surplus, [*slot, "leaf"]).withColumn("copy", F.row_number().over(Window.partitionBy(*slot, "leaf").orderBy("page_id", "byte_offset")))
+    beyond = F.when(F.col("n1") > 0, F.col("copy") > F.col("n1")).otherwise(F.col("new_before") + F.col("copy") > F.col("lost"))
+    extra = lying.filter(beyond).withColumn("status", F.lit("extra"))
+    return rows.unionByName(extra.select(*columns_out))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.tables import discard, save
-from .shared import FEW_IDS, id_text, mix, shingle_sets, slices, text_bytes, without_ids
+from .shared import FEW_IDS, id_text, mix, row_hash, shingle_sets, slices, text_bytes, without_rows
 
 COORDINATES, ROWS = 128, 4
 LEAST_ESTIMATE = 0.55
@@ -370,6 +370,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs``, all columns, with one document of each group."""
-    found = near_duplicates(docs, id_col, text_col, **settings)
-    return without_ids(docs, found.filter(~F.col("kept")).select("doc_id"), id_col)
+    """``docs``, all columns, with one document of each group: the one of the smallest id.
+
+    Rows are told apart by a hash of all their columns, so one id may stand for different texts, and ids may be of any
+    type; rows alike in every column share a fate, rows with a null id stay.
+    """
+    named = docs.select(row_hash(docs).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = save(near_duplicates(named, "row", "text", **settings).select(F.col("doc_id").alias("row"), "component_id", "kept"))
+    shared = found.filter(~F.col("kept")).select("component_id").distinct()
+    members = found.join(shared, "component_id", "left_semi").select("row", "component_id").distinct()
+    members = save(members.join(named.select("row", "id").distinct(), "row"))
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
+    lost = members.join(best, "component_id").filter(F.col("row") != F.col("best.row"))
+    out = without_rows(docs, lost.select("id", "row"), id_col)
+    discard(found, members)
+    return out

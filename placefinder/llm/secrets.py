@@ -10,7 +10,8 @@ credential values: a word's place is its guess count, beside that of the fixed l
 
 Edge cases: null and empty texts have no spans; spans are code points of the original text; matches
 of a kind don't overlap, and a match that is too short is dropped but still uses its text up; a value of
-a credential context has 8 to ``LONGEST_VALUE`` characters; a null
+a credential context has 8 characters or more, however many; the cost given for one of more than ``LONG_VALUE`` is
+a lower bound that reaches the threshold; a null
 doc_id keeps its row; repeated rows give repeated results; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -22,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -45,8 +47,9 @@ CONTEXT = re.compile(
 )
 #: A random value of eight small letters and digits takes 12.4; two or three ordinary words and the marks between them less.
 LEAST_COST = 12.0
-#: A value has from 8 to so many characters; a longer run without a blank is data that nobody could type.
-LONGEST_VALUE = 4096
+#: Values of more characters are judged by parts that cost less than the threshold alone, which decides the same in
+#: linear time, and only as far as it takes; the end is looked for after every so many characters.
+LONG_VALUE, LOOK_EVERY = 4096, 256
 #: Words of the documents: runs of so many letters, in so many documents at least.
 WORD = re.compile(r"[^\W\d_]{3,}")
 LONGEST_WORD, LEAST_DOCS = 40, 2
@@ -94,10 +97,15 @@ def _charset(value: str) -> float:
 class _Repeats:
     """Repeated units that end at the position reached, for every length of a unit."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, longest: float = math.inf):
         self.codes = codes
         #: For each unit length, how many characters up to here equal the one that length before.
-        self.run = np.zeros(len(codes) // 2 + 1, dtype=np.int64)
+        self.run = np.zeros(int(min(len(codes) // 2, longest)) + 1, dtype=np.int64)
+
+    def reach(self) -> int:
+        """How far back the earliest repeat that may go on begins."""
+        units = np.flatnonzero(self.run)
+        return int((self.run[units] + units).max(initial=0))
 
     def step(self, at: int) -> Iterator[tuple[int, int]]:
         """(unit, most times) of repeats whose last character is ``at``. Units that repeat a shorter one, which costs
@@ -119,7 +127,37 @@ class _Repeats:
             units = units[(units % unit != 0) | (self.run[unit] + unit < most)]
 
 
-def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON), ranked: tuple[dict[str, int], int] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
+class _Starts:
+    """Where a part that grows with the value may best have begun.
+
+    A part from a to b costs ``base[a]`` and log10 of its length (in units), so of two starts the earlier one gains on
+    the later one as b grows, but never more than makes their lengths equal: a later one that costs no less now, and an
+    earlier one whose base is no less, are never needed again.
+    """
+
+    def __init__(self, first: int, step: int = 1):
+        self.next, self.step, self.held = first, step, []
+
+    def best(self, base: np.ndarray, b: int, last: int) -> tuple[int, float]:
+        """(start, cost) of the best part up to ``b`` that begins at ``last`` or before."""
+        cost = lambda a: float(base[a]) + math.log10((b - a) // self.step)
+        held = self.held
+        while self.next <= last:
+            while held and base[held[-1]] >= base[self.next]:
+                held.pop()
+            held.append(self.next)
+            self.next += self.step
+        k = 1
+        while k < len(held):
+            if cost(held[k - 1]) <= cost(held[k]):
+                del held[k]
+                k = max(1, k - 1)
+            else:
+                k += 1
+        return held[-1], cost(held[-1])
+
+
+def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON), ranked: tuple[dict[str, int], int] | None = None, enough: float = math.inf) -> tuple[float, list[tuple[int, int, str]]]:
     """(log10 of the guesses, cheapest segmentation as (start, end, kind)). ``ranked`` has the places of words, and the
     greatest length of one, if they aren't those of ``words``.
 
@@ -127,6 +165,10 @@ def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON), ranked: tuple
     where to cut, but brute-force characters in a row are one segment. Every word, date, joint, repeat of
     a unit of any length and keyboard walk may be a segment, parts of longer ones included, so the cost is
     the least over all segmentations.
+
+    With ``enough``, units of repeats that reach it by themselves are left out, and the search stops where whatever
+    follows costs as much (no segmentation is given then): a cost below ``enough`` is the least one all the same, and
+    no other is.
     """
     n = len(value)
     ranks, longest = ranked or _ranks(words)
@@ -140,9 +182,15 @@ def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON), ranked: tuple
     start[0] = 0.0
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
     logs = np.log10(np.arange(1, n + 2))
-    repeats = _Repeats(np.array([ord(c) for c in value], dtype=np.int64))
+    repeats = _Repeats(np.array([ord(c) for c in value], dtype=np.int64), enough / brute)
+    # No part but a repeat or a walk is longer.
+    width = max(longest, 10, len(repeats.run))
     beside = _next_keys()
-    walk, way, turns = 0, 0, np.zeros(n + 1, dtype=np.int64)
+    walk, way, turns, walks = 0, 0, 0, _Starts(0)
+    # Least cost up to each place, with the cut after it; and for walks, less the turns up to there.
+    begun, walked = np.full(n + 1, math.inf), np.full(n + 1, math.inf)
+    begun[0] = 0.0
+    chains: dict[int, tuple[int, dict[int, _Starts]]] = {}
 
     def offer(a: int, b: int, cost: float, kind: str) -> None:
         total = least[a] + start[a] + cost
@@ -154,21 +202,26 @@ def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON), ranked: tuple
         if value[b - 1] in JOINTS:
             offer(b - 1, b, 1.0, "joint")
         for unit, times in repeats.step(b - 1):
-            t = np.arange(3 if unit == 1 else 2, times + 1)
-            a = b - unit * t
-            total = least[a] + start[a] + logs[t - 1]
-            k = int(np.argmin(total))
-            offer(int(a[k]), b, brute * unit + logs[t[k] - 1], "repeat")
+            since = b - int(repeats.run[unit])
+            if chains.get(unit, (-1,))[0] != since:
+                chains[unit] = (since, {})
+            starts = chains[unit][1].get(b % unit)
+            if starts is None:
+                starts = chains[unit][1][b % unit] = _Starts(b - unit * times, unit)
+            a, _ = starts.best(begun, b, b - unit * (3 if unit == 1 else 2))
+            offer(a, b, brute * unit + logs[(b - a) // unit - 1], "repeat")
         step = beside.get((lower[b - 2], lower[b - 1]), 0) if b > 1 else 0
-        turns[b - 1] = turns[b - 2] + (step != 0 and way != 0 and step != way) if b > 1 else 0
+        turned = step != 0 and way != 0 and step != way
+        turns += turned
+        if b > 1:
+            # Turns inside a walk that begins at b - 2 come after its first step.
+            walked[b - 2] = begun[b - 2] - turn * turns
         if not step:
-            walk = b - 1
+            walk, walks = b - 1, _Starts(b - 1)
         way = step
         if b - walk >= 3:
-            a = np.arange(walk, b - 2)
-            costs = math.log10(47) + logs[b - a - 1] + turn * (turns[b - 1] - turns[a + 1])
-            k = int(np.argmin(least[a] + start[a] + costs))
-            offer(int(a[k]), b, float(costs[k]), "walk")
+            a, cost = walks.best(walked, b, b - 3)
+            offer(a, b, math.log10(47) + cost - float(begun[a]) + turn * turns, "walk")
         if value[b - 1].isdigit():
             for a in range(max(0, b - 10), b - 3):
                 if DATE.fullmatch(value, a, b):
@@ -179,6 +232,11 @@ def guess_cost(value: str, words: tuple[str, ...] = tuple(COMMON), ranked: tuple
                     offer(a, b, math.log10(ranks[form]) + extra + (cut if value[a:b] != lower[a:b] else 0.0), "word")
                     break
         least[b] = min(other[b], forced[b])
+        begun[b] = least[b] + start[b]
+        if enough < math.inf and b % LOOK_EVERY == 0 and forced[b] >= enough and b - walk <= width and repeats.reach() <= width:
+            # Every part that crosses this place begins within that width, or is brute force.
+            if (bound := least[max(0, b - width) : b + 1].min()) >= enough:
+                return float(bound), []
     out: list[tuple[int, int, str]] = []
     at, by_force = n, n > 0 and forced[n] < other[n]
     while at > 0:
@@ -216,21 +274,22 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[in
         a, z = m.span(1)
         while z > a and text[z - 1] in ".!?):]}":
             z -= 1
-        if 8 <= z - a <= LONGEST_VALUE and not any(a < e and s < z for _, s, e in base):
+        if z - a >= 8 and not any(a < e and s < z for _, s, e in base):
             yield a, z
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], least: float = LEAST_COST, ranked: tuple[dict[str, int], int] | None = None) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, cost) of credential-context values that are hard to guess and that no base span touches."""
-    costs = ((a, z, guess_cost(text[a:z], ranked=ranked)[0]) for a, z in candidates(text, base))
-    return [("guess", a, z, cost) for a, z, cost in costs if cost >= least]
+def judge(value: str, least: float = LEAST_COST, ranked: tuple[dict[str, int], int] | None = None) -> float:
+    """The guess cost of a value; of a long one, if it is ``least`` or more, some lower bound from there on."""
+    return guess_cost(value, ranked=ranked, enough=least if len(value) > LONG_VALUE else math.inf)[0]
 
 
-def pieces(value: str) -> set[str]:
+def pieces(value: str) -> Iterator[str]:
     """Every run of letters in a value, also as it is meant by characters written for letters, that may be a word."""
     lower = value.lower()
-    runs = {r for form in (lower, lower.translate(LEET)) for r in WORD.findall(form)}
-    return {r[i:j] for r in runs for i in range(len(r) - 2) for j in range(i + 3, min(len(r), i + LONGEST_WORD) + 1)}
+    for run in {r for form in (lower, lower.translate(LEET)) for r in WORD.findall(form)}:
+        for i in range(len(run) - 2):
+            for j in range(i + 3, min(len(run), i + LONGEST_WORD) + 1):
+                yield run[i:j]
 
 
 def text_words(text: str) -> set[str]:
@@ -246,72 +305,94 @@ def text_words(text: str) -> set[str]:
     return {w for w in WORD.findall(low) if len(w) <= LONGEST_WORD}
 
 
-def word_ranks(docs: DataFrame) -> tuple[dict[str, int], int]:
-    """Places of the words that occur in a credential value of ``docs`` (doc_id, text), and the greatest length of one.
+def _count_words(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    seen: Counter = Counter()
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            seen.update(text_words(text.as_py()))
+            if len(seen) > 200_000:
+                yield out()
+                seen.clear()
+    yield out()
 
-    Words are ranked among all words of the documents; those of equal counts share the last of their
-    places. Only words inside candidate values are collected.
-    """
+
+def guess_costs(values: DataFrame, docs: DataFrame, least: float = LEAST_COST) -> DataFrame:
+    """value and its cost, of distinct values. Words are ranked among all words of the documents (doc_id, text); those
+    of equal counts share the last of their places. The places of a value's own words, no others, are joined to it."""
+    keyed = values.select("value", F.xxhash64("value").alias("key"))  # values that share a key only get words they lack
 
     def inside(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                low = text.lower()
-                if any(h in low for h in CONTEXT_HINTS):
-                    base = base_spans(text)
-                    for a, z in candidates(text, base):
-                        yield pa.RecordBatch.from_arrays([pa.array(sorted(pieces(text[a:z])), pa.string())], ["word"])
+            for key, value in zip(batch.column("key"), batch.column("value")):
+                words = pieces(value.as_py())
+                while some := list(islice(words, 1 << 16)):
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(some), pa.int64()), pa.array(some, pa.string())], ["key", "word"])
 
-    def count(batches: Iterator) -> Iterator:
+    def cost(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        seen: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
+        common = _ranks(tuple(COMMON))[0]
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(text_words(text.as_py()))
-                if len(seen) > 200_000:
-                    yield out()
-                    seen.clear()
-        yield out()
-
-    ranks = dict(_ranks(tuple(COMMON))[0])
-    asked = save(docs.select("text").mapInArrow(inside, "word string").distinct())
-    if not asked.isEmpty():
-        counted = save(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS))
-        # As many rows as there are different counts.
-        places = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("place"))
-        for r in counted.join(asked, "word", "left_semi").join(F.broadcast(places), "n").select("word", "place").collect():
-            ranks[r.word] = min(r.place, ranks.get(r.word, r.place))
-        discard(counted)
-    discard(asked)
-    return ranks, max(map(len, ranks))
+            costs = []
+            for value, words in zip(batch.column("value"), batch.column("words")):
+                ranks = dict(common)
+                for w in words.as_py() or []:
+                    ranks[w["word"]] = min(w["place"], ranks.get(w["word"], w["place"]))
+                costs.append(judge(value.as_py(), least, (ranks, max(map(len, ranks)))))
+            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(costs, pa.float64())], ["value", "cost"])
+
+    counted = save(docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS))
+    # As many rows as there are different counts.
+    places = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("place"))
+    own = keyed.mapInArrow(inside, "key long, word string").distinct().join(counted, "word").join(places, "n")
+    own = own.groupBy("key").agg(F.collect_list(F.struct("word", "place")).alias("words"))
+    out = save(keyed.join(own, "key", "left").select("value", "words").mapInArrow(cost, "value string, cost double"))
+    discard(counted)
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_COST) -> DataFrame:
-    """doc_id and its spans (kind, start, end, log10 guesses of the added ones). One pass without a shuffle, after the
-    passes that rank the words."""
+    """doc_id and its spans (kind, start, end, log10 guesses of the added ones).
+
+    One pass finds base spans and candidate values; only if there are any are words counted, in a second pass, and
+    the distinct values judged.
+    """
     rows = id_text(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(word_ranks(rows))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())]))
+        span = [("start", pa.int64()), ("place", pa.int64()), ("end", pa.int64())]
+        spans_of, values_of = pa.list_(pa.struct([*span, ("cost", pa.float64())])), pa.list_(pa.struct([*span, ("value", pa.string())]))
         for batch in batches:
             for a, z in slices(batch.column(1)):
-                found = []
+                spans, values = [], []
                 for text in batch.column(1).slice(a, z - a):
                     text = text.as_py()
                     base = base_spans(text)
-                    spans = [(s, KINDS.index(k), e, None) for k, s, e in base] + [(s, 3, e, c) for _, s, e, c in added_spans(text, base, least, sent.value)]
-                    found.append([{"kind": KINDS[k], "start": s, "end": e, "cost": c} for s, k, e, c in sorted(spans, key=lambda x: x[:3])])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(found, kind)], ["doc_id", "spans"])
-
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,cost:double>>")
+                    spans.append([{"start": s, "place": KINDS.index(k), "end": e, "cost": None} for k, s, e in base])
+                    values.append([{"start": s, "place": KINDS.index("guess"), "end": e, "value": text[s:e]} for s, e in candidates(text, base)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(spans, spans_of), pa.array(values, values_of)], ["doc_id", "spans", "values"])
+
+    span = "start:long,place:long,end:long"
+    found = rows.mapInArrow(run, f"doc_id long, spans array<struct<{span},cost:double>>, values array<struct<{span},value:string>>")
+    found = save(found.withColumn("row", F.monotonically_increasing_id()))
+    asked = found.select("row", F.explode("values").alias("v")).select("row", "v.*")
+    values = save(asked.select("value").distinct())
+    spans = F.col("spans")
+    if not values.isEmpty():
+        costs = guess_costs(values, rows, least).filter(F.col("cost") >= least)
+        added = asked.join(costs, "value").groupBy("row").agg(F.collect_list(F.struct("start", "place", "end", "cost")).alias("added"))
+        found = found.join(added, "row", "left")
+        spans = F.array_sort(F.concat("spans", F.coalesce("added", F.array().cast(f"array<struct<{span},cost:double>>"))))
+    discard(values)
+    kind = F.array(*map(F.lit, KINDS))
+    return found.select("doc_id", F.transform(spans, lambda s: F.struct(F.get(kind, s["place"].cast("int")).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["cost"].alias("cost"))).alias("spans"))

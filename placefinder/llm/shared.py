@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import xxhash64
 
 from ..operators.tables import save
 
@@ -54,14 +55,21 @@ def slices(column, most_bytes: int = 1 << 20, most_rows: int = 512):
 FEW_IDS = 500_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids`` (one column); rows with a null id stay.
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row that can be hashed: rows of one id that differ at all are told apart by it."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return xxhash64(F.struct(*[docs[f"`{name}`"] for name, kind in kinds.items() if "map<" not in kind and "variant" not in kind]))
 
-    The ids are saved and counted first: few are broadcast, so the texts don't move.
+
+def without_rows(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id and :func:`row_hash` are in ``rows`` (two columns); rows with a null id stay.
+
+    They are saved and counted first: few are broadcast, so the texts don't move.
     """
-    gone = save(ids.select(ids[0].alias("_gone")).filter("_gone IS NOT NULL").distinct())
+    gone = save(rows.select(rows[0].alias("_gone"), rows[1].alias("_gone_hash")).filter("_gone IS NOT NULL").distinct())
     few = gone.count() <= FEW_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")
+    on = (docs[id_col] == gone["_gone"]) & (row_hash(docs) == gone["_gone_hash"])
+    return docs.join(F.broadcast(gone) if few else gone, on, "left_anti")
 
 
 def filter_texts(docs: DataFrame, keep: Callable[[], Callable], text_col: str = "text") -> DataFrame:
