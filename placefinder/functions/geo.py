@@ -39,6 +39,12 @@ def ring_edges(rings: Column) -> Column:
     return F.filter(F.flatten(F.transform(rings, edges)), lambda e: e["x2"].isNotNull())
 
 
+def _touches(lon: Column, lat: Column, e: Column) -> Column:
+    """Whether a point lies on an edge."""
+    cross = (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lon - e["x1"])
+    return lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & (cross == 0) & lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+
+
 def inside_edges(lon: Column, lat: Column, edges: Column) -> Column:
     """Even-odd over a polygon's edges (holes and parts alike); boundaries count as inside. Edges that reach neither the
     point's latitude nor east of it may be missing."""
@@ -47,11 +53,28 @@ def inside_edges(lon: Column, lat: Column, edges: Column) -> Column:
         rises = e["y2"] - e["y1"]
         return ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.when(rises != 0, rises).otherwise(1.0) + e["x1"])
 
-    def touches(e: Column) -> Column:
-        cross = (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lon - e["x1"])
-        return (cross == 0) & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+    return F.exists(edges, lambda e: _touches(lon, lat, e)) | (F.size(F.filter(edges, crosses)) % 2 == 1)
+
+
+#: More than any number of edges of a piece: what a point on an edge counts.
+_ON_EDGE = 1 << 30
+
+
+def inside_piece(lon: Column, lat: Column, edges: Column, crossings: Column, odd: Column, east: Column) -> Column:
+    """Whether a point of a cell is inside the area whose edges in that cell are given (y1 <= y2), boundaries included.
+
+    ``odd`` says whether the cell's north-eastern corner is inside; each edge on the way there, east to ``east``, then
+    north past the latitudes ``crossings``, changes that. Most edges are ruled out by their latitudes.
+    """
+
+    def met(count: Column, e: Column) -> Column:
+        run, rise = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        x = run * (lat - e["y1"]) / F.when(rise != 0, rise).otherwise(1.0) + e["x1"]
+        across = (lat < e["y2"]) & (x > lon) & (x <= east)
+        return F.when((lat < e["y1"]) | (lat > e["y2"]), count).when(_touches(lon, lat, e), count + _ON_EDGE).when(across, count + 1).otherwise(count)
 
-    return F.exists(edges, touches) | (F.size(F.filter(edges, crosses)) % 2 == 1)
+    count = F.aggregate(edges, odd.cast("int").cast("long"), met)
+    return (count >= _ON_EDGE) | (((count + F.size(F.filter(crossings, lambda y: y > lat))) % 2) == 1)
 
 
 def near_edges(lon: Column, lat: Column, edges: Column, buffer: float) -> Column:

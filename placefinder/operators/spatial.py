@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from .components import connected_components
 from .fuzzy import top
+from .subdivide import pieces
+from .tables import save
 
 #: Degrees around a region that still belong to it: its boundary generalises the coast.
 REGION_BUFFER = 0.003
@@ -35,12 +37,17 @@ def containing(points: DataFrame, areas: DataFrame, size: float | None = None, b
     """Pairs of ``points`` (point_id, lon, lat) and ``areas`` (area_id, rings) that contain them, boundaries included, or
     whose boundary is at most ``buffer`` degrees away.
 
-    An area is listed under the cells of its bounding box, widened by the buffer, each time with those of its
+    Without a buffer, areas are cut into pieces of a bounded number of edges (:mod:`.subdivide`), and a point meets the
+    pieces of its own cell, once for each width of cell in use. ``size`` plays no part then.
+
+    With one, an area is listed under the cells of its bounding box, widened by the buffer, each time with those of its
     edges alone that a ray to the east from the cell can meet, or that are within the buffer: the cell's own band of
     latitude, from the cell on. Cells are ``size`` degrees wide; without a size, an area's cells are the power of two
     next to a quarter of its extent, so that a country and a village have as many, and a point is looked up once
     for each of the widths in use (22 at the most, from 2^-15 to 2^6 degrees).
     """
+    if not buffer:
+        return _in_pieces(points, areas)
     edges = F.col("edges")
     bound = lambda pick, *axes: pick(F.flatten(F.transform(edges, lambda e: F.array(*(e[x] for x in axes)))))
     # Listing costs some milliseconds an area, so a small file of areas is spread over the tasks of a shuffle first.
@@ -60,12 +67,20 @@ def containing(points: DataFrame, areas: DataFrame, size: float | None = None, b
     listed = listed.select("area_id", "level", "cx", "cy", F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("cx") * F.col("wide") - buffer).alias("edges"))
     placed = points.select("point_id", "lon", "lat", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level")).withColumn("wide", wide)
     placed = placed.select("point_id", "lon", "lat", "level", cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy"))
-    held = G.inside_edges(F.col("lon"), F.col("lat"), edges)
-    if buffer:
-        held |= G.near_edges(F.col("lon"), F.col("lat"), edges, buffer)
+    held = G.inside_edges(F.col("lon"), F.col("lat"), edges) | G.near_edges(F.col("lon"), F.col("lat"), edges, buffer)
     return placed.join(listed.filter(F.size("edges") > 0), ["level", "cx", "cy"]).filter(held).select("point_id", "area_id")
 
 
+def _in_pieces(points: DataFrame, areas: DataFrame) -> DataFrame:
+    cut = save(pieces(areas))
+    levels = sorted(r.level for r in cut.select("level").distinct().collect())
+    placed = points.select("point_id", "lon", "lat", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level"))
+    wide = F.pow(F.lit(2.0), F.col("level"))
+    placed = placed.select("point_id", "lon", "lat", "level", F.floor(F.col("lon") / wide).cast("long").alias("cx"), F.floor(F.col("lat") / wide).cast("long").alias("cy"))
+    inside = G.inside_piece(F.col("lon"), F.col("lat"), F.col("edges"), F.col("crossings"), F.col("odd"), (F.col("cx") + 1) * wide)
+    return placed.join(cut, ["level", "cx", "cy"]).filter(inside).select("point_id", "area_id")
+
+
 def clip(points: DataFrame, inside: DataFrame, outside: DataFrame, exempt: Column, size: float | None = None, buffer: float = REGION_BUFFER) -> DataFrame:
     """Points inside one of ``inside``, or at most ``buffer`` degrees from it, and in none of ``outside`` (both areas, the
     latter without a buffer), and all that are ``exempt``."""

@@ -80,7 +80,8 @@ def autocomplete(queries: DataFrame, feature: DataFrame, prefixes: DataFrame) ->
 
     named = asked.filter("mode = 'name'")
     places = rows.filter("layer <> 'address'")
-    held = save(token_matches(asked.filter("mode <> 'prefix' OR lim > 0"), places))  # the fill leaves these out, in every mode
+    # Named queries, and all that the fill may ask, which leaves these out. Shorter texts would meet most names for nothing.
+    held = save(token_matches(asked.filter((F.col("mode") == "name") | (F.length("q") >= FILL_LENGTH)), places))
     names = held.join(named.select("query_id"), "query_id", "left_semi").join(places.drop("tokens", "number"), "id").join(scope, "query_id").filter(_scan())
     names = top(names, ["query_id"], [F.desc("importance"), F.col("id")], CANDIDATES).drop("rank")
     names = top(names, ["query_id", "label"], [F.desc("importance"), F.col("id")], 1).drop("rank")

@@ -170,65 +170,36 @@ def typo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("typed", "name", F.col("edits").cast("long").alias("edits"))
 
 
-# Streets and their postal parts.
-_STREETS = [
-    ("Congress Street", None, "CONGRESS", "ST", None, None), ("North Main Street", "N", "MAIN", "ST", None, None), ("Main St N", None, "MAIN", "ST", "N", None), ("North Street", None, "NORTH", "ST", None, None),
-    ("US Route 1", None, "US ROUTE 1", None, None, None), ("Rte 202", None, "ROUTE 202", None, None, None), ("St. John Street", None, "ST JOHN", "ST", None, None), ("East Main Street Extension", "E", "MAIN", "ST", None, "EXT"),
-    ("Park Avenue West", None, "PARK", "AVE", "W", None), ("West Broadway", "W", "BROADWAY", None, None, None), ("US Route 2 W", None, "US ROUTE 2", None, "W", None), ("Parkway N", None, "PARKWAY", None, "N", None),
-]
+#: Words before, at the end of and after a street's name, and their postal forms.
+_BEFORE, _KINDS = [(None, None), ("North", "N"), ("SW", "SW"), ("E.", "E")], [("Street", "ST"), ("Ave", "AVE"), ("Road", "RD"), ("Lane", "LN"), ("Blvd.", "BLVD"), (None, None)]
+_AFTER = [(None, None, None), ("West", "W", None), ("Extension", None, "EXT")]
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    cell = lambda x: "NULL" if x is None else str(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") t({names})"
+def _pick(words: list[tuple], at: str, form: int) -> str:
+    cell = lambda x: "NULL" if x is None else f"'{x}'"
+    return f"CASE {at} " + " ".join(f"WHEN {i} THEN {cell(w[form])}" for i, w in enumerate(words)) + " END"
 
 
-@query(_values(_STREETS, "street, predirectional, street_name, suffix, postdirectional, post_modifier"))
+_STREET_OF = f"concat_ws(' ', {_pick(_BEFORE, 'c_custkey % 4', 0)}, c_mktsegment, {_pick(_KINDS, 'c_custkey % 6', 0)}, CASE WHEN c_custkey % 6 < 5 THEN {_pick(_AFTER, 'c_nationkey % 3', 0)} END)"
+
+
+@query(f"""SELECT c_custkey, {_STREET_OF} AS street, {_pick(_BEFORE, 'c_custkey % 4', 1)} AS predirectional, c_mktsegment AS street_name, {_pick(_KINDS, 'c_custkey % 6', 1)} AS suffix,
+    CASE WHEN c_custkey % 6 < 5 THEN {_pick(_AFTER, 'c_nationkey % 3', 1)} END AS postdirectional, CASE WHEN c_custkey % 6 < 5 THEN {_pick(_AFTER, 'c_nationkey % 3', 2)} END AS post_modifier FROM customer""")
 def postal_street_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s[0],) for s in _STREETS], "street string")
-    return rows.select("street", T.postal_street(F.col("street")).alias("s")).select("street", "s.*")
+    """Customers' market segments as street names, with words of direction and kind around them."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_STREET_OF} AS street")
+    return rows.select("c_custkey", "street", T.postal_street(F.col("street")).alias("s")).select("c_custkey", "street", "s.*")
 
 
-_UNITS = [("Apt 2", "APT", "2"), ("Suite 200", "STE", "200"), ("#3", "#", "3"), ("2B", "#", "2B"), ("Rear", "REAR", None), ("", None, None)]
+_UNIT_OF = "CASE c_custkey % 7 WHEN 0 THEN 'Apt ' || c_custkey WHEN 1 THEN 'suite ' || c_nationkey WHEN 2 THEN '#' || c_custkey WHEN 3 THEN c_custkey || 'B' WHEN 4 THEN 'Rear' WHEN 5 THEN ' Unit # ' || c_nationkey ELSE '' END"
 
 
-@query(_values(_UNITS, "unit, designator, unit_number"))
+@query(f"""SELECT c_custkey, {_UNIT_OF} AS unit, CASE c_custkey % 7 WHEN 0 THEN 'APT' WHEN 1 THEN 'STE' WHEN 2 THEN '#' WHEN 3 THEN '#' WHEN 4 THEN 'REAR' WHEN 5 THEN 'UNIT' END AS designator,
+    CASE c_custkey % 7 WHEN 0 THEN '' || c_custkey WHEN 1 THEN '' || c_nationkey WHEN 2 THEN '' || c_custkey WHEN 3 THEN c_custkey || 'B' WHEN 5 THEN '' || c_nationkey END AS unit_number FROM customer""")
 def postal_unit_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(u[0],) for u in _UNITS], "unit string")
-    return rows.select("unit", T.postal_unit(F.col("unit")).alias("u")).select("unit", "u.*")
-
-
-# Texts and what the parser makes of them (name, number, street, town, ZIP, state), for a build that
-# holds Maine, New York, New Hampshire and Arizona.
-_PARSED = [
-    ("389 Congress St, Portland, ME 04101", None, "389", "Congress St", "Portland", "04101", "ME"),
-    ("12 Main St South Portland Maine", None, "12", "Main St", "South Portland", None, "ME"),
-    ("210 State St Apt 2, Augusta, ME", None, "210", "State St", "Augusta", None, "ME"),
-    ("Jordan Pond, Bar Harbor", "Jordan Pond", None, None, "Bar Harbor", None, None),
-    ("Bangor ME", None, None, None, "Bangor", None, "ME"),
-    ("Moosehead Lake", None, None, None, None, None, None),
-    ("73 Harlow St Bangor 04401-5102", None, "73", "Harlow St", "Bangor", "04401", None),
-    ("27 Libert St, Newcatsle, ME", None, "27", "Libert St", "Newcatsle", None, "ME"),
-    ("350 5th Ave, New York, NY", None, "350", "5th Ave", "New York", None, "NY"),
-    ("350 5th Ave, New York", None, "350", "5th Ave", "New York", None, None),
-    ("101 Penbrooke Drive Penfield New York", None, "101", "Penbrooke Drive", "Penfield", None, "NY"),
-    ("5 Elm St North Conway New Hampshire", None, "5", "Elm St", "North Conway", None, "NH"),
-    ("13023 E Lima St, Prescott Valley", None, "13023", "E Lima St", "Prescott Valley", None, None),
-    ("13023 E Lima St, Prescott Valley AZ 86314", None, "13023", "E Lima St", "Prescott Valley AZ", "86314", "AZ"),
-    ("Sacramento CA", None, None, None, "Sacramento", None, "CA"),
-    ("Sacramento MD", None, None, None, None, None, None),
-    ("Eric Broen, MD", None, None, None, None, None, None),
-    ("Steawrt, AZ", None, None, None, "stewart", None, "AZ"),
-    ("Bangro", None, None, None, "bangor", None, None),
-]
-_TOWNS = [("portland", "ME"), ("south portland", "ME"), ("bar harbor", "ME"), ("augusta", "ME"), ("bangor", "ME"), ("new york", "NY"), ("penfield", "NY"), ("north conway", "NH"), ("prescott valley", "AZ"), ("stewart", "AZ")]
-
-
-@query(_values(_PARSED, "text, name, housenumber, street, locality, postcode, state"))
-def parse_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    towns = spark.createDataFrame([(n, s, False) for n, s in _TOWNS] + [("sacramento", "CA", True)], "name string, region_a string, coarse boolean")
-    texts = spark.createDataFrame([(i, r[0]) for i, r in enumerate(_PARSED)], "query_id long, text string")
-    return parse.parse(texts, towns, ["ME", "NY", "NH", "AZ"]).drop("query_id")
+    """Units of customers in seven spellings."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_UNIT_OF} AS unit")
+    return rows.select("c_custkey", "unit", T.postal_unit(F.col("unit")).alias("u")).select("c_custkey", "unit", "u.*")
 
 
 _ASKED = """SELECT c_custkey AS k, CAST(c_custkey % 999 + 1 AS VARCHAR) AS n, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS seg,
@@ -651,25 +622,41 @@ def accuracy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary(scored_cases(spark, sf_dir))
 
 
-# Two runs and what the gate says of them.
-_BASE = [("ALL", 1560, 1495, 0.958, 0.686), ("address/exact", 200, 196, 0.98, None), ("lake/typo", 50, 43, 0.86, None), ("level:F1", 300, 261, 0.87, None)]
-_NOW = [("ALL", 1560, 1485, 0.952, 0.70), ("address/exact", 200, 193, 0.965, None), ("lake/typo", 50, 40, 0.80, None), ("level:F1", 300, 260, 0.868, None)]
+def _run_sql(right: str, sure: str) -> str:
+    return f"""SELECT grp, count(*) AS n, sum(CASE WHEN {right} THEN 1 ELSE 0 END) AS n_correct, round(avg(CASE WHEN {right} THEN 1.0 ELSE 0.0 END), 3) AS correct, round(avg({sure}), 3) AS conf_when_wrong
+      FROM (SELECT *, unnest(['ALL', 'level:' || o_orderpriority, o_orderstatus || '/' || o_orderpriority]) AS grp FROM orders) GROUP BY 1"""
+
 
+_RIGHT, _SURE = ("o_orderkey % 20 <> 0", "o_orderkey % 20 <> 0 AND (o_custkey % 9 <> 0 OR o_orderpriority < '3')"), ("0.5e0", "CASE WHEN o_orderpriority < '2' THEN 0.9e0 ELSE 0.5e0 END")
 
-@query("SELECT * FROM (VALUES ('ALL', 'overall'), ('lake/typo', 'group')) t(grp, reason)")
+
+@query(f"""WITH b AS ({_run_sql(_RIGHT[0], _SURE[0])}), c AS ({_run_sql(_RIGHT[1], _SURE[1])}),
+    j AS (SELECT b.grp, CASE WHEN b.grp = 'ALL' AND coalesce(c.correct, 0) < b.correct - {evaluate.OVERALL} THEN 'overall' WHEN b.grp = 'ALL' AND c.conf_when_wrong > b.conf_when_wrong + {evaluate.WRONG_CONFIDENCE} THEN 'confidence when wrong'
+      WHEN starts_with(b.grp, 'level:') THEN CASE WHEN c.correct < b.correct - {evaluate.LEVEL} THEN 'level' END
+      WHEN b.grp <> 'ALL' AND coalesce(c.n_correct, 0) < b.n_correct - greatest({evaluate.GROUP_LEAST}, round({evaluate.GROUP_SHARE} * b.n)) THEN 'group' END AS reason FROM b LEFT JOIN c USING (grp))
+    SELECT grp, reason FROM j WHERE reason IS NOT NULL""")
 def accuracy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = "grp string, n long, n_correct long, correct double, conf_when_wrong double"
-    return evaluate.gate(spark.createDataFrame(_BASE, shape), spark.createDataFrame(_NOW, shape))
+    """Orders as cases of two runs, right or wrong by their keys, in groups by priority and status."""
+
+    def run(right: str, sure: str) -> DataFrame:
+        rows = table(spark, sf_dir, "orders").withColumn("grp", F.explode(F.array(F.lit("ALL"), F.concat(F.lit("level:"), "o_orderpriority"), F.concat_ws("/", "o_orderstatus", "o_orderpriority"))))
+        hit = F.expr(right).cast("int")
+        return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(hit).alias("n_correct"), F.round(F.avg(hit.cast("double")), 3).alias("correct"), F.round(F.avg(F.expr(sure).cast("double")), 3).alias("conf_when_wrong"))
+
+    return evaluate.gate(run(_RIGHT[0], _SURE[0]), run(_RIGHT[1], _SURE[1]))
 
 
-_REQUESTS = [(1, "portland", "venue,oa", 10, 44.0, -70.0, 0), (2, "", "coarse", 0, 44.0, None, 3), (3, "x", "town", 41, 95.0, 1.0, 3)]
+_REQUEST = """SELECT c_custkey AS query_id, CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE c_name END AS text, CASE c_custkey % 3 WHEN 0 THEN 'venue,oa' WHEN 1 THEN 'coarse' ELSE 'town' END AS layers,
+    c_custkey % 50 AS size, CAST(c_acctbal / 60 AS DOUBLE) AS lat, CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_nationkey * 9 AS DOUBLE) END AS lon FROM {customer}"""
 
 
-@query("SELECT * FROM (VALUES (1, 1, 2), (2, 3, 7), (3, 3, 1)) t(query_id, n_errors, n_layers)")
+@query("WITH r AS (" + _REQUEST.format(customer="customer") + """)
+    SELECT query_id, CAST(text = ' ' AS INTEGER) + CAST(layers <> 'coarse' AS INTEGER) + CAST(size < 1 OR size > 40 AS INTEGER) + CAST(lon IS NULL AS INTEGER) + CAST(coalesce(NOT lat BETWEEN -90 AND 90 OR NOT lon BETWEEN -180 AND 180, false) AS INTEGER) AS n_errors,
+      CASE layers WHEN 'venue,oa' THEN 2 WHEN 'coarse' THEN 7 ELSE 1 END AS n_layers FROM r""")
 def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:6] for r in _REQUESTS], "query_id int, text string, layers string, size int, lat double, lon double")
-    got = validate.checked(rows)
-    return got.select("query_id", F.size("errors").alias("n_errors"), F.size("layers").alias("n_layers"))
+    """Customers as requests: blank texts, unknown layers, sizes and latitudes out of range, missing longitudes."""
+    rows = spark.sql(_REQUEST, customer=table(spark, sf_dir, "customer"))
+    return validate.checked(rows).select("query_id", F.size("errors").alias("n_errors"), F.size("layers").alias("n_layers"))
 
 
 @query(f"""WITH j AS (SELECT c_custkey AS row_id, CAST(c_custkey AS VARCHAR) || ' ' || lower(c_mktsegment) || ' st' AS a, 'Port ' || c_nationkey AS city FROM customer)

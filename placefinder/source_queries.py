@@ -7,8 +7,9 @@ folder first and read back by their reader.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo as G
@@ -17,6 +18,7 @@ from .functions import text as T
 from .functions.refdata import EXPANSIONS
 from .operators import spatial
 from .operators.fuzzy import top
+from .operators.subdivide import MOST_EDGES, pieces
 from .operators.tables import work_dir
 from .plans import autocomplete, build, cases, output
 from .queries import _EXPAND, _GRAMS, _HOMES, _RUNS, _far, _lat, _lon, _nation_boxes, _sim, homes, lat_of, lon_of, query, table, venues
@@ -245,26 +247,51 @@ def osm_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- areas ---------------------------------------------------------------------------------
 
-#: Vertices of an area, and the unit of its coordinates: all are multiples of it, so that both sides compute without rounding.
+#: Vertices of a ragged area, and the unit of its coordinates: all are multiples of it, so that both sides compute without rounding.
 _VERTICES, _UNIT = 120, 1 / 64
 
 
-@query("""WITH p AS (SELECT o_orderkey AS point_id, (o_orderkey * 7919 % 23000 - 11500) / 64e0 + 1e0 / 128 AS lon, (o_orderkey * 104729 % 10000 - 5000) / 64e0 AS lat FROM orders),
-    a AS (SELECT c_custkey AS area_id, (c_custkey * 7907 % 22000 - 11000) / 64e0 AS x, (c_custkey * 104723 % 9000 - 4500) / 64e0 AS y, 30 * (1 << CAST(c_custkey % 4 AS INTEGER)) / 64e0 AS r FROM customer)
-    SELECT point_id, area_id FROM p JOIN a ON abs(lon - x) + abs(lat - y) <= r""")
-def points_in_ragged_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders as points, all customers as areas of 120 vertices in four sizes: squares on their corners, whose sides
-    are cut into thirty edges each."""
-    k, o = F.col("c_custkey"), F.col("o_orderkey")
-    step = F.pow(F.lit(2.0), k % 4) * F.lit(_UNIT)
+def _ragged(spark: SparkSession, sf_dir: str, name: str, key: str, vertices: int, step: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """All orders as points, and the rows of a table as areas: squares on their corners, whose sides are cut into a quarter
+    of the vertices each, ``step`` apart."""
+    k, o = F.col(key), F.col("o_orderkey")
     x, y = (k * 7907 % 22000 - 11000) * F.lit(_UNIT), (k * 104723 % 9000 - 4500) * F.lit(_UNIT)
-    side = _VERTICES // 4
-    # i steps around from the eastern corner: dx falls from 30 to -30 and rises again, dy is a quarter ahead
-    wave = lambda i: F.abs(i % _VERTICES - 2 * side) - side
-    ring = F.transform(F.sequence(F.lit(0), F.lit(_VERTICES)), lambda i: F.struct((x + wave(i) * step).alias("x"), (y + wave(i + 3 * side) * step).alias("y")))
-    areas = table(spark, sf_dir, "customer").select(k.alias("area_id"), F.array(ring).alias("rings"))
+    side = vertices // 4
+    # i steps around from the eastern corner: dx falls from its width to the negative and rises again, dy is a quarter ahead
+    wave = lambda i: F.abs(i % vertices - 2 * side) - side
+    ring = F.transform(F.sequence(F.lit(0), F.lit(vertices)), lambda i: F.struct((x + wave(i) * step(k)).alias("x"), (y + wave(i + 3 * side) * step(k)).alias("y")))
+    areas = table(spark, sf_dir, name).select(k.alias("area_id"), F.array(ring).alias("rings"))
     points = table(spark, sf_dir, "orders").select(o.alias("point_id"), ((o * 7919 % 23000 - 11500) * F.lit(_UNIT) + F.lit(_UNIT / 2)).alias("lon"), ((o * 104729 % 10000 - 5000) * F.lit(_UNIT)).alias("lat"))
-    return spatial.containing(points, areas)
+    return points, areas
+
+
+def _ragged_sql(name: str, key: str, radius: str) -> str:
+    return f"""WITH p AS (SELECT o_orderkey AS point_id, (o_orderkey * 7919 % 23000 - 11500) / 64e0 + 1e0 / 128 AS lon, (o_orderkey * 104729 % 10000 - 5000) / 64e0 AS lat FROM orders),
+    a AS (SELECT {key} AS area_id, ({key} * 7907 % 22000 - 11000) / 64e0 AS x, ({key} * 104723 % 9000 - 4500) / 64e0 AS y, {radius} AS r FROM {name})
+    SELECT point_id, area_id FROM p JOIN a ON abs(lon - x) + abs(lat - y) <= r"""
+
+
+@query(_ragged_sql("customer", "c_custkey", "30 * (1 << CAST(c_custkey % 4 AS INTEGER)) / 64e0"))
+def points_in_ragged_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as areas of 120 vertices in four sizes."""
+    return spatial.containing(*_ragged(spark, sf_dir, "customer", "c_custkey", _VERTICES, lambda k: F.pow(F.lit(2.0), k % 4) * F.lit(_UNIT)))
+
+
+@query(_ragged_sql("supplier", "s_suppkey", "2500 * (1 << CAST(s_suppkey % 3 AS INTEGER)) / 1024e0"))
+def points_in_detailed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers as areas of 10,000 vertices in three sizes."""
+    return spatial.containing(*_ragged(spark, sf_dir, "supplier", "s_suppkey", 10_000, lambda k: F.pow(F.lit(2.0), k % 3 - 10)))
+
+
+@query("SELECT s_suppkey AS area_id, 10000 AS edges, true AS bounded, true AS whole FROM supplier")
+def pieces_of_detailed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same areas cut up: their edges, whether no piece has more than its bound, and whether no edge is lost."""
+    _, areas = _ragged(spark, sf_dir, "supplier", "s_suppkey", 10_000, lambda k: F.pow(F.lit(2.0), k % 3 - 10))
+    parts = pieces(areas)
+    sizes = parts.groupBy("area_id").agg(F.max(F.size("edges")).alias("most"))
+    edges = parts.select("area_id", F.explode("edges").alias("e")).groupBy("area_id").agg(F.count_distinct("e.x1", "e.y1", "e.x2", "e.y2").alias("kept"))
+    wanted = areas.select("area_id", (F.size(F.get("rings", F.lit(0))) - 1).alias("edges"))
+    return wanted.join(sizes, "area_id").join(edges, "area_id").select("area_id", "edges", (F.col("most") <= MOST_EDGES).alias("bounded"), (F.col("kept") == F.col("edges")).alias("whole"))
 
 
 # -- functions -----------------------------------------------------------------------------
