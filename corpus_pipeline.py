@@ -5,8 +5,8 @@ left is encoded. Every stage but the last returns the columns it was given.
 
 Edge cases, for every stage: null and empty texts stay (all of them are exact copies of one another, so
 one is left; they are near copies of nothing and hold no passage); of equal texts the longest original,
-then the smallest doc_id stays, of near copies the smallest doc_id; rows that repeat a doc_id share its
-fate, but exact deduplication keeps one of them; rows with a null doc_id lose ties among exact copies and
+then the smallest doc_id stays, of near copies the smallest doc_id; rows that repeat a doc_id are decided
+one by one, by their own texts, and of rows alike in every column exact deduplication keeps one; rows with a null doc_id lose ties among exact copies and
 are otherwise kept unless toxic or contaminated; without labels of both classes nothing is toxic, without
 benchmark items nothing contaminated; an empty table stays empty; other columns, whatever their names,
 pass through.
