@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
+from ..functions.geodesic import spheroid_m
 from .components import connected_components
 from .fuzzy import top
 from .subdivide import pieces
@@ -17,14 +18,24 @@ from .tables import save
 REGION_BUFFER = 0.003
 
 
-def within(points: DataFrame, features: DataFrame, radius_m: float, size: float | None = None) -> DataFrame:
+#: No two places are farther apart on the sphere than so many times their distance on the spheroid.
+SPHERE_EXCESS = 1.006
+
+
+def within(points: DataFrame, features: DataFrame, radius_m: float, size: float | None = None, spheroid: bool = False) -> DataFrame:
     """Pairs of ``points`` (point_id, lon, lat) and ``features`` (id, lon, lat) at most radius_m apart, or at most each
-    point's own ``radius_m``, if there is such a column and it is less: point_id, id, distance_m."""
+    point's own ``radius_m``, if there is such a column and it is less: point_id, id, distance_m. Distances are those on
+    the sphere, or on the spheroid, which is measured for the pairs that are near enough on the sphere."""
     size = size or max(radius_m / (math.pi * G.EARTH_M / 180), 1e-4)
     reach = F.least(F.col("radius_m"), F.lit(float(radius_m))) if "radius_m" in points.columns else F.lit(float(radius_m))
-    p = points.select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), reach.alias("reach"), F.explode(G.cells_near(F.col("lon"), F.col("lat"), reach, size)).alias("cell"))
+    wide = reach * SPHERE_EXCESS if spheroid else reach
+    p = points.select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), reach.alias("reach"), F.explode(G.cells_near(F.col("lon"), F.col("lat"), wide, size)).alias("cell"))
     f = features.select("id", F.col("lon").alias("flon"), F.col("lat").alias("flat"), G.cell_of(F.col("lon"), F.col("lat"), size).alias("cell"))
-    pairs = p.join(f, "cell").select("point_id", "id", "reach", G.haversine_m(F.col("plon"), F.col("plat"), F.col("flon"), F.col("flat")).alias("distance_m"))
+    ends = [F.col(c) for c in ("plon", "plat", "flon", "flat")]
+    pairs = p.join(f, "cell").select("point_id", "id", "reach", *ends, G.haversine_m(*ends).alias("distance_m"))
+    if spheroid:
+        pairs = pairs.filter(F.col("distance_m") <= F.col("reach") * SPHERE_EXCESS).withColumn("distance_m", spheroid_m(*ends))
+    pairs = pairs.drop("plon", "plat", "flon", "flat")
     return pairs.filter(F.col("distance_m") <= F.col("reach")).drop("reach")
 
 

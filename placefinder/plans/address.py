@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import spatial
+from ..operators import knn
 
 
 def postal(feature: DataFrame, kind: Column | str = "address", unit: Column | None = None, suffixes: dict[str, str] | None = None) -> DataFrame:
@@ -22,4 +22,4 @@ def postal(feature: DataFrame, kind: Column | str = "address", unit: Column | No
 
 def nearest_address(points: DataFrame, feature: DataFrame, radius_m: float = 5000.0) -> DataFrame:
     """The nearest address of each point (point_id, lon, lat): point_id, id, distance_m."""
-    return spatial.nearest(points, feature.filter("layer = 'address'").select("id", "lon", "lat"), 1, radius_m).drop("rank")
+    return knn.nearest(points, feature.filter("layer = 'address'").select("id", "lon", "lat"), 1, radius_m).drop("rank")

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .functions import geo as G
 from .functions import sql as sql_functions
 from .functions import text as T
+from .functions.geodesic import FLATTENING, MAJOR_M, spheroid_m
 from .functions.refdata import EXPANSIONS
-from .operators import spatial
+from .operators import knn, spatial
 from .operators.fuzzy import top
 from .operators.subdivide import MOST_EDGES, pieces
 from .operators.tables import work_dir
@@ -420,3 +421,62 @@ def accuracy_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.col("c_custkey") + 17
     towns = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), lon_of(moved).alias("lon"), lat_of(moved).alias("lat"))
     return cases.cases(features, towns, {"economy": 500.0}, 200).select("id", "qtype", "kind", "text", "truth_lat", "radius_m")
+
+
+# -- nearest places of crowded maps, distances on the spheroid -----------------------------
+
+
+# A third of all orders lie in one town of a thousandth of a degree, the others anywhere; so do the customers.
+_CROWD_LON, _CROWD_LAT = "(12 + ({k} * 7919 % {n}) / 1048576e0)", "(50 + ({k} * 104729 % {n}) / 1048576e0)"
+
+
+def _crowded(key: Column, n: int, shift: float) -> tuple[Column, Column]:
+    town = key % 3 == 0
+    near = lambda base, factor: F.lit(base) + (key * factor % n) / F.lit(1048576.0)
+    return F.when(town, near(12, 7919) + shift).otherwise(lon_of(key) + shift), F.when(town, near(50, 104729) + 2 * shift).otherwise(lat_of(key) + 2 * shift)
+
+
+def _crowded_sql(key: str, n: int, shift: str) -> str:
+    lon, lat = (text.format(k=key, n=n) for text in (_CROWD_LON, _CROWD_LAT))
+    return f"CASE WHEN {key} % 3 = 0 THEN {lon} + {shift} ELSE {_lon(key)} + {shift} END AS lon, CASE WHEN {key} % 3 = 0 THEN {lat} + 2 * {shift} ELSE {_lat(key)} + 2 * {shift} END AS lat"
+
+
+@query(
+    f"""WITH p AS (SELECT c_custkey AS point_id, {_crowded_sql('c_custkey', 1009, '0.00000037e0')} FROM customer),
+    f AS (SELECT o_orderkey AS id, {_crowded_sql('o_orderkey', 997, '0e0')} FROM orders),
+    d AS (SELECT point_id, id, {_far('p', 'f')} AS m FROM p, f)
+    SELECT point_id, id, round(m, 2) AS metres, row_number() OVER (PARTITION BY point_id ORDER BY m, id) AS rank FROM d QUALIFY rank <= 5"""
+)
+def nearest_in_crowds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five orders nearest to every customer, however far they are."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    points = table(spark, sf_dir, "customer").select(c.alias("point_id"), *(x.alias(n) for x, n in zip(_crowded(c, 1009, 0.00000037), ("lon", "lat"))))
+    places = table(spark, sf_dir, "orders").select(o.alias("id"), *(x.alias(n) for x, n in zip(_crowded(o, 997, 0.0), ("lon", "lat"))))
+    found = knn.nearest(points, places, 5)
+    return found.select("point_id", "id", F.round("distance_m", 2).alias("metres"), F.col("rank").cast("long").alias("rank"))
+
+
+# Customers lie within 150 degrees of longitude of their nation's point, so no two points are opposite each other.
+_NATION_POINT = ("(n_nationkey * 7919 % 3600 / 10e0 - 180)", "(n_nationkey * 1117 % 1600 / 10e0 - 80)")
+_MINOR = MAJOR_M * (1 - FLATTENING)
+_SPHEROID = f"""WITH RECURSIVE p AS (SELECT c_custkey, abs(radians(c_custkey * 7919 % 30000 / 100e0 - 150)) AS turn, atan({1 - FLATTENING!r} * tan(radians({_NATION_POINT[1]}))) AS u1, atan({1 - FLATTENING!r} * tan(radians({_lat('c_custkey')}))) AS u2
+      FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    v AS (SELECT c_custkey, turn, u1, u2, turn AS lam, 0 AS i FROM p UNION ALL
+      SELECT c_custkey, turn, u1, u2, turn + (1 - c) * {FLATTENING!r} * s0 * (sigma + c * ss * (mid + c * cs * (2 * mid * mid - 1))), i + 1
+      FROM (SELECT *, {FLATTENING!r} / 16 * (1 - s0 * s0) * (4 + {FLATTENING!r} * (4 - 3 * (1 - s0 * s0))) AS c, CASE WHEN 1 - s0 * s0 > 1e-15 THEN cs - 2 * sin(u1) * sin(u2) / (1 - s0 * s0) ELSE 0 END AS mid, atan2(ss, cs) AS sigma
+        FROM (SELECT *, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0 END AS s0
+          FROM (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM v WHERE i < 15)))),
+    e AS (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0 END AS s0 FROM (SELECT *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs FROM v WHERE i = 15)),
+    g AS (SELECT *, CASE WHEN 1 - s0 * s0 > 1e-15 THEN cs - 2 * sin(u1) * sin(u2) / (1 - s0 * s0) ELSE 0 END AS mid, (1 - s0 * s0) * {(MAJOR_M**2 - _MINOR**2) / _MINOR**2!r} AS uu FROM e),
+    h AS (SELECT *, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))) AS a, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS b FROM g)
+    SELECT c_custkey, round({_MINOR!r} * a * (sigma - b * ss * (mid + b / 4 * (cs * (2 * mid * mid - 1) - b / 6 * mid * (4 * ss * ss - 3) * (4 * mid * mid - 3)))), 3) AS metres FROM h"""
+
+
+@query(_SPHEROID)
+def spheroid_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's distance from its nation's point, to the millimetre."""
+    n = F.col("n_nationkey")
+    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == n)
+    lon, lat = n * 7919 % 3600 / 10.0 - 180, n * 1117 % 1600 / 10.0 - 80
+    away = F.col("c_custkey") * 7919 % 30000 / 100.0 - 150
+    return joined.select("c_custkey", F.round(spheroid_m(lon, lat, lon + away, lat_of("c_custkey")), 3).alias("metres"))
