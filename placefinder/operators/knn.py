@@ -57,7 +57,7 @@ def _fine(lon: Column, lat: Column) -> list[Column]:
 
 def _up(value: str, levels: Column | int) -> Column:
     """A cell's column or row, ``levels`` levels up."""
-    return F.floor(F.col(value) / F.pow(F.lit(4.0), levels if isinstance(levels, Column) else F.lit(levels))).cast("long")
+    return F.call_function("shiftright", F.col(value), 2 * (levels if isinstance(levels, Column) else F.lit(levels)))
 
 
 def _counted(cells: DataFrame, held: int, levels: range, leaf: int) -> DataFrame:
@@ -126,23 +126,28 @@ def candidates(points: DataFrame, tree: Index, k: int, radius_m: float | None =
     if k > tree.most:
         raise ValueError(f"the index holds the first {tree.most} places of a coordinate, {k} are asked")
     asked = points.select("point_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
-    asked = asked.filter("point_id IS NOT NULL AND lon IS NOT NULL AND lat BETWEEN -90 AND 90").dropDuplicates(["point_id"])
+    # A small table of points makes many cells, so it is spread first; windows by point then need no other shuffle.
+    spread = lambda df: df.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "point_id")
+    asked = spread(asked.filter("point_id IS NOT NULL AND lon IS NOT NULL AND lat BETWEEN -90 AND 90")).dropDuplicates(["point_id"])
     # The square of the half chord, as haversines are; 1 is the other side of the Earth.
     limit = F.lit(1.0 if radius_m is None else math.sin(min(radius_m / (2 * G.EARTH_M), math.pi / 2)) ** 2)
-    start = asked.select("*", F.lit(0).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("leaf"), F.lit(0.0).alias("low"), F.lit(4.0).alias("far"))
-    front, saved = start, None
+    whole = F.explode(F.array(*(F.struct(F.lit(x).cast("long").alias("cx"), F.lit(y).cast("long").alias("cy")) for x in range(4) for y in range(4))))
+    first = F.broadcast(tree.nodes.filter("level = 1").select(*CELL, "n", "leaf"))
+    front = asked.select("*", whole.alias("cell")).select("point_id", "lon", "lat", "cell.*").join(first, ["cx", "cy"]).select("point_id", "lon", "lat", *CELL, "n", "leaf")
+    saved = None
     order = Window.partitionBy("point_id")
     for level in range(1, tree.depth + 1):
-        below = tree.nodes.filter(F.col("level") == level).select(_up("cx", 1).alias("px"), _up("cy", 1).alias("py"), "level", "cx", "cy", "n", "leaf")
-        below = F.broadcast(below) if level <= SMALL else below
-        opened = front.filter("NOT leaf").select("point_id", "lon", "lat", F.col("cx").alias("px"), F.col("cy").alias("py")).join(below, ["px", "py"])
+        if level > 1:
+            below = tree.nodes.filter(F.col("level") == level).select(F.lit(level - 1).alias("level"), _up("cx", 1).alias("cx"), _up("cy", 1).alias("cy"), F.struct(*CELL, "n", "leaf").alias("child"))
+            # A leaf has no cells below it and stays itself; the frontier is read once, so plans don't double with each level.
+            front = front.join(F.broadcast(below) if level <= SMALL else below, CELL, "left").withColumn("child", F.coalesce("child", F.struct(*CELL, "n", "leaf")))
+            front = (front if level <= SMALL else spread(front)).select("point_id", "lon", "lat", "child.*")
         low, far = _between()
-        opened = opened.select("point_id", "lon", "lat", *CELL, "n", "leaf", low.alias("low"), far.alias("far"))
-        both = opened.unionByName(front.filter("leaf"))
+        both = front.select("*", low.alias("low"), far.alias("far"))
         # The first cells, by how far they reach, that hold k places together: none of the k is farther than the last of them.
         sums = both.withColumn("held", F.sum("n").over(order.orderBy("far", *CELL).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         bound = F.least(F.coalesce(F.min(F.when(F.col("held") >= k, F.col("far"))).over(order), F.lit(4.0)), limit)
-        front = sums.withColumn("bound", bound).filter(F.col("low") <= F.col("bound") * (1 + 1e-9) + 1e-17).drop("held", "bound")
+        front = sums.withColumn("bound", bound).filter(F.col("low") <= F.col("bound") * (1 + 1e-9) + 1e-17).drop("held", "bound", "low", "far")
         if level % STEP == 0 and level < tree.depth:
             front, before = save(front), saved
             discard(before)
