@@ -9,6 +9,7 @@ from ..functions import geo as G
 from ..functions import text as T
 from ..functions.refdata import LIMITS
 from ..operators.fuzzy import similarity_join, top
+from ..operators.postings import Stored
 from ..operators.tables import save
 from .filters import area_filter, keep, with_defaults
 
@@ -26,14 +27,15 @@ def prepared(queries: DataFrame) -> DataFrame:
     return q.withColumn("mode", mode).withColumn("lim", lim).withColumnRenamed("gid", "want_gid").withColumnRenamed("text", "typed_text").drop("name", "housenumber", "street", "locality", "postcode", "state")
 
 
-def token_matches(queries: DataFrame, rows: DataFrame) -> DataFrame:
+def token_matches(queries: DataFrame, rows: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, id) of rows that hold every full token and a token beginning with the last one.
 
     Full tokens go through an inverted table: a row must be found for as many tokens as are asked. A
     ``saint`` typed as ``st`` is met by ``street`` too. The beginning is tested on the rows that are left;
-    of one-token queries, tokens are joined by their first characters.
+    of one-token queries, tokens are joined by their first characters. ``postings`` (token, id) are those of the rows,
+    where they are stored.
     """
-    index = rows.select("id", F.explode("tokens").alias("token"))
+    index = rows.select("id", F.explode("tokens").alias("token")) if postings is None else postings.select("id", "token")
     full = queries.filter("n >= 2").select("query_id", "n", F.posexplode(F.slice("toks", F.lit(1), F.col("n") - 1)).alias("at", "token"), "aligned", "typed")
     spelled = F.when(F.col("aligned") & (F.col("token") == "saint") & (F.get("typed", F.col("at")) == "st"), F.array(F.lit("saint"), F.lit("street"))).otherwise(F.array("token"))
     asked = full.select("query_id", "n", "at", F.explode(spelled).alias("token"))
@@ -59,8 +61,11 @@ def _scan():
     return keep() & area_filter() & (F.col("use_coarse") | ~F.col("coarse")) & (F.col("cc").isNull() | (F.col("country_a") == F.col("cc")))
 
 
-def autocomplete(queries: DataFrame, feature: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """query_id, id, score, match_type, distance_km, rank: the mode's rows first, then similar names up to the limit."""
+def autocomplete(queries: DataFrame, feature: DataFrame, prefixes: DataFrame, stored: Stored | None = None) -> DataFrame:
+    """query_id, id, score, match_type, distance_km, rank: the mode's rows first, then similar names up to the limit.
+    With a ``stored`` index (made of ``feature``), its tables are read instead and only queries are shuffled to them."""
+    feature = feature if stored is None else stored.feature
+    postings = lambda layers: None if stored is None else stored.tokens.filter(layers)
     asked = save(prepared(queries))
     scope = asked.drop("toks", "typed", "typed_text", "aligned", "n", "country")
     value = F.col("importance").cast("double")
@@ -71,7 +76,7 @@ def autocomplete(queries: DataFrame, feature: DataFrame, prefixes: DataFrame) ->
 
     home = asked.filter("mode = 'address'")
     wanted = home.select("query_id", F.get("toks", F.lit(0)).alias("number"))
-    homes = token_matches(home, rows.filter("layer = 'address'")).join(rows.drop("tokens"), "id").join(wanted, ["query_id", "number"]).join(scope, "query_id").filter(_scan())
+    homes = token_matches(home, rows.filter("layer = 'address'"), postings("layer = 'address'")).join(rows.drop("tokens"), "id").join(wanted, ["query_id", "number"]).join(scope, "query_id").filter(_scan())
     homes = homes.select("query_id", "id", "lim", (_distance() / 1000).alias("distance_km"), (value + boost(0.3)).cast("float").alias("score"))
 
     short = asked.filter("mode = 'prefix'").select("query_id", F.col("q").alias("prefix"))
@@ -81,7 +86,7 @@ def autocomplete(queries: DataFrame, feature: DataFrame, prefixes: DataFrame) ->
     named = asked.filter("mode = 'name'")
     places = rows.filter("layer <> 'address'")
     # Named queries, and all that the fill may ask, which leaves these out. Shorter texts would meet most names for nothing.
-    held = save(token_matches(asked.filter((F.col("mode") == "name") | (F.length("q") >= FILL_LENGTH)), places))
+    held = save(token_matches(asked.filter((F.col("mode") == "name") | (F.length("q") >= FILL_LENGTH)), places, postings("layer <> 'address'")))
     names = held.join(named.select("query_id"), "query_id", "left_semi").join(places.drop("tokens", "number"), "id").join(scope, "query_id").filter(_scan())
     names = top(names, ["query_id"], [F.desc("importance"), F.col("id")], CANDIDATES).drop("rank")
     names = top(names, ["query_id", "label"], [F.desc("importance"), F.col("id")], 1).drop("rank")
@@ -91,7 +96,11 @@ def autocomplete(queries: DataFrame, feature: DataFrame, prefixes: DataFrame) ->
     first = save(top(homes.unionByName(shorts).unionByName(names), ["query_id"], [F.desc("score"), F.col("id")], F.col("lim")))
     found = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
     open_queries = asked.join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0))).filter((F.col("found") < F.col("lim")) & (F.length("q") >= FILL_LENGTH))
-    pairs = similarity_join(open_queries.select("q").distinct(), places.select("name_norm").distinct().filter("name_norm <> ''"), FILL_SIMILAR, "q", "q", "name_norm", "name_norm")
+    texts = open_queries.select("q").distinct()
+    if stored is None:
+        pairs = similarity_join(texts, places.select("name_norm").distinct().filter("name_norm <> ''"), FILL_SIMILAR, "q", "q", "name_norm", "name_norm")
+    else:
+        pairs = stored.similar(texts, FILL_SIMILAR, "q")
     similar = open_queries.select("query_id", "q", "found").join(pairs, "q").join(places.drop("tokens", "number"), "name_norm").join(held, ["query_id", "id"], "left_anti")
     similar = top(similar, ["query_id", "label"], [F.when(F.col("layer") == "locality", 0).otherwise(1), F.desc("importance"), F.col("id")], 1).drop("rank", "q")
     similar = similar.join(scope, "query_id").filter(_scan())  # filters after the cut to one per label

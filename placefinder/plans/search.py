@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..functions.refdata import LIMITS, STATES
 from ..operators.fuzzy import similarity_join, top
 from ..operators.neighbours import number_neighbours
+from ..operators.postings import Stored
 from ..operators.tables import save
 from .filters import area_filter, keep, with_defaults
 
@@ -66,7 +67,7 @@ def _foreign(column: str = "region_a") -> Column:
     return F.col("stt").isNotNull() & ~F.col(column).eqNullSafe(F.col("stt"))
 
 
-def search_core(queries: DataFrame, feature: DataFrame, street_name: DataFrame) -> DataFrame:
+def search_core(queries: DataFrame, feature: DataFrame, street_name: DataFrame, stored: Stored | None = None) -> DataFrame:
     """Hits of prepared queries (with only_state set): query_id, id, layer, label, confidence, match_type,
     accuracy, distance_km, score, rank, and for interpolated hits their number and place."""
     narrow = feature.select("id", "layer", "name_norm", "region_a", "coarse", "country_a", "lon", "lat", "importance", "postcode", "gid")
@@ -91,8 +92,11 @@ def search_core(queries: DataFrame, feature: DataFrame, street_name: DataFrame)
     # names: similar, and equal
     asked = placed.select("query_id", "anchor", "only_state", "use_coarse", "cc", "stt", F.explode("targets").alias("target"))
     names = narrow.filter("layer <> 'address' AND name_norm IS NOT NULL AND name_norm <> ''")
-    distinct_names = names.select("name_norm").distinct()
-    pairs = similarity_join(asked.select("target").distinct(), distinct_names, SIMILAR, "target", "target", "name_norm", "name_norm")
+    targets = asked.select("target").distinct()
+    if stored is None:
+        pairs = similarity_join(targets, names.select("name_norm").distinct(), SIMILAR, "target", "target", "name_norm", "name_norm")
+    else:
+        pairs = stored.similar(targets, SIMILAR, "target")
     near = asked.join(pairs, "target").join(names, "name_norm").filter(_scan())
     near = top(near, ["query_id", "target"], [F.desc("sim"), F.col("coarse"), from_anchor, F.col("id")], NAMES)
     near = save(near.select("query_id", "target", "name_norm", "id", "sim"))
@@ -226,18 +230,19 @@ def ambiguity(hits: DataFrame) -> DataFrame:
     return joined.withColumn("confidence", lowered.cast("float")).drop("best", "n")
 
 
-def search(queries: DataFrame, feature: DataFrame, street_name: DataFrame, held: list[tuple[str, str]]) -> DataFrame:
+def search(queries: DataFrame, feature: DataFrame, street_name: DataFrame, held: list[tuple[str, str]], stored: Stored | None = None) -> DataFrame:
     """Two passes: queries that name a state are first answered inside it; those without a good answer there, and
     all others, are answered everywhere. A query that wants the build's own rows only and names a state the
-    build does not hold has no answer."""
+    build does not hold has no answer. With a ``stored`` index (made of ``feature``), its tables are read instead."""
+    feature = feature if stored is None else stored.feature
     asked = save(prepared(queries, held))
     own = F.col("stt").isin([a for a, _ in held]) if held else F.lit(False)
     asked = asked.filter(F.col("use_coarse") | F.col("stt").isNull() | own).filter("country_ok")
     anywhere = asked.withColumn("only_state", F.lit(None).cast("string"))
     if asked.filter("stt IS NOT NULL").isEmpty():
-        return search_core(anywhere, feature, street_name)
-    first = save(search_core(asked.filter("stt IS NOT NULL").withColumn("only_state", F.col("stt")), feature, street_name))
+        return search_core(anywhere, feature, street_name, stored)
+    first = save(search_core(asked.filter("stt IS NOT NULL").withColumn("only_state", F.col("stt")), feature, street_name, stored))
     good = (F.col("confidence") >= F.lit(0.6).cast("float")) | ((F.col("confidence") >= F.lit(0.4).cast("float")) & F.col("layer").isin(*ADMIN_ANSWERS))
     answered = first.filter((F.col("rank") == 1) & good).select("query_id")
-    second = search_core(anywhere.join(answered, "query_id", "left_anti"), feature, street_name)
+    second = search_core(anywhere.join(answered, "query_id", "left_anti"), feature, street_name, stored)
     return first.join(answered, "query_id", "left_semi").unionByName(second)

@@ -17,12 +17,12 @@ from .functions import sql as sql_functions
 from .functions import text as T
 from .functions.geodesic import FLATTENING, MAJOR_M, spheroid_m
 from .functions.refdata import EXPANSIONS
-from .operators import knn, spatial
+from .operators import knn, postings, spatial
 from .operators.fuzzy import top
 from .operators.subdivide import MOST_EDGES, pieces
 from .operators.tables import work_dir
 from .plans import autocomplete, build, cases, output
-from .queries import _EXPAND, _GRAMS, _HOMES, _RUNS, _far, _lat, _lon, _nation_boxes, _sim, homes, lat_of, lon_of, query, table, venues
+from .queries import ORACLES, _EXPAND, _GRAMS, _HOMES, _RUNS, _far, _lat, _lon, _nation_boxes, _sim, homes, lat_of, lon_of, query, table, venues
 from .sources import readers
 
 
@@ -480,3 +480,18 @@ def spheroid_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = n * 7919 % 3600 / 10.0 - 180, n * 1117 % 1600 / 10.0 - 80
     away = F.col("c_custkey") * 7919 % 30000 / 100.0 - 150
     return joined.select("c_custkey", F.round(spheroid_m(lon, lat, lon + away, lat_of("c_custkey")), 3).alias("metres"))
+
+
+# -- stored tables -------------------------------------------------------------------------
+
+
+@query(ORACLES["autocomplete_places"])
+def autocomplete_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type-ahead over an index that is written first and opened from its folder."""
+    words = F.split("p_name", " ")
+    typed = table(spark, sf_dir, "part").select(F.concat_ws(" ", words[0], F.substring(words[1], 1, 3)).alias("query_id")).distinct()
+    folder = _folder(spark)
+    postings.store(venues(spark, sf_dir), folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = postings.open_stored(spark, folder)
+    got = autocomplete.autocomplete(typed.withColumn("text", F.col("query_id")), stored.feature, build.prefix_table(stored.feature), stored)
+    return got.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "match_type")
