@@ -21,7 +21,7 @@ from .operators import knn, postings, spatial
 from .operators.fuzzy import top
 from .operators.subdivide import MOST_EDGES, pieces
 from .operators.tables import work_dir
-from .plans import autocomplete, build, cases, output
+from .plans import address, autocomplete, build, cases, output
 from .queries import ORACLES, _EXPAND, _GRAMS, _HOMES, _RUNS, _far, _lat, _lon, _nation_boxes, _sim, homes, lat_of, lon_of, query, table, venues
 from .sources import readers
 
@@ -495,3 +495,28 @@ def autocomplete_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = postings.open_stored(spark, folder)
     got = autocomplete.autocomplete(typed.withColumn("text", F.col("query_id")), stored.feature, build.prefix_table(stored.feature), stored)
     return got.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "match_type")
+
+
+# -- address answers -----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH h AS ({_HOMES}), a AS (SELECT c_custkey AS k, {_lon('c_custkey')} AS lon, {_lat('c_custkey')} AS lat, CAST(c_custkey % 400 + 1 AS VARCHAR) || ' ' || upper(replace(street, ' St', '')) || ' ST' AS line, upper(town) || ' ME' AS last FROM h),
+    v AS (SELECT p_partkey AS k, {_lon('p_partkey')} AS lon, {_lat('p_partkey')} AS lat FROM part),
+    s AS (SELECT s_suppkey AS k, {_lon('s_suppkey')} + 0.003 AS lon, {_lat('s_suppkey')} AS lat FROM supplier),
+    nv AS (SELECT v.k, a.k AS c, line, last, {_far('v', 'a')} AS m FROM v, a QUALIFY row_number() OVER (PARTITION BY v.k ORDER BY m, c) = 1),
+    ns AS (SELECT s.k, a.k AS c, line, last, {_far('s', 'a')} AS m FROM s, a QUALIFY row_number() OVER (PARTITION BY s.k ORDER BY m, c) = 1)
+    SELECT 'i' || v.k AS query_id, 0 AS pos, 'overture:venue:' || v.k AS gid, CASE WHEN m <= 500 THEN 'nearest' ELSE 'exact' END AS match, CASE WHEN m <= 500 THEN line END AS delivery_line, CASE WHEN m <= 500 THEN last END AS last_line, CASE WHEN m <= 500 THEN round(m, 1) END AS metres,
+      CASE WHEN v.k % 2 = 0 THEN '23' ELSE '33' END AS state_fips FROM v LEFT JOIN nv USING (k)
+    UNION ALL SELECT 'i' || p_partkey, 1, 'openaddresses:address:' || k, 'exact', line || ' APT ' || (p_partkey % 9), last, NULL, '23' FROM part JOIN a ON p_partkey = k
+    UNION ALL SELECT 'p' || k, 0, 'openaddresses:address:' || c, 'nearest', line, last, round(m, 1), '23' FROM ns WHERE m <= 4000"""
+)
+def address_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's venue, and the address of the customer of the same number with a unit, by gid; every supplier's place by point."""
+    p, s = F.col("p_partkey"), F.col("s_suppkey")
+    gids = F.array(F.concat(F.lit("overture:venue:"), p.cast("string")), F.concat(F.lit("openaddresses:address:"), p.cast("string")))
+    by_id = table(spark, sf_dir, "part").select(F.concat(F.lit("i"), p.cast("string")).alias("query_id"), gids.alias("gids"), F.concat(F.lit("apt "), (p % 9).cast("string")).alias("unit"))
+    by_point = table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), s.cast("string")).alias("query_id"), (lon_of("s_suppkey") + 0.003).alias("lon"), lat_of("s_suppkey").alias("lat"), F.lit(4.0).alias("radius_km"))
+    feature = venues(spark, sf_dir).unionByName(homes(spark, sf_dir))
+    got = address.answers(by_id.unionByName(by_point, allowMissingColumns=True), feature)
+    return got.select("query_id", "pos", "gid", "match", "delivery_line", "last_line", F.round("distance_m", 1).alias("metres"), "state_fips")
