@@ -319,7 +319,8 @@ def batch_results(jobs: DataFrame, hits: DataFrame) -> DataFrame:
     best = hits.filter("rank = 1").drop("rank").withColumnRenamed("confidence", "claimed")
     cap = F.create_map(*(F.lit(x) for pair in LAYER_CAP.items() for x in pair))[F.col("layer")]
     rows = jobs.select("row_id", "skip", "state").join(best, "row_id", "left")
-    level = F.least(F.col("claimed").cast("double"), F.coalesce(cap, F.lit(1.0)))
+    # least() skips nulls, so a job without a hit would get the cap itself
+    level = F.when(F.col("layer").isNotNull(), F.least(F.col("claimed").cast("double"), F.coalesce(cap, F.lit(1.0))))
     elsewhere = F.col("layer").isNotNull() & F.col("state").isNotNull() & ~F.col("region_a").eqNullSafe(F.col("state"))
     confidence = F.when(elsewhere, F.round(level * OTHER_STATE, 3)).otherwise(level)
     note = (
