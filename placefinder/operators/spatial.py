@@ -131,12 +131,21 @@ def line_clusters(lines: DataFrame, key: str, eps: float) -> DataFrame:
     """(id, cluster): connected components, inside each key, of ``lines`` (id, key, line: array of struct(x, y)) at most
     ``eps`` apart; a cluster is named by its smallest id.
 
-    Segments are cut into pieces no longer than a cell, and pieces of one key and cell are compared.
+    Lines that share a segment are linked by it, and each distinct segment is compared once, in the name of its smallest
+    id: segments are cut into pieces no longer than a cell, and pieces of one key and cell are compared.
     """
+    place = [key, "x1", "y1", "x2", "y2"]
+    drawn = _segments(lines, key)
+    own = save(drawn.groupBy(*place).agg(F.min("id").alias("head")))
+    held = drawn.join(own, place).select("id", "head").distinct()
+    # A line stands for itself through the least head of its segments, to which its other heads are linked.
+    held = save(held.groupBy("id").agg(F.collect_set("head").alias("heads")).select("id", F.array_min("heads").alias("head"), "heads"))
+    shared = held.select("head", F.explode("heads").alias("b")).filter("head <> b").select(F.col("head").alias("a"), "b").distinct()
+    own = own.withColumnRenamed("head", "id")
     size = 4 * eps
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     count = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)) / size)).cast("int")
-    cut = _segments(lines, key).withColumn("n", count).select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    cut = own.withColumn("n", count).select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
     along = lambda a, b, k: a + (b - a) * k / F.col("n")
     k = F.col("k")
     pieces = cut.select("id", key, along(x1, x2, k - 1).alias("x1"), along(y1, y2, k - 1).alias("y1"), along(x1, x2, k).alias("x2"), along(y1, y2, k).alias("y2"))
@@ -149,8 +158,9 @@ def line_clusters(lines: DataFrame, key: str, eps: float) -> DataFrame:
     cross = (side(x1, y1, x2, y2, u1, v1) * side(x1, y1, x2, y2, u2, v2) < 0) & (side(u1, v1, u2, v2, x1, y1) * side(u1, v1, u2, v2, x2, y2) < 0)
     gap = F.least(G.segment_gap2(x1, y1, u1, v1, u2, v2), G.segment_gap2(x2, y2, u1, v1, u2, v2), G.segment_gap2(u1, v1, x1, y1, x2, y2), G.segment_gap2(u2, v2, x1, y1, x2, y2))
     near = one.join(two, [key, "cx", "cy"]).filter((F.col("a") < F.col("b")) & (cross | (gap <= eps * eps))).select("a", "b").distinct()
-    labels = connected_components(near)
-    return lines.select(F.col("id").alias("node")).distinct().join(labels, "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("cluster"))
+    labels = connected_components(near.unionByName(shared)).withColumnRenamed("node", "head")
+    named = lines.select("id").distinct().join(held.drop("heads"), "id", "left").join(labels, "head", "left")
+    return named.select("id", F.coalesce("component", "head", "id").alias("cluster"))
 
 
 def merged_lines(lines: DataFrame, key: str, eps: float) -> DataFrame:
