@@ -3,10 +3,10 @@
 Voters are lexicon voters (a word, or the first letters of a family of words, that training rows show
 to go with toxic texts) and pattern voters (how many such words, how many kinds, how dense, how many
 in one line, none at all; and, beside the lexicon, shouting, marks piled up, letters drawn out, calm
-prose). Given labels choose the lexicon and the share of toxic texts; they are no voter. A generative label model estimates by expectation-maximisation how each
+prose). Given labels choose the lexicon, the share of toxic texts and the scale of the scores; they are no voter. A generative label model estimates by expectation-maximisation how each
 voter votes on toxic and on clean texts, and how the votes stay correlated once the class is known;
 correlated voters are discounted so that they don't count the same evidence twice. A linear
-classifier is trained on the model's posterior labels and scores whole texts.
+classifier is trained on the model's posterior labels, its log odds are scaled by the given ones, and it scores whole texts.
 
 Only rows with crc32(doc_id as text) mod 3 other than 1 are learnt from. Learning uses a bounded
 sample of them (``MOST_TOXIC`` and ``MOST_CLEAN`` labelled rows, those with the smallest id hashes);
@@ -263,6 +263,13 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
     return q, table, correlation
 
 
+def calibrated(x: np.ndarray, coefficients: np.ndarray, intercept: float, gold: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """The classifier with its log odds stretched and moved as the given labels of the training rows ask, in their order:
+    posteriors of voters that speak alone, as one family of words in a language, are too timid to be taken as they are."""
+    (slope,), shift = fit_logistic((x @ coefficients + intercept)[:, None], gold.astype(float), weight, ridge=1e-4)
+    return (coefficients * slope, intercept * slope + shift) if slope > 0 else (coefficients, intercept)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> ToxicityModel | None:
     """Learn from the labelled rows outside the held-out fold; None if a class has no row."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -304,6 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weight = np.where(gold == 1, prior / n_toxic, (1 - prior) / n_clean) * len(gold)
     posterior, tables, correlation = label_model(votes, weight, prior)
     coefficients, intercept = fit_logistic(x, posterior, weight, ridge=1e-4)
+    coefficients, intercept = calibrated(x, coefficients, intercept, gold, weight)
     voters = [*names, *PATTERNS]
     discard(sample)
     return ToxicityModel(lexicon, weights, coefficients, intercept, {v: (float(tables[1, i, 2]), float(tables[0, i, 2])) for i, v in enumerate(voters)}, correlation)
