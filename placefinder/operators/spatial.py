@@ -18,6 +18,9 @@ from .tables import save
 REGION_BUFFER = 0.003
 
 
+#: So many pieces of areas, of some 32 edges each, are broadcast.
+FEW_PIECES = 10_000
+
 #: No two places are farther apart on the sphere than so many times their distance on the spheroid.
 SPHERE_EXCESS = 1.006
 
@@ -44,12 +47,13 @@ def nearest(points: DataFrame, features: DataFrame, k: int, radius_m: float, siz
     return top(within(points, features, radius_m, size), ["point_id"], [F.col("distance_m"), F.col("id")], k)
 
 
-def containing(points: DataFrame, areas: DataFrame, size: float | None = None, buffer: float = 0.0) -> DataFrame:
+def containing(points: DataFrame, areas: DataFrame, size: float | None = None, buffer: float = 0.0, spread: bool = True) -> DataFrame:
     """Pairs of ``points`` (point_id, lon, lat) and ``areas`` (area_id, rings) that contain them, boundaries included, or
     whose boundary is at most ``buffer`` degrees away.
 
     Without a buffer, areas are cut into pieces of a bounded number of edges (:mod:`.subdivide`), and a point meets the
-    pieces of its own cell, once for each width of cell in use. ``size`` plays no part then.
+    pieces of its own cell, once for each width of cell in use. ``size`` plays no part then. ``spread`` is for
+    :func:`.subdivide.pieces`.
 
     With one, an area is listed under the cells of its bounding box, widened by the buffer, each time with those of its
     edges alone that a ray to the east from the cell can meet, or that are within the buffer: the cell's own band of
@@ -58,7 +62,7 @@ def containing(points: DataFrame, areas: DataFrame, size: float | None = None, b
     for each of the widths in use (22 at the most, from 2^-15 to 2^6 degrees).
     """
     if not buffer:
-        return _in_pieces(points, areas)
+        return _in_pieces(points, areas, spread)
     edges = F.col("edges")
     bound = lambda pick, *axes: pick(F.flatten(F.transform(edges, lambda e: F.array(*(e[x] for x in axes)))))
     # Listing costs some milliseconds an area, so a small file of areas is spread over the tasks of a shuffle first.
@@ -82,13 +86,17 @@ def containing(points: DataFrame, areas: DataFrame, size: float | None = None, b
     return placed.join(listed.filter(F.size("edges") > 0), ["level", "cx", "cy"]).filter(held).select("point_id", "area_id")
 
 
-def _in_pieces(points: DataFrame, areas: DataFrame) -> DataFrame:
-    cut = save(pieces(areas))
-    levels = sorted(r.level for r in cut.select("level").distinct().collect())
+def _in_pieces(points: DataFrame, areas: DataFrame, spread: bool = True) -> DataFrame:
+    cut = save(pieces(areas) if spread else pieces(areas, spread=False))
+    held = {r.level: r["count"] for r in cut.groupBy("level").count().collect()}
+    levels = sorted(held)
     placed = points.select("point_id", "lon", "lat", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level"))
     wide = F.pow(F.lit(2.0), F.col("level"))
     placed = placed.select("point_id", "lon", "lat", "level", F.floor(F.col("lon") / wide).cast("long").alias("cx"), F.floor(F.col("lat") / wide).cast("long").alias("cy"))
     inside = G.inside_piece(F.col("lon"), F.col("lat"), F.col("edges"), F.col("crossings"), F.col("odd"), (F.col("cx") + 1) * wide)
+    # Files of points and of pieces are packed so well that their sizes say little: a few pieces are broadcast by their
+    # count, and many points never are.
+    cut = F.broadcast(cut) if sum(held.values()) <= FEW_PIECES else cut.hint("merge")
     return placed.join(cut, ["level", "cx", "cy"]).filter(inside).select("point_id", "area_id")
 
 

@@ -45,28 +45,36 @@ def _meets(e: np.ndarray, x: np.ndarray, y: np.ndarray, wide: np.ndarray) -> np.
     """Whether edges meet the closed cells from (x, y) to (x + wide, y + wide); rounding counts as meeting."""
     x1, y1, x2, y2 = e.T
     near = (np.minimum(x1, x2) <= x + wide) & (np.maximum(x1, x2) >= x) & (np.minimum(y1, y2) <= y + wide) & (np.maximum(y1, y2) >= y)
+    some = np.flatnonzero(near)  # most edges are ruled out by their boxes
+    x1, y1, x2, y2, x, y, wide = (c[some] for c in (x1, y1, x2, y2, x, y, wide))
     up, along = (x2 - x1)[:, None] * (np.stack([y, y, y + wide, y + wide], axis=1) - y1[:, None]), (y2 - y1)[:, None] * (np.stack([x, x + wide, x, x + wide], axis=1) - x1[:, None])
     side, slack = up - along, 1e-14 * (np.abs(up).max(axis=1, initial=0) + np.abs(along).max(axis=1, initial=0))
-    return near & (side.min(axis=1) <= slack) & (side.max(axis=1) >= -slack)
+    near[some] = (side.min(axis=1) <= slack) & (side.max(axis=1) >= -slack)
+    return near
 
 
 def _upward(e: np.ndarray, east: np.ndarray, north: np.ndarray) -> np.ndarray:
     """The latitude where each edge crosses the border ``east`` below ``north``, or NaN. One that rises from the very
     latitude crosses above it, which is the next number."""
-    x1, y1, x2, y2 = e.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (y2 - y1) * (east - x1) / (x2 - x1) + y1
-        at = np.where((y2 - y1) * (x2 - x1) > 0, np.nextafter(at, np.inf), at)
-        return np.where(((x1 > east) != (x2 > east)) & (at <= north), at, np.nan)
+    x1, _, x2, _ = e.T
+    found = np.full(len(e), np.nan)
+    some = np.flatnonzero((x1 > east) != (x2 > east))
+    (x1, y1, x2, y2), east, north = e[some].T, east[some], north[some]
+    at = (y2 - y1) * (east - x1) / (x2 - x1) + y1
+    at = np.where((y2 - y1) * (x2 - x1) > 0, np.nextafter(at, np.inf), at)
+    found[some] = np.where(at <= north, at, np.nan)
+    return found
 
 
 def _crossings(e: np.ndarray, x: np.ndarray, y: np.ndarray, east: np.ndarray, north: np.ndarray) -> np.ndarray:
     """How often each edge is met on the way from (x, y) east to ``east``, then north to ``north``."""
-    x1, y1, x2, y2 = e.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (x2 - x1) * (y - y1) / (y2 - y1) + x1
-        across = ((y1 > y) != (y2 > y)) & (at > x) & (at <= east)
-        return across.astype(np.int64) + (_upward(e, east, north) > y)
+    _, y1, _, y2 = e.T
+    met = (_upward(e, east, north) > y).astype(np.int64)
+    some = np.flatnonzero((y1 > y) != (y2 > y))
+    x1, y1, x2, y2 = e[some].T
+    at = (x2 - x1) * (y[some] - y1) / (y2 - y1) + x1
+    met[some] += (at > x[some]) & (at <= east[some])
+    return met
 
 
 def cut(edges: np.ndarray, area: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -125,11 +133,12 @@ def cut(edges: np.ndarray, area: np.ndarray, most: int) -> Iterator[tuple[np.nda
         which, some = (np.concatenate(c) for c in zip(*held))
 
 
-def pieces(areas: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+def pieces(areas: DataFrame, most: int = MOST_EDGES, spread: bool = True) -> DataFrame:
     """area_id, level, cx, cy, odd, edges (array of struct(x1, y1, x2, y2), y1 <= y2) and crossings (latitudes where
     edges cross the cell's eastern border) of the pieces of ``areas`` (area_id, rings:
     arrays of closed rings of struct(x, y)). Areas without an edge have none. Areas are spread over the tasks of a
-    shuffle first, as an outline costs some milliseconds and a file of areas may be small."""
+    shuffle first, as an outline costs some milliseconds and a file of areas may be small; not so where the caller has
+    spread them already, before their outlines were made."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow.compute as pc
@@ -161,6 +170,8 @@ def pieces(areas: DataFrame, most: int = MOST_EDGES) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), parts)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(level.astype(np.int32)), pa.array(cx), pa.array(cy), pa.array(odd), listed, crossings], ["area_id", "level", "cx", "cy", "odd", "edges", "crossings"])
 
-    spread = areas.select("area_id", "rings").repartition(int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")), "area_id")
+    dealt = areas.select("area_id", "rings")
+    if spread:
+        dealt = dealt.repartition(int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions")), "area_id")
     kind = areas.schema["area_id"].dataType.simpleString()
-    return spread.mapInArrow(run, f"area_id {kind}, level int, cx long, cy long, odd boolean, edges array<struct<x1:double,y1:double,x2:double,y2:double>>, crossings array<double>")
+    return dealt.mapInArrow(run, f"area_id {kind}, level int, cx long, cy long, odd boolean, edges array<struct<x1:double,y1:double,x2:double,y2:double>>, crossings array<double>")
