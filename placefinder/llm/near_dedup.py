@@ -351,7 +351,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for last in (False, False, True):
         placed = members.filter("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = save(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket"))
-        open_members = save(placed.filter("rep <> pivot").join(mixed, "bucket").join(classes.select("rep", "marks"), "rep").select("bucket", "size", "total", "rep", "n", "component", "marks"))
+        # A class looks up its marks once, with the list of its open buckets (as many as bands at most), not once for each of them.
+        still = placed.filter("rep <> pivot").join(mixed, "bucket").groupBy("rep").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.collect_list(F.struct("bucket", "size", "total")).alias("held"))
+        open_members = save(still.join(classes.select("rep", "marks"), "rep").select("rep", "n", "component", "marks", F.inline("held")).select("bucket", "size", "total", "rep", "n", "component", "marks"))
         if last:
             found = _remaining_links(open_members, elements, percent)
         else:
