@@ -36,9 +36,9 @@ def _outlines(column) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(ring[:-1] == ring[1:])
     down = y[first] > y[first + 1]
     one, two = first + down, first + ~down  # the lower end comes first
-    edges = np.stack([x[one], y[one], x[two], y[two]], axis=1)
-    sound = np.isfinite(edges).all(axis=1)
-    return edges[sound], area[first][sound]
+    edges = np.stack([x[one], y[one], x[two], y[two]])  # kept by columns, as all later work is on columns
+    sound = np.logical_and.reduce(np.isfinite(edges))
+    return edges[:, sound].T, area[first][sound]
 
 
 def _meets(e: np.ndarray, x: np.ndarray, y: np.ndarray, wide: np.ndarray) -> np.ndarray:
@@ -47,9 +47,11 @@ def _meets(e: np.ndarray, x: np.ndarray, y: np.ndarray, wide: np.ndarray) -> np.
     near = (np.minimum(x1, x2) <= x + wide) & (np.maximum(x1, x2) >= x) & (np.minimum(y1, y2) <= y + wide) & (np.maximum(y1, y2) >= y)
     some = np.flatnonzero(near)  # most edges are ruled out by their boxes
     x1, y1, x2, y2, x, y, wide = (c[some] for c in (x1, y1, x2, y2, x, y, wide))
-    up, along = (x2 - x1)[:, None] * (np.stack([y, y, y + wide, y + wide], axis=1) - y1[:, None]), (y2 - y1)[:, None] * (np.stack([x, x + wide, x, x + wide], axis=1) - x1[:, None])
-    side, slack = up - along, 1e-14 * (np.abs(up).max(axis=1, initial=0) + np.abs(along).max(axis=1, initial=0))
-    near[some] = (side.min(axis=1) <= slack) & (side.max(axis=1) >= -slack)
+    up1, up2 = (x2 - x1) * (y - y1), (x2 - x1) * (y + wide - y1)
+    along1, along2 = (y2 - y1) * (x - x1), (y2 - y1) * (x + wide - x1)
+    slack = 1e-14 * (np.maximum(np.abs(up1), np.abs(up2)) + np.maximum(np.abs(along1), np.abs(along2)))
+    # the least and the greatest of up - along over the four corners
+    near[some] = (np.minimum(up1, up2) - np.maximum(along1, along2) <= slack) & (np.maximum(up1, up2) - np.minimum(along1, along2) >= -slack)
     return near
 
 
@@ -66,15 +68,38 @@ def _upward(e: np.ndarray, east: np.ndarray, north: np.ndarray) -> np.ndarray:
     return found
 
 
-def _crossings(e: np.ndarray, x: np.ndarray, y: np.ndarray, east: np.ndarray, north: np.ndarray) -> np.ndarray:
-    """How often each edge is met on the way from (x, y) east to ``east``, then north to ``north``."""
+def _eastward(e: np.ndarray, x: np.ndarray, y: np.ndarray, east: np.ndarray) -> np.ndarray:
+    """The edges that are met on the way from (x, y) east to ``east``."""
     _, y1, _, y2 = e.T
-    met = (_upward(e, east, north) > y).astype(np.int64)
     some = np.flatnonzero((y1 > y) != (y2 > y))
-    x1, y1, x2, y2 = e[some].T
+    x1, y1, x2, y2 = (c[some] for c in e.T)
     at = (x2 - x1) * (y[some] - y1) / (y2 - y1) + x1
-    met[some] += (at > x[some]) & (at <= east[some])
-    return met
+    return some[(at > x[some]) & (at <= east[some])]
+
+
+def _children(e: np.ndarray, parent: np.ndarray, cx: np.ndarray, cy: np.ndarray, w: np.ndarray, odd: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """x, y, odd and the edges (by index) of the four cells, ``w`` wide, that each of the cells (cx, cy) is cut in; all
+    edges meet their parent."""
+    west, mid, east = ((2 * cx + i) * w for i in range(3))
+    south, half, north = ((2 * cy + i) * w for i in range(3))
+    x_mid, x_east, y_half, y_north = mid[parent], east[parent], half[parent], north[parent]
+    x1, y1, x2, y2 = e.T
+    count = lambda met: np.bincount(parent[met], minlength=len(cx)) % 2 == 1
+    # From each child's corner to the parent's: east along a border, then north along the parent's eastern one.
+    upper = np.flatnonzero(_upward(e, x_east, y_north) > y_half)
+    rise, low, high = count(upper), count(_eastward(e, x_mid, y_half, x_east)), count(_eastward(e, x_mid, y_north, x_east))
+    corner = {(0, 0): low ^ rise, (0, 1): high, (1, 0): rise, (1, 1): np.zeros(len(cx), dtype=bool)}
+    wests, easts = np.minimum(x1, x2) <= x_mid, np.maximum(x1, x2) >= x_mid
+    souths, norths = np.minimum(y1, y2) <= y_half, np.maximum(y1, y2) >= y_half
+    # An edge whose box touches one child alone meets that one, as it meets the parent.
+    alone = (wests ^ easts) & (souths ^ norths)
+    for dx in (0, 1):
+        for dy in (0, 1):
+            near = (easts if dx else wests) & (norths if dy else souths)
+            some = np.flatnonzero(near & ~alone)
+            of = parent[some]
+            near[some] = _meets(e[some], (mid if dx else west)[of], (half if dy else south)[of], w[of])
+            yield 2 * cx + dx, 2 * cy + dy, corner[dx, dy] ^ odd, np.flatnonzero(near)
 
 
 def cut(edges: np.ndarray, area: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -82,6 +107,8 @@ def cut(edges: np.ndarray, area: np.ndarray, most: int) -> Iterator[tuple[np.nda
     number of edges, and the edges of all pieces one after the other."""
     if not len(area):
         return
+    columns = np.ascontiguousarray(edges.T)
+    edges = columns.T
     ids, begin = np.unique(area, return_index=True)
     size = np.diff(np.append(begin, len(area)))
     low = np.minimum.reduceat(np.minimum(edges[:, :2], edges[:, 2:]), begin)
@@ -99,7 +126,7 @@ def cut(edges: np.ndarray, area: np.ndarray, most: int) -> Iterator[tuple[np.nda
             which = np.repeat(np.arange(len(here)), size[here])
             some = np.repeat(begin[here] - np.cumsum(size[here]) + size[here], size[here]) + np.arange(len(which))
             east, north = ((cx + 1) * w)[which], ((cy + 1) * w)[which]
-            odd = np.bincount(which, _crossings(edges[some], east, north, np.full(len(which), np.inf), north), len(here)) % 2 == 1
+            odd = np.bincount(which[_eastward(edges[some], east, north, np.full(len(which), np.inf))], minlength=len(here)) % 2 == 1
             keep = _meets(edges[some], (cx * w)[which], (cy * w)[which], w[which])
             node.append((ids[here], level[here], cx, cy, odd))
             held.append((which[keep] + total, some[keep]))
@@ -110,8 +137,8 @@ def cut(edges: np.ndarray, area: np.ndarray, most: int) -> Iterator[tuple[np.nda
         count = np.bincount(which, minlength=len(owner))
         split = (count > most) & (lev > LOWEST)
         out = np.flatnonzero(~split & ((count > 0) | odd))
-        own = np.flatnonzero(~split[which])
-        yield owner[out], lev[out], cx[out], cy[out], odd[out], count[out], edges[some[own[np.argsort(which[own], kind="stable")]]]
+        # The edges are in the order of their pieces, as those of children are in the order of their parents.
+        yield owner[out], lev[out], cx[out], cy[out], odd[out], count[out], columns[:, some[~split[which]]].T
         # Four children of each piece that has too many, from the piece's own edges.
         rows = np.flatnonzero(split)
         place = np.cumsum(split) - 1
@@ -119,16 +146,10 @@ def cut(edges: np.ndarray, area: np.ndarray, most: int) -> Iterator[tuple[np.nda
         parent, some = place[which[inner]], some[inner]
         w = np.exp2(lev[rows] - 1)
         node, held, total = [], [], 0
-        for dx in (0, 1):
-            for dy in (0, 1):
-                x, y = 2 * cx[rows] + dx, 2 * cy[rows] + dy
-                e = edges[some]
-                met = _crossings(e, ((x + 1) * w)[parent], ((y + 1) * w)[parent], ((cx[rows] + 1) * 2 * w)[parent], ((cy[rows] + 1) * 2 * w)[parent])
-                corner = (np.bincount(parent, met, len(rows)) % 2 == 1) ^ odd[rows]
-                keep = _meets(e, (x * w)[parent], (y * w)[parent], w[parent])
-                node.append((owner[rows], lev[rows] - 1, x, y, corner))
-                held.append((parent[keep] + total, some[keep]))
-                total += len(rows)
+        for x, y, corner, met in _children(columns[:, some].T, parent, cx[rows], cy[rows], w, odd[rows]):
+            node.append((owner[rows], lev[rows] - 1, x, y, corner))
+            held.append((parent[met] + total, some[met]))
+            total += len(rows)
         owner, lev, cx, cy, odd = (np.concatenate(c) for c in zip(*node))
         which, some = (np.concatenate(c) for c in zip(*held))
 
