@@ -12,7 +12,7 @@ from ..functions.geodesic import spheroid_m
 from .components import connected_components
 from .fuzzy import top
 from .subdivide import pieces
-from .tables import save
+from .tables import discard, save
 
 #: Degrees around a region that still belong to it: its boundary generalises the coast.
 REGION_BUFFER = 0.003
@@ -20,6 +20,8 @@ REGION_BUFFER = 0.003
 
 #: So many pieces of areas, of some 32 edges each, are broadcast.
 FEW_PIECES = 10_000
+#: From so many points a place, places are decided instead of points.
+COPIES = 2
 
 #: No two places are farther apart on the sphere than so many times their distance on the spheroid.
 SPHERE_EXCESS = 1.006
@@ -89,15 +91,27 @@ def containing(points: DataFrame, areas: DataFrame, size: float | None = None, b
 def _in_pieces(points: DataFrame, areas: DataFrame, spread: bool = True) -> DataFrame:
     cut = save(pieces(areas) if spread else pieces(areas, spread=False))
     held = {r.level: r["count"] for r in cut.groupBy("level").count().collect()}
+    # Where many points stand in few places, a place is decided once, and each of its points takes its areas.
+    places = save(points.select("lon", "lat").distinct())
+    if COPIES * places.count() > points.count():
+        discard(places)
+        return _decided(points.select("point_id", "lon", "lat"), cut, held).select("point_id", "area_id")
+    found = save(_decided(places, cut, held))
+    discard(places, cut)
+    return points.select("point_id", "lon", "lat").join(found.hint("merge"), ["lon", "lat"]).select("point_id", "area_id")
+
+
+def _decided(points: DataFrame, cut: DataFrame, held: dict[int, int]) -> DataFrame:
+    """``points`` (lon, lat, ...) once for each area they are in, by the pieces ``cut``, so many at each level."""
     levels = sorted(held)
-    placed = points.select("point_id", "lon", "lat", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level"))
+    placed = points.select("*", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level"))
     wide = F.pow(F.lit(2.0), F.col("level"))
-    placed = placed.select("point_id", "lon", "lat", "level", F.floor(F.col("lon") / wide).cast("long").alias("cx"), F.floor(F.col("lat") / wide).cast("long").alias("cy"))
+    placed = placed.select("*", F.floor(F.col("lon") / wide).cast("long").alias("cx"), F.floor(F.col("lat") / wide).cast("long").alias("cy"))
     inside = G.inside_piece(F.col("lon"), F.col("lat"), F.col("edges"), F.col("crossings"), F.col("odd"), (F.col("cx") + 1) * wide)
     # Files of points and of pieces are packed so well that their sizes say little: a few pieces are broadcast by their
     # count, and many points never are.
     cut = F.broadcast(cut) if sum(held.values()) <= FEW_PIECES else cut.hint("merge")
-    return placed.join(cut, ["level", "cx", "cy"]).filter(inside).select("point_id", "area_id")
+    return placed.join(cut, ["level", "cx", "cy"]).filter(inside).select(*points.columns, "area_id")
 
 
 def clip(points: DataFrame, inside: DataFrame, outside: DataFrame, exempt: Column, size: float | None = None, buffer: float = REGION_BUFFER) -> DataFrame:

@@ -101,3 +101,16 @@ def test_ids_of_texts_and_extra_columns(spark):
     points = spark.createDataFrame([("p", 0.6, 0.2), ("q", 0.2, 0.6), ("r", None, 0.5)], "point_id string, lon double, lat double").withColumn("cx", F.lit(1))
     assert [tuple(r) for r in spatial.containing(points, areas).collect()] == [("p", "a")]
     assert spatial.containing(points, areas.limit(0)).collect() == []
+
+
+def test_copies_of_a_place_are_decided_once(spark, monkeypatch):
+    decided = []
+    whole_join = spatial._decided
+    monkeypatch.setattr(spatial, "_decided", lambda points, *rest: (decided.append(points.count()), whole_join(points, *rest))[1])
+    box = [[{"x": float(x), "y": float(y)} for x, y in ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))]]
+    areas = spark.createDataFrame([(1, box), (2, box)], RINGS)
+    places = [(1.0, 1.0), (4.0, 2.0), (9.0, 9.0), (-0.0, 0.0), (0.0, 0.0), (None, 1.0)]
+    points = spark.createDataFrame([(i, *places[i % 6]) for i in range(120)], "point_id long, lon double, lat double")
+    got = sorted(tuple(r) for r in spatial.containing(points, areas).select("point_id", "area_id").collect())
+    assert got == sorted((i, a) for i in range(120) for a in (1, 2) if i % 6 in (0, 1, 3, 4))
+    assert decided and decided[0] <= 6
