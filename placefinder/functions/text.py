@@ -56,8 +56,8 @@ def norm_tokens(text: Column) -> Column:
         return F.when(F.coalesce(saint, F.lit(False)), F.lit("saint")).otherwise(F.coalesce(expansions[word], word))
 
     # Zipped with itself one word on (the last word's follower is null): a lambda that indexed ``words`` would
-    # compute them again for every word.
-    return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), expand)
+    # compute them again for every word. Read through a one-element array, they are computed once, not three times.
+    return F.transform(F.array(words), lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), expand))[0]
 
 
 def norm(text: Column) -> Column:

@@ -37,6 +37,11 @@ def save(df: DataFrame, parts: int | None = None) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all tasks: adaptive execution would leave few bytes to one task, however long each row takes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables made by :func:`save` that nothing reads any more."""
     for table in tables:

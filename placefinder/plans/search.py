@@ -17,7 +17,7 @@ from ..functions.refdata import LIMITS, STATES
 from ..operators.fuzzy import similarity_join, top
 from ..operators.neighbours import number_neighbours
 from ..operators.postings import Stored
-from ..operators.tables import save
+from ..operators.tables import save, spread
 from .filters import area_filter, keep, with_defaults
 
 # Candidate cuts and thresholds.
@@ -67,6 +67,31 @@ def _foreign(column: str = "region_a") -> Column:
     return F.col("stt").isNotNull() & ~F.col(column).eqNullSafe(F.col("stt"))
 
 
+def _choosy() -> Column:
+    """Whether a query may tell apart addresses that differ in nothing but their place, hierarchy and categories."""
+    return (F.col("focus_lon").isNotNull() & F.col("focus_lat").isNotNull()) | F.col("rect").isNotNull() | F.col("circle").isNotNull() | F.col("gid").isNotNull() | F.col("categories").isNotNull()
+
+
+def _namesakes(asked: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """``names`` that a target is equal or similar to, for anchored and other queries. Without an anchor namesakes are taken
+    in order of their ids, so of those that the scan filters treat alike the first ``NAMES`` are all that any query can keep."""
+    targets = asked.select("target", "anchored").distinct()
+    wanted = save(targets.join(pairs, "target").select("name_norm", "anchored").union(targets).distinct())
+    rows = names.select("name_norm", "id", "region_a", "coarse", "country_a", "lon", "lat")
+    first = top(rows.join(wanted.filter("NOT anchored"), "name_norm"), ["name_norm", "region_a", "coarse", "country_a"], [F.col("id")], max(NAMES, EXACT_NAMES)).drop("rank")
+    return first.unionByName(rows.join(wanted.filter("anchored"), "name_norm"))
+
+
+def _numbered(feature: DataFrame, streets: DataFrame) -> DataFrame:
+    """Addresses with a street and number that is asked for: all of them for choosy queries. For others, addresses alike
+    in everything that a filter, the score and the label read would end as one hit, that of the smallest id, so it stands for them."""
+    wanted = streets.select("street_norm", F.col("hni").alias("hn_int"), "choosy").filter("hn_int IS NOT NULL").distinct()
+    rows = feature.filter("layer = 'address'").join(wanted, ["street_norm", "hn_int"])
+    alike = ["choosy", "street_norm", "hn_int", "housenumber", "locality_norm", "postal_locality_norm", "region_a", "country_a", "coarse", "postcode", "source", "importance", "label", "name_norm"]
+    one = rows.filter("NOT choosy").groupBy(*alike).agg(F.min("id").alias("id")).unionByName(rows.filter("choosy").select(*alike, "id"))
+    return one.select("id", "choosy", "street_norm", F.col("hn_int").alias("hni"), F.col("housenumber").alias("number"), F.col("locality_norm").alias("town"), F.col("postal_locality_norm").alias("postal"), "region_a")
+
+
 def search_core(queries: DataFrame, feature: DataFrame, street_name: DataFrame, stored: Stored | None = None) -> DataFrame:
     """Hits of prepared queries (with only_state set): query_id, id, layer, label, confidence, match_type,
     accuracy, distance_km, score, rank, and for interpolated hits their number and place."""
@@ -90,52 +115,62 @@ def search_core(queries: DataFrame, feature: DataFrame, street_name: DataFrame,
     from_anchor = F.coalesce(F.array_min(F.transform("anchor", lambda a: F.hypot(a["lon"] - F.col("lon"), a["lat"] - F.col("lat")))), F.lit(0.0))
 
     # names: similar, and equal
-    asked = placed.select("query_id", "anchor", "only_state", "use_coarse", "cc", "stt", F.explode("targets").alias("target"))
+    asked = placed.select("query_id", "anchor", F.col("anchor").isNotNull().alias("anchored"), "only_state", "use_coarse", "cc", "stt", F.explode("targets").alias("target"))
     names = narrow.filter("layer <> 'address' AND name_norm IS NOT NULL AND name_norm <> ''")
     targets = asked.select("target").distinct()
     if stored is None:
-        pairs = similarity_join(targets, names.select("name_norm").distinct(), SIMILAR, "target", "target", "name_norm", "name_norm")
+        # saved, as the join would else make trigrams of every row instead of every name
+        pairs = similarity_join(targets, save(names.select("name_norm").distinct()), SIMILAR, "target", "target", "name_norm", "name_norm")
     else:
         pairs = stored.similar(targets, SIMILAR, "target")
-    near = asked.join(pairs, "target").join(names, "name_norm").filter(_scan())
+    pairs = save(pairs)
+    namesakes = save(_namesakes(asked, pairs, names))
+    near = asked.join(pairs, "target").join(namesakes, ["name_norm", "anchored"]).filter(_scan())
     near = top(near, ["query_id", "target"], [F.desc("sim"), F.col("coarse"), from_anchor, F.col("id")], NAMES)
     near = save(near.select("query_id", "target", "name_norm", "id", "sim"))
     # once for each distinct pair of texts, on columns of trigrams
-    texts = near.select("target", "name_norm", "sim").distinct().withColumn("tg", T.trigrams(F.col("target"))).withColumn("ng", T.ordered_trigrams(F.col("name_norm")))
+    texts = spread(near.select("target", "name_norm", "sim").distinct()).withColumn("tg", T.trigrams(F.col("target"))).withColumn("ng", T.ordered_trigrams(F.col("name_norm")))
     nsim = F.greatest(F.col("sim"), F.lit(0.9) * T.word_similarity(F.col("tg"), F.col("ng"))) + F.lit(0.1) * F.col("sim")
     texts = texts.select("target", "name_norm", nsim.alias("nsim"))
     similar = near.join(texts, ["target", "name_norm"]).groupBy("query_id", "id").agg(F.max("nsim").alias("nsim"))
-    equal = asked.withColumnRenamed("target", "name_norm").join(names, "name_norm").filter(_scan()).dropDuplicates(["query_id", "id"])
+    equal = asked.withColumnRenamed("target", "name_norm").join(namesakes, ["name_norm", "anchored"]).filter(_scan()).dropDuplicates(["query_id", "id"])
     equal = top(equal, ["query_id"], [_foreign(), F.col("coarse"), from_anchor, F.col("id")], EXACT_NAMES).select("query_id", "id", F.lit(1.0).alias("nsim"))
-    named = similar.unionByName(equal)
+    named = save(similar.unionByName(equal))
 
     # streets and addresses
-    home = queries.filter(F.col("addr_intent") & (F.col("cc").isNull() | (F.col("cc") == "US"))).select("query_id", "st", "loc", "hn", "hni", "only_state")
+    home = queries.filter(F.col("addr_intent") & (F.col("cc").isNull() | (F.col("cc") == "US"))).select("query_id", "st", "loc", F.coalesce("loc", F.lit("")).alias("loc_key"), "hn", "hni", "only_state", _choosy().alias("choosy"))
     street_pairs = similarity_join(home.select("st").distinct(), street_name.select("street_norm").distinct(), SIMILAR, "st", "st", "street_norm", "street_norm").withColumnRenamed("sim", "st_sim")
-    streets = home.join(street_pairs, "st").join(street_name.select("street_norm", "locality_norm"), "street_norm")
-    streets = streets.withColumn("loc_sim", F.when(F.col("loc").isNotNull(), T.similarity(F.col("locality_norm"), F.col("loc"))))
-    streets = save(top(streets, ["query_id"], [F.desc(F.col("st_sim") + F.coalesce("loc_sim", F.lit(0.0))), F.col("street_norm"), F.col("locality_norm")], STREETS).drop("rank"))
+    # which streets come first depends on the street and town asked for alone
+    ranked = home.select("st", "loc_key").distinct().join(street_pairs, "st").join(street_name.select("street_norm", "locality_norm"), "street_norm")
+    ranked = ranked.withColumn("loc_sim", F.when(F.col("loc_key") != "", T.similarity(F.col("locality_norm"), F.col("loc_key"))))
+    ranked = save(top(ranked, ["st", "loc_key"], [F.desc(F.col("st_sim") + F.coalesce("loc_sim", F.lit(0.0))), F.col("street_norm"), F.col("locality_norm")], STREETS).drop("rank"))
+    best = ranked.groupBy("st", "loc_key", "street_norm").agg(F.max("st_sim").alias("st_sim"))
+    best = save(top(best, ["st", "loc_key"], [F.desc("st_sim"), F.col("street_norm")], STREET_NAMES).drop("rank"))
+    streets = save(home.join(ranked, ["st", "loc_key"]).drop("loc_key"))
     address = feature.filter("layer = 'address'").select("id", "street_norm", F.col("locality_norm").alias("town"), F.col("postal_locality_norm").alias("postal"), "hn_int", F.col("housenumber").alias("number"), "region_a", "lon", "lat")
     in_state = F.col("only_state").isNull() | F.col("region_a").eqNullSafe(F.col("only_state"))
-    numbered = address.withColumnRenamed("hn_int", "hni")
-    # two equi-joins instead of an OR: the row's own town, and its postal town
-    own = streets.join(numbered.withColumn("locality_norm", F.col("town")), ["street_norm", "hni", "locality_norm"])
-    postal = streets.join(numbered.withColumn("locality_norm", F.col("postal")), ["street_norm", "hni", "locality_norm"])
-    agree = lambda c: T.similarity(F.coalesce(F.col(c), F.lit("")), F.col("loc"))
-    there = own.unionByName(postal).filter((T.hn_norm(F.col("number")) == F.col("hn")) & in_state)
-    there = there.select("query_id", "id", "st_sim", F.when(F.col("loc").isNotNull(), F.greatest("loc_sim", agree("postal"))).alias("loc_sim"), "street_norm", "town")
-    best = streets.groupBy("query_id", "street_norm", "loc", "hn", "hni", "only_state").agg(F.max("st_sim").alias("st_sim"))
-    best = top(best, ["query_id"], [F.desc("st_sim"), F.col("street_norm")], STREET_NAMES).drop("rank")
-    anywhere = best.join(numbered, ["street_norm", "hni"]).filter((T.hn_norm(F.col("number")) == F.col("hn")) & in_state)
-    anywhere = anywhere.select("query_id", "id", "st_sim", F.when(F.col("loc").isNotNull(), F.greatest(agree("town"), agree("postal"))).alias("loc_sim"), "street_norm", "town")
-    exact = save(there.unionByName(anywhere))
+    numbered = save(_numbered(feature, streets))
+    # A best street's addresses are taken in any town, so only the other streets' need theirs: two equi-joins instead of
+    # an OR, the row's own town and its postal town.
+    rest = home.join(ranked.join(best, ["st", "loc_key", "street_norm"], "left_anti"), ["st", "loc_key"])
+    at = ["street_norm", "hni", "choosy"]
+    own = rest.join(numbered.withColumn("locality_norm", F.col("town")), [*at, "locality_norm"])
+    postal = rest.join(numbered.withColumn("locality_norm", F.col("postal")), [*at, "locality_norm"])
+    anywhere = home.join(best, ["st", "loc_key"]).join(numbered, at).withColumn("loc_sim", F.lit(None).cast("double"))
+    there = own.drop("locality_norm").unionByName(postal.drop("locality_norm")).unionByName(anywhere)
+    there = save(there.filter((T.hn_norm(F.col("number")) == F.col("hn")) & in_state).select("query_id", "id", "st_sim", "loc", "loc_sim", "street_norm", "town", "postal"))
+    agree = there.select("loc", F.explode(F.array("town", "postal")).alias("town")).distinct().filter("loc IS NOT NULL AND town IS NOT NULL")
+    agree = save(spread(agree).withColumn("agree", T.similarity(F.col("town"), F.col("loc"))))
+    there = there.join(agree.withColumnRenamed("agree", "town_agree"), ["loc", "town"], "left").join(agree.select("loc", F.col("town").alias("postal"), F.col("agree").alias("postal_agree")), ["loc", "postal"], "left")
+    agreed = F.greatest(F.coalesce("loc_sim", "town_agree", F.lit(0.0)), F.coalesce("postal_agree", F.lit(0.0)))
+    exact = save(there.select("query_id", "id", "st_sim", F.when(F.col("loc").isNotNull(), agreed).alias("loc_sim"), "street_norm", "town"))
 
     # between the nearest lower and higher number of the same side
     found = exact.select("query_id", "street_norm", F.col("town").alias("locality_norm")).distinct()
     open_streets = streets.filter((F.col("st_sim") >= GOOD_STREET) & F.col("hni").isNotNull()).join(found, ["query_id", "street_norm", "locality_norm"], "left_anti")
     open_streets = top(open_streets, ["query_id"], [F.desc(F.col("st_sim") + F.coalesce("loc_sim", F.lit(0.0))), F.col("street_norm"), F.col("locality_norm")], INTERPOLATED).drop("rank")
     side = ["street_norm", "locality_norm"]
-    open_streets = save(open_streets.drop("loc"))
+    open_streets = save(open_streets.drop("loc", "choosy"))
     here = address.filter("hn_int IS NOT NULL").withColumn("locality_norm", F.col("town")).join(open_streets.select(*side).distinct(), side, "left_semi")
     # the address with the smallest id stands for its number
     first = save(here.groupBy(*side, F.col("hn_int").alias("number")).agg(F.min(F.struct("id", "lon", "lat", "hn_int")).alias("at")))
@@ -210,7 +245,7 @@ def search_core(queries: DataFrame, feature: DataFrame, street_name: DataFrame,
     bucket = F.when(F.col("layer").isin("localadmin", "county"), "locality").otherwise(F.col("layer"))
     source_order = F.when(F.col("source") == "whosonfirst", 0).when(F.col("source") == "openaddresses", 1).otherwise(2)
     order = [F.when(F.col("layer") == "county", 1).otherwise(0), F.desc("score"), F.when(F.col("layer") == "locality", 0).otherwise(1), source_order, F.col("id")]
-    hits = top(rows.withColumn("bucket", bucket), ["query_id", "label", "bucket"], order, 1).drop("rank", "bucket")
+    hits = save(top(rows.withColumn("bucket", bucket), ["query_id", "label", "bucket"], order, 1).drop("rank", "bucket"))
     return top(ambiguity(hits), ["query_id"], [F.desc("score"), F.col("id"), F.col("gid")], F.col("lim")).drop("lim")
 
 

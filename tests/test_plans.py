@@ -370,3 +370,22 @@ def test_search_with_state_area_focus_and_layers(spark, maine):
     assert found["rect"][0][0] == 4 and 8 not in [i for i, _ in found["rect"]]
     assert [i for i, _ in found["circle"]] == [8] and found["focus"][0][0] in (4, 8) and {x for _, x in found["layers"]} == {"venue"}
     assert not {"abroad", "own", "nowhere", "unknown"} & set(found)
+
+
+def test_rows_alike_do_not_multiply_candidates(spark, monkeypatch):
+    homes = [(i, "openaddresses", "address", "10 Main St", "10", "Main St", "Portland", -70.0 + i / 1000, 43.66, 0.3, "ME", False) for i in range(1, 151)]
+    shops = [(i, "overture", "venue", "Blue Ring", None, None, None, -70.0 + i / 1000, 43.66, 0.4, "ME" if i % 2 else "NH", False) for i in range(201, 351)]
+    feature = feature_rows(spark, homes + shops).cache()
+    street_name = build.street_names(feature).cache()
+    shape = "query_id string, text string, name string, housenumber string, street string, locality string, state string, focus_lon double, focus_lat double, circle array<double>"
+    address = ("10 Main St, Portland", None, "10", "Main St", "Portland")
+    sizes = []
+    whole = search.save
+    monkeypatch.setattr(search, "save", lambda *given: (out := whole(*given), sizes.append(out.count()))[0])
+    asked = [("home", *address, None, None, None, None), ("shop", "Blue Rng", "Blue Rng", None, None, None, None, None, None, None)]
+    got = {(r.query_id, r.id) for r in search.search(spark.createDataFrame(asked, shape), feature, street_name, []).collect()}
+    assert got == {("home", 1), ("shop", 201)} and max(sizes) <= 2 * search.NAMES
+    # Queries that can tell them apart still meet all of them.
+    asked = [("focus", *address, None, -69.86, 43.66, None), ("circle", *address, None, None, None, [-69.87, 43.66, 20.0]), ("shop", "Blue Rng", "Blue Rng", None, None, None, None, -69.68, 43.66, None), ("state", "Blue Ring", "Blue Ring", None, None, None, "NH", None, None, None)]
+    got = {(r.query_id, r.id) for r in search.search(spark.createDataFrame(asked, shape), feature, street_name, [("NH", "New Hampshire")]).collect()}
+    assert got == {("focus", 140), ("circle", 130), ("shop", 320), ("state", 202)}

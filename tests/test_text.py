@@ -35,3 +35,8 @@ def test_word_similarity_is_the_best_run(spark):
 def test_trailing_state(spark):
     got = values(spark, [("houston texas",), ("bangor me usa",), ("maine",), ("",), (None,)], T.strip_trailing_state(F.col("c0"), [("ME", "Maine"), ("TX", "Texas")]))
     assert got == ["houston", "bangor", "maine", None, None]
+
+
+def test_canonical_form_reads_its_words_once(spark):
+    folds = lambda c: spark.createDataFrame([("12 Mtn Rd",)], "c string").select(c)._jdf.queryExecution().analyzed().toString().count("translate(")
+    assert folds(T.norm(F.col("c"))) == folds(T.raw_tokens(F.col("c"))) > 0
